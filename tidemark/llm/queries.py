@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, simhash
+from tidemark.llm import bpe, chat, mixing, simhash, warc
 from tidemark.llm.common import read
 
 #: The ranks file of op9 and of the pipeline.
@@ -21,10 +22,69 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation is a tree without branches: rows by turn (ties by role and text), each replying to the one before."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    rows = rows.union(spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema))
+    node = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
+    nodes = rows.select(F.col("conv_id").alias("tree"), node.alias("node"), "role", "text").withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1))
+    formatted = chat.format_trees(nodes.withColumn("score", F.lit(0.0)), top_k=1)
+    back = chat.read_back(formatted)
+    spoken = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    loss = F.array_join("loss_texts", "")
+    return back.select(
+        F.col("tree").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(spoken.cast("binary"), 256).alias("turns_sha256"),
+        F.char_length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+CONTROL_SQL = r"([<\[])(\\*)(/?s>|/?INST\]|/?ROLE\]|</?SYS>>)"
+OP2_SQL = rf"""
+with c as (
+  select conv_id, turn, role, text from conversations union all
+  select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (
+  select conv_id, turn, role as r0, text as t0, coalesce(role, '') as role, coalesce(text, '') as text,
+    length(regexp_replace(coalesce(text, ''), '{CONTROL_SQL}', '\1#\2\3', 'g'))
+    + case role when 'user' then 22 when 'assistant' then 7 when 'system' then 22
+      else 20 + length(regexp_replace(coalesce(role, ''), '{CONTROL_SQL}', '\1#\2\3', 'g')) end as chars
+  from c),
+g as (
+  select conv_id, count(*) as n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, r0 nulls first, t0 nulls first) as turns,
+    coalesce(string_agg(text, '' order by turn nulls first, r0 nulls first, t0 nulls first) filter (where role = 'assistant'), '') as loss,
+    sum(chars)::bigint as formatted_chars
+  from e group by conv_id)
+select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss)::bigint as loss_chars, sha256(loss) as loss_sha256, formatted_chars from g
+"""
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), ranks_file(), public_tokenizers.PATTERN, digests=True, keep=["doc_id"])
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op9_bpe": op9_bpe}
-ORACLE_SQL: dict[str, str] = {}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = """
+with p as (select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+f as (select payload_digest, min(page_id) as first from p where payload_bytes >= 100 group by payload_digest)
+select p.page_id, p.payload_bytes, p.payload_digest,
+  case when f.first is not null and p.page_id is distinct from f.first then 'revisit' else 'response' end as record_type,
+  case when f.first is not null and p.page_id is distinct from f.first then f.first end as refers_to
+from p left join f using (payload_digest)
+"""
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_chat": op2_chat, "op3_mixing": op3_mixing, "op9_bpe": op9_bpe, "op10_warc": op10_warc}
+ORACLE_SQL: dict[str, str] = {"op2_chat": OP2_SQL, "op10_warc": OP10_SQL}
