@@ -47,6 +47,22 @@ def test_random_bytes_through_the_machine_alone():
         assert machine.encode(piece) == expected
 
 
+def test_pairs_fit_as_merging_says():
+    machine, r = bpe.Transducer(RANKS), random.Random(7)
+    pool = [t for t in RANKS if 1 < len(t) < 9]
+    for _ in range(3000):
+        a, b = r.choice(pool), r.choice(pool)
+        assert machine._fit(RANKS[a], RANKS[b]) == (machine.merged(a + b) == [RANKS[a], RANKS[b]])
+
+
+def test_long_pieces_are_emitted_in_parts(encoder, monkeypatch):
+    monkeypatch.setattr(bpe, "EMIT", 20)
+    r = random.Random(8)
+    for _ in range(60):
+        text = "".join(r.choice(["th", "er", "on", "ing", "a", "aaaa", "tion", "zq"]) for _ in range(80))
+        assert ids(bpe.Encoder(RANKS, P.PATTERN), text) == LIBRARY.encode_ordinary(text)
+
+
 def test_a_full_cache_changes_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "MAX_STATES", 5)
     monkeypatch.setattr(bpe, "MAX_REMEMBERED", 3)

@@ -4,8 +4,8 @@ A sequence of tokens is what BPE makes of its bytes if and only if every token i
 and every two neighbours are what BPE makes of their joint bytes. So the encodings form a regular
 language: an automaton over the vocabulary's byte trie whose arcs close a token when it fits the token
 before it. ``Transducer`` determinises that automaton while it reads: a state holds the live hypotheses
-(tokens not yet agreed on, place in the trie), and tokens are emitted as soon as all hypotheses agree,
-which is within the length of the longest token.
+(the token before, the place in the trie), and an arc puts out the one token that can end there. Following
+those back from a point on which all hypotheses agree, at most the longest token behind, gives the tokens.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ from pyspark.sql import types as T
 MAX_STATES = 200_000
 #: Chunks of text whose ids are remembered at most, and their longest length.
 MAX_REMEMBERED, MAX_CHUNK = 400_000, 64
+#: Bytes of one piece after which tokens are emitted as far as they are settled.
+EMIT = 4096
 #: Ids decoded at a time.
 DECODE_STEP = 65_536
 
@@ -34,12 +37,19 @@ def load_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
 
 
+class State(dict):
+    """Arcs by byte: (next state, the token that ends there). ``live``: hypotheses as (token before, trie node)."""
+
+    __slots__ = ("live",)
+
+
 class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
+        self.length = {i: len(t) for t, i in ranks.items()}
         self.children: list[dict[int, int]] = [{}]
-        self.token_at = [-1]
+        self.token_at, self.depth = [-1], [0]
         for token, rank in ranks.items():
             at = 0
             for b in token:
@@ -47,82 +57,136 @@ class Transducer:
                     self.children[at][b] = len(self.children)
                     self.children.append({})
                     self.token_at.append(-1)
+                    self.depth.append(self.depth[at] + 1)
                 at = self.children[at][b]
             self.token_at[at] = rank
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
+        self.edges: dict[int, tuple[list, list] | None] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.states: dict[tuple, int] = {}
-        self.members: list[tuple] = []
-        self.arcs: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self._state(-1, (((), 0),))
-
-    def _state(self, before: int, live: tuple) -> int:
-        key = (before, live)
-        if key not in self.states:
-            self.states[key] = len(self.members)
-            self.members.append(key)
-            self.arcs.append({})
-        return self.states[key]
+        self.states: dict[tuple, State] = {}
+        self.fits: dict[tuple[int, int], bool] = {}
+        self.start = self._state(((-1, 0),))
 
-    def merged(self, data: bytes) -> list[int]:
-        """BPE by definition: merge the adjacent pair of lowest rank, leftmost first, until none is left."""
+    def _state(self, live: tuple) -> State:
+        state = self.states.get(live)
+        if state is None:
+            state = self.states[live] = State()
+            state.live = live
+        return state
+
+    def _merge(self, data: bytes, until: int) -> list[bytes]:
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > until:
             rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
             if rank == 1 << 60:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+        return parts
+
+    def merged(self, data: bytes) -> list[int]:
+        """BPE by definition: merge the adjacent pair of lowest rank, leftmost first, until none is left."""
+        return [self.ranks[p] for p in self._merge(data, 1)]
 
-    def _is_whole(self, token: int) -> bool:
-        if token not in self.whole:
-            self.whole[token] = self.merged(self.bytes_of[token]) == [token]
-        return self.whole[token]
+    def _edges(self, token: int) -> tuple[list, list] | None:
+        """What stands at the token's left and right end while it is merged, each with the rank that ends it.
+
+        None for a token that BPE doesn't make of its own bytes.
+        """
+        if token not in self.edges:
+            data, none = self.bytes_of[token], 1 << 60
+            left, right = [(data, none)], [(data, none)]
+            found = ([(data, none)], [(data, none)])
+            if len(data) > 1:
+                parts = self._merge(data, 2)
+                if len(parts) != 2 or self._edges(self.ranks[parts[0]]) is None or self._edges(self.ranks[parts[1]]) is None:
+                    found = None
+                else:
+                    left += [(p, token if r == none else r) for p, r in self._edges(self.ranks[parts[0]])[0]]
+                    right += [(p, token if r == none else r) for p, r in self._edges(self.ranks[parts[1]])[1]]
+                    found = (left, right)
+            self.edges[token] = found
+        return self.edges[token]
 
     def _fit(self, a: int, b: int) -> bool:
-        if (a, b) not in self.fits:
-            if len(self.fits) > 4 * MAX_STATES:
-                self.fits.clear()
-            self.fits[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-        return self.fits[a, b]
-
-    def _arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        before, live = self.members[state]
-        out = []
-        for pending, node in live:
-            child = self.children[node].get(byte)
+        """Whether BPE makes (a, b) of their joint bytes: no merge across comes before those within.
+
+        A token's rank is above those of its parts, so merges within happen in the order of ranks; of
+        equal ranks the leftmost comes first.
+        """
+        key = (a, b)
+        fit = self.fits.get(key)
+        if fit is None:
+            left, right = self._edges(a), self._edges(b)
+            fit = left is not None and right is not None
+            if fit:
+                rank_of = self.ranks.get
+                for x, x_ends in left[1]:
+                    for y, y_ends in right[0]:
+                        rank = rank_of(x + y)
+                        if rank is not None and rank < x_ends and rank <= y_ends:
+                            fit = False
+                            break
+                    if not fit:
+                        break
+            self.fits[key] = fit
+        return fit
+
+    def _arc(self, state: State, byte: int) -> tuple[State, int]:
+        live, ended, children = [], -1, self.children
+        for before, node in state.live:
+            child = children[node].get(byte)
             if child is None:
                 continue
-            token, prior = self.token_at[child], pending[-1] if pending else before
-            if token >= 0 and self._is_whole(token) and (prior < 0 or self._fit(prior, token)):
-                out.append(((*pending, token), 0))
-            if self.children[child]:
-                out.append((pending, child))
-        agreed = 0
-        shortest = min((p for p, _ in out), key=len, default=())
-        while agreed < len(shortest) and all(p[agreed] == shortest[agreed] for p, _ in out):
-            agreed += 1
-        emitted = shortest[:agreed]
-        live = tuple(sorted((p[agreed:], node) for p, node in out))
-        arc = self.arcs[state][byte] = (self._state(emitted[-1] if emitted else before, live), emitted)
+            token = self.token_at[child]
+            if token >= 0 and ended < 0 and (self._fit(before, token) if before >= 0 else self._edges(token) is not None):
+                ended = token
+            if children[child]:
+                live.append((before, child))
+        if ended >= 0:
+            live.append((ended, 0))
+        arc = state[byte] = (self._state(tuple(live)), ended)
         return arc
 
+    def _back(self, last: list[int], at: int) -> list[int]:
+        """Tokens of the prefix of length ``at``, last first; ``last`` has the last token of each prefix."""
+        out, length = [], self.length
+        while at > 0:
+            token = last[at - 1]
+            if token < 0:
+                raise ValueError("a prefix without an encoding: the ranks are not those of a BPE")
+            out.append(token)
+            at -= length[token]
+        return out
+
+    def _settled(self, last: list[int], state: State) -> int:
+        """The longest prefix on whose tokens all live hypotheses agree."""
+        common: set[int] | None = None
+        for _, node in state.live:
+            at = len(last) - self.depth[node]
+            ends = {at}
+            for token in self._back(last, at):
+                at -= self.length[token]
+                ends.add(at)
+            common = ends if common is None else common & ends
+        return max(common or {0})
+
     def encode(self, piece: bytes) -> list[int]:
-        """Ids of one match of the split pattern."""
+        """Ids of one match of the split pattern. Tokens of long pieces are emitted every ``EMIT`` bytes."""
         if piece in self.ranks:
             return [self.ranks[piece]]
-        if len(self.members) > MAX_STATES:
+        if len(self.states) > MAX_STATES:
             self._reset()
-        state, out, arcs = 0, [], self.arcs
+        state, last, out = self.start, [], []
         for byte in piece:
-            arc = arcs[state].get(byte) or self._arc(state, byte)
-            state = arc[0]
-            out += arc[1]
-        ended = [pending for pending, node in self.members[state][1] if node == 0]
-        return out + list(ended[0]) if len(ended) == 1 else self.merged(piece)
+            state, token = state.get(byte) or self._arc(state, byte)
+            last.append(token)
+            if len(last) >= EMIT:
+                settled = self._settled(last, state)
+                out += self._back(last, settled)[::-1]
+                del last[:settled]
+        out += self._back(last, len(last))[::-1]
+        return out
 
 
 class Encoder:
@@ -145,12 +209,16 @@ class Encoder:
 
         self.chunks = Chunks()
 
+    def _packed(self, piece: bytes) -> bytes:
+        ids = self.machine.encode(piece)
+        return pack(f"<{len(ids)}I", *ids)
+
     def pieces(self, text: str) -> bytes:
         out = []
         for piece in self.split(text):
             ids = self.seen.get(piece)
             if ids is None:
-                ids = np.array(self.machine.encode(piece.encode()), "<u4").tobytes()
+                ids = self._packed(piece.encode())
                 if len(piece) <= MAX_CHUNK:
                     if len(self.seen) > MAX_REMEMBERED:
                         self.seen.clear()
