@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, mixing, simhash, warc
+from tidemark.llm import bpe, chat, embeddings, mixing, simhash, topk, warc
 from tidemark.llm.common import read
 
 #: The ranks file of op9 and of the pipeline.
@@ -68,6 +68,41 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
+OP6_SQL = """
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where label is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n as (select *, sqrt(list_dot_product(e, e)) as norm from v),
+l as materialized (
+  select a.vec_id as a, b.vec_id as b from n a join n b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+r as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from r join l on r.b = l.a)
+select e.vec_id, (select count(*) from l where l.a = e.vec_id) as n_links, c.component_id, e.vec_id = c.component_id as kept
+from embeddings e join (select a, min(b) as component_id from r group by a) c on c.a = e.vec_id
+"""
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % topk.EVERY == 0)
+
+
+OP7_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 100 = 0),
+r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s)
+select query_id, rank, vec_id, score from r where rank <= 10
+"""
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), ranks_file(), public_tokenizers.PATTERN, digests=True, keep=["doc_id"])
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -86,5 +121,5 @@ select p.page_id, p.payload_bytes, p.payload_digest,
 from p left join f using (payload_digest)
 """
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_chat": op2_chat, "op3_mixing": op3_mixing, "op9_bpe": op9_bpe, "op10_warc": op10_warc}
-ORACLE_SQL: dict[str, str] = {"op2_chat": OP2_SQL, "op10_warc": OP10_SQL}
+QUERIES = {"op1_simhash": op1_simhash, "op2_chat": op2_chat, "op3_mixing": op3_mixing, "op6_embeddings": op6_embeddings, "op7_topk": op7_topk, "op9_bpe": op9_bpe, "op10_warc": op10_warc}
+ORACLE_SQL: dict[str, str] = {"op2_chat": OP2_SQL, "op6_embeddings": OP6_SQL, "op7_topk": OP7_SQL, "op10_warc": OP10_SQL}
