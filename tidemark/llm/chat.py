@@ -45,23 +45,27 @@ def paths(nodes: DataFrame, top_k: int | None = 1) -> DataFrame:
     own = cut(own, "nodes")
     above = own.select(F.col("tree").alias("tree2"), F.col("node").alias("node2"))
     near = own.join(above, F.col("tree").eqNullSafe(F.col("tree2")) & (F.col("parent") == F.col("node2")), "left")
-    lifts = [cut(near.select("tree", "node", F.col("node2").alias("up"), "score", F.lit(1).cast("long").alias("depth")), "lift")]
+    state = cut(near.select("tree", "node", F.col("node2").alias("up"), "score", F.lit(1).cast("long").alias("depth")), "lift")
+    # lifts[j]: nodes with their ancestor 2**j above; ended: nodes whose root is reached, with the branch's sums
+    lifts, ended = [state.where("up is not null")], state.where("up is null")
     most = max(1, own.count()).bit_length() + 1  # a cycle would go on for ever
-    while len(lifts) < most and not lifts[-1].where("up is not null").isEmpty():
-        low, high = lifts[-1], lifts[-1].toDF("tree2", "node2", "up2", "score2", "depth2")
+    while len(lifts) < most and not lifts[-1].isEmpty():
+        whole = lifts[-1].union(ended).toDF("tree2", "node2", "up2", "score2", "depth2")
         on = F.col("tree").eqNullSafe(F.col("tree2")) & (F.col("up") == F.col("node2"))
-        lifts.append(cut(low.join(high, on, "left").select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")), "lift"))
+        state = cut(lifts[-1].join(whole, on).select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.col("score2")).alias("score"), (F.col("depth") + F.col("depth2")).alias("depth")), "lift")
+        lifts.append(state.where("up is not null"))
+        ended = ended.union(state.where("up is null"))
 
-    replied = lifts[0].where("up is not null").select(F.col("tree").alias("tree2"), F.col("up").alias("node2")).distinct()
-    leaves = lifts[-1].where("up is null").join(replied, F.col("tree").eqNullSafe(F.col("tree2")) & (F.col("node") == F.col("node2")), "left_anti")
+    replied = lifts[0].select(F.col("tree").alias("tree2"), F.col("up").alias("node2")).distinct()
+    leaves = ended.join(replied, F.col("tree").eqNullSafe(F.col("tree2")) & (F.col("node") == F.col("node2")), "left_anti")
     leaves = leaves.select("tree", F.col("node").alias("leaf"), (F.col("score") / F.col("depth")).alias("score"), "depth")
     leaves = leaves.withColumn("branch", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("depth"), "leaf")))
     if top_k is not None:
         leaves = leaves.where(F.col("branch") <= top_k)
 
     found = cut(leaves.withColumn("node", F.col("leaf")).withColumn("back", F.lit(0).cast("long")), "paths")
-    for level in range(len(lifts) - 2, -1, -1):
-        step = lifts[level].where("up is not null").select(F.col("tree").alias("tree2"), F.col("node").alias("node2"), "up")
+    for level in range(len(lifts) - 1, -1, -1):
+        step = lifts[level].select(F.col("tree").alias("tree2"), F.col("node").alias("node2"), "up")
         farther = found.join(step, F.col("tree").eqNullSafe(F.col("tree2")) & (F.col("node") == F.col("node2")))
         farther = farther.withColumn("node", F.col("up")).withColumn("back", F.col("back") + (1 << level)).select(*found.columns)
         found = cut(found.union(farther), "paths")

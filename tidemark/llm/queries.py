@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, embeddings, mixing, simhash, topk, warc
+from tidemark.llm import bpe, chat, embeddings, html, mixing, quality, simhash, topk, toxicity, warc
 from tidemark.llm.common import read
 
 #: The ranks file of op9 and of the pipeline.
@@ -68,6 +68,16 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    net = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, net, keep=["doc_id"])
+
+
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
@@ -103,6 +113,12 @@ select query_id, rank, vec_id, score from r where rank <= 10
 """
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, read(spark, sf_dir, "labels"))
+    return quality.score(docs, model, keep=["doc_id"])
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), ranks_file(), public_tokenizers.PATTERN, digests=True, keep=["doc_id"])
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -121,5 +137,5 @@ select p.page_id, p.payload_bytes, p.payload_digest,
 from p left join f using (payload_digest)
 """
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_chat": op2_chat, "op3_mixing": op3_mixing, "op6_embeddings": op6_embeddings, "op7_topk": op7_topk, "op9_bpe": op9_bpe, "op10_warc": op10_warc}
+QUERIES = {"op1_simhash": op1_simhash, "op2_chat": op2_chat, "op3_mixing": op3_mixing, "op4_toxicity": op4_toxicity, "op5_html": op5_html, "op6_embeddings": op6_embeddings, "op7_topk": op7_topk, "op8_quality": op8_quality, "op9_bpe": op9_bpe, "op10_warc": op10_warc}
 ORACLE_SQL: dict[str, str] = {"op2_chat": OP2_SQL, "op6_embeddings": OP6_SQL, "op7_topk": OP7_SQL, "op10_warc": OP10_SQL}

@@ -163,7 +163,9 @@ def read(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Records of the archives in a table (archive, size), read in splits of ``split_bytes``; columns as in ``SCHEMA``."""
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))).alias("start")
     splits = archives.where("size > 0").select("archive", "size", starts)
-    splits = splits.select("archive", "size", "start", F.least(F.col("start") + split_bytes, F.col("size")).alias("end")).repartition("archive", "start")
+    splits = splits.select("archive", "size", "start", F.least(F.col("start") + split_bytes, F.col("size")).alias("end"))
+    # a split to a task: a given number of partitions is not coalesced, though the rows are small
+    splits = splits.repartition(max(1, min(splits.count(), 100_000)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
