@@ -111,8 +111,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
             yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["known_label"], "found": [features(x).astype("<u4").tobytes() for x in batch["text"]]})
 
     found = known.select("doc_id", "known_label", F.col("text").cast("binary").alias("text")).mapInPandas(run, "doc_id long, label int, found binary")
-    rows = sorted((r.doc_id, r.label, bytes(r.found)) for r in found.collect())
-    return fit([np.frombuffer(f, "<u4").astype(np.int64) for _, _, f in rows], np.array([min(1, max(0, k)) for _, k, _ in rows], np.int64))
+    # partition by partition, so that the sample is in the driver's memory once
+    rows = sorted((r.doc_id, r.label, bytes(r.found)) for r in found.coalesce(8).toLocalIterator())
+    return fit([np.frombuffer(f, "<u4") for _, _, f in rows], np.array([min(1, max(0, k)) for _, k, _ in rows], np.int64))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:

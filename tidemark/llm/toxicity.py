@@ -11,8 +11,7 @@ window with the largest logit (multiple-instance learning).
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,6 +32,8 @@ ROUNDS, BATCH, RATE = (2, 6), 96, 0.05
 FREQUENT, VOCABULARY = 12, 8192
 #: Words whose inputs are remembered, and windows scored at a time.
 REMEMBERED, CHUNK = 150_000, 2048
+#: Words whose vectors are made at a time.
+AT_ONCE = 16_384
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -89,6 +90,8 @@ class Network:
     def vectors(self, words: list[bytes]) -> np.ndarray:
         if not words:
             return np.zeros((0, WIDTH), np.float32)
+        if len(words) > AT_ONCE:  # n-grams take some hundred bytes a word
+            return np.concatenate([self.vectors(words[i : i + AT_ONCE]) for i in range(0, len(words), AT_ONCE)])
         own = self.own(words)
         grams, begin = word_grams(words)
         ends = np.append(begin[1:], len(grams))
@@ -206,9 +209,7 @@ class Scorer:
             self.row.update(zip(fresh, range(at, at + len(fresh)), strict=True))
             while len(self.table) < len(self.row):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            for i in range(0, len(fresh), 20_000):
-                part = fresh[i : i + 20_000]
-                self.table[at + i : at + i + len(part)] = self.net.inputs(self.net.vectors(part))
+            self.table[at : at + len(fresh)] = self.net.inputs(self.net.vectors(fresh))
         return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
 
     def largest(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -250,27 +251,29 @@ class Scorer:
         return _sigmoid(np.clip(x[0] * top + x[1] * np.log(many) + x[2], -30, 30))
 
 
-def fit(bags: list[list[list[bytes]]], y: np.ndarray, seed: int = SEED) -> Network:
+def fit(bags: Iterable[list[list[bytes]]], y: np.ndarray, seed: int = SEED) -> Network:
     """Train on bags of windows (lists of words), one bag for each text of label y.
 
     First every window of a bag counts with the bag's label, then only that of the largest logit. Without
     texts of both classes the network says the share of label 1.
     """
     r = np.random.default_rng(seed)
-    seen = Counter(w for bag in bags for w in {w for window in bag for w in window})
-    frequent = sorted((w for w, n in seen.items() if n >= FREQUENT), key=lambda w: (-seen[w], w))[:VOCABULARY]
+    number: dict[bytes, int] = {}
+    coded = [[np.array([number.setdefault(w, len(number)) for w in window], np.int32) for window in bag] for bag in bags]
+    words = list(number)
+    seen = np.zeros(len(words), np.int64)
+    for bag in coded:
+        seen[np.unique(np.concatenate([*bag, np.empty(0, np.int32)]))] += 1
+    frequent = sorted((words[i] for i in np.nonzero(seen >= FREQUENT)[0]), key=lambda w: (-seen[number[w]], w))[:VOCABULARY]
     net = Network(seed, {w: i + 1 for i, w in enumerate(frequent)})
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.0
         net.fit = np.array([0.0, 0.0, np.log((share + 0.01) / (1.01 - share))])
         return net
-    number: dict[bytes, int] = {}
-    coded = [[[number.setdefault(w, len(number)) for w in window] for window in bag] for bag in bags]
-    words = list(number)
     heavy = np.where(y == 1, min(4.0, np.sum(y == 0) / np.sum(y == 1)), 1.0)
 
-    def packed(windows: list[list[int]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        used, back = np.unique(np.concatenate([np.array(w or [0], np.int64) for w in windows]), return_inverse=True)
+    def packed(windows: list[np.ndarray]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        used, back = np.unique(np.concatenate([w if len(w) else np.zeros(1, np.int32) for w in windows]), return_inverse=True)
         x, mask, at = np.zeros((len(windows), WINDOW), np.int64), np.zeros((len(windows), WINDOW), np.float32), 0
         for i, w in enumerate(windows):
             n = max(1, len(w))
@@ -301,7 +304,7 @@ def fit(bags: list[list[list[bytes]]], y: np.ndarray, seed: int = SEED) -> Netwo
     return net
 
 
-def _padded(window: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def _padded(window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x, mask = np.zeros(WINDOW, np.int64), np.zeros(WINDOW, np.float32)
     x[: len(window)], mask[: len(window)] = window, 1
     return x, mask
@@ -332,7 +335,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
             yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["known_label"], "bag": out})
 
     rows = sorted((r.doc_id, min(1, max(0, r.label)), [bytes(b) for b in r.bag]) for r in known.mapInPandas(bags, "doc_id long, label int, bag array<binary>").collect())
-    net = fit([[w.split() for w in bag] for _, _, bag in rows], np.array([k for _, k, _ in rows], np.int64))
+    net = fit(([w.split() for w in bag] for _, _, bag in rows), np.array([k for _, k, _ in rows], np.int64))
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def largest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
