@@ -428,3 +428,213 @@ def sensitivity(spark, d):
 def source_exclusion(spark, d):
     """The composite without one source (C17); tested against a frame that never had it."""
     return shown(signals(spark, d, exclude=("reddit",)), *ED.split(), *SCORES.split())
+
+
+# Text operators
+
+from tidemark.config import ViewQuery  # noqa: E402
+from tidemark.functions import text as X  # noqa: E402
+from tidemark.operators import dedupe, resolve  # noqa: E402
+from tidemark.plans import views  # noqa: E402
+from tidemark.sources import sinks  # noqa: E402
+from tidemark.streaming import streams  # noqa: E402
+
+_CLEAN = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+for _e, _v in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("apos", "''"), ("nbsp", " "), ("#x27", "''"), ("amp", "&")):
+    _CLEAN = f"replace({_CLEAN}, '&{_e};', '{_v}')"
+_NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(text), 'https?://\S+', ' ', 'g'), '[^a-z0-9$ ]', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+@query(rf"select page_id, length(t) as chars, md5(t) as digest from (select page_id, left(trim(regexp_replace({_CLEAN}, '\s+', ' ', 'g')), 4000) as t from pages)")
+def clean_html(spark, d):
+    x = panel.table(spark, d, "pages").select("page_id", X.clean_text(F.col("html")).alias("t"))
+    return x.select("page_id", F.char_length("t").cast("long").alias("chars"), F.md5(F.col("t").cast("binary")).alias("digest"))
+
+
+_URL = r"""lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || regexp_replace(lower(regexp_extract(url, '://([^/?#]+)', 1)), '^(www\.|m\.|old\.|amp\.)', '') || regexp_replace(regexp_extract(url, '://[^/?#]+([^?#]*)', 1), '/+$', '')
+  || case when len(p) > 0 then '?' || array_to_string(p, '&') else '' end"""
+_PARAMS = r"""list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda q: q <> '' and not regexp_matches(lower(q), '^(utm_|ref|fbclid|gclid|share|si=)'))"""
+
+
+@query(f"select page_id, {_URL} as canon from (select page_id, url, {_PARAMS} as p from pages)")
+def canonical_url(spark, d):
+    return panel.table(spark, d, "pages").select("page_id", X.canonical_url(F.col("url")).alias("canon"))
+
+
+@query(f"select canon, count(*) as n, min(page_id) as first from (select page_id, {_URL} as canon from (select page_id, url, {_PARAMS} as p from pages)) group by 1")
+def url_dedupe(spark, d):
+    return canonical_url(spark, d).groupBy("canon").agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
+
+
+def _words_sql(words: list[str]) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+@query(
+    rf"""select doc_id, case when letters > 20 and latin < 0.6 * letters then 'other' when n < 4 then 'unknown' when other > en and other >= 2 then 'other' when en = 0 and n >= 8 then 'unknown' else 'en' end as lang from (
+    select doc_id, letters, latin, len(tok) as n, len(list_filter(tok, lambda t: t in {_words_sql(X.ENGLISH)})) as en, len(list_filter(tok, lambda t: t in {_words_sql(X.OTHER)})) as other from (
+    select doc_id, len(regexp_extract_all(text, '\p{{L}}')) as letters, len(regexp_extract_all(text, '[A-Za-zÀ-ɏ]')) as latin, regexp_extract_all(lower(text), '[\p{{L}}'']+') as tok from documents))"""
+)
+def lang_detect(spark, d):
+    return panel.table(spark, d, "documents").select("doc_id", X.language(F.col("text"))["lang"].alias("lang"))
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as text items in order of id; source as author and language as community."""
+    x = panel.table(spark, d, "documents")
+    return x.select("doc_id", F.lit(None).cast("string").alias("url"), F.col("lang").alias("community"), F.col("source").alias("author_hash"), "text", F.timestamp_seconds("doc_id").alias("published_at"))
+
+
+@query(f"select doc_id, row_number() over (partition by norm order by doc_id) > 1 and length(norm) >= 12 as duplicate from (select doc_id, {_NORM} as norm from documents)")
+def exact_dedupe(spark, d):
+    return dedupe.exact_statuses(_items(spark, d)).select("doc_id", (F.coalesce("status", F.lit("")) == "duplicate_exact").alias("duplicate"))
+
+
+@query()
+def near_dedupe(spark, d):
+    """All stages with the bot flag; held against a sequential model in the tests."""
+    return dedupe.statuses(_items(spark, d)).select("doc_id", "status")
+
+
+@query("select event_id, 'h' || left(sha256('salt:' || event_type || ':' || user_id), 16) as author from events")
+def author_hash(spark, d):
+    return panel.table(spark, d, "events").select("event_id", X.author_hash(F.lit("salt"), F.col("event_type"), F.col("user_id").cast("string")).alias("author"))
+
+
+@query(f"select l_orderkey, l_linenumber, {O.r6('0.8::double * (1 + ln(1 + greatest(l_quantity, 0.0)) / 2 + ln(1 + greatest(l_linenumber, 0.0)) / 4)')} as w from lineitem where l_quantity > 45")
+def engagement(spark, d):
+    x = panel.table(spark, d, "lineitem").where("l_quantity > 45")
+    return shown(x.select("l_orderkey", "l_linenumber", metrics.engagement_weight(F.lit(0.8), F.col("l_quantity"), F.col("l_linenumber").cast("double")).alias("w")))
+
+
+@query(r"select doc_id, len(t)::int as n, md5(array_to_string(t, ' ')) as digest from (select doc_id, regexp_extract_all(text, '\$?[A-Za-z0-9]+(?:[&''’+.\-][A-Za-z0-9]+)*') as t from documents)")
+def tokenize(spark, d):
+    x = panel.table(spark, d, "documents").select("doc_id", X.tokens(F.col("text")).alias("t"))
+    return x.select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", " ").cast("binary")).alias("digest"))
+
+
+@query()
+def entity_mentions(spark, d):
+    """Resolution of three demonstration entities in the documents, each text led by a planted phrase."""
+    planted = F.element_at(F.array(*map(F.lit, ("Orrin Works shares rise", "$QLO is up", "MET office", "MET earnings beat", "Orrin Hatch spoke"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    x = panel.table(spark, d, "documents").select("doc_id", resolve.resolve(planted, F.col("text")).alias("matches"))
+    return resolve.mentions(x).select("doc_id", "entity", "relevance", "ambiguous")
+
+
+@query()
+def lexicon_sentiment(spark, d):
+    text = F.concat(F.element_at(F.array(*map(F.lit, ("very good stock", "not good app", "maybe bad", "great /s"))), (F.col("doc_id") % 4 + 1).cast("int")), F.lit(" "), F.substring("text", 1, 200))
+    x = panel.table(spark, d, "documents").select("doc_id", resolve.classify(text, F.array(F.lit(0))).alias("s"))
+    return shown(x.select("doc_id", "s.*"), "doc_id", "label", "aspect", "score", "confidence")
+
+
+# Views (V1-V12) and sinks
+
+_LAST = "date = (select max(date) from signals)"
+
+
+def view_rows(spark: SparkSession, d: str, q: ViewQuery = ViewQuery()) -> DataFrame:
+    return views.rows(signals(spark, d), panel.universe(spark, d), q)
+
+
+@query(O.sql(f"select entity, alt_signal_score, confidence from signals where {_LAST} and alt_signal_score is not null order by alt_signal_score desc, entity limit 6", "signals"))
+def overview_top(spark, d):
+    return views.top(view_rows(spark, d), "alt_signal_score").select("entity", "alt_signal_score", "confidence")
+
+
+@query(O.sql(f"select count(*) as names, {O.rnd('100.0 * count(*) filter (where alt_signal_score > 50) / nullif(count(alt_signal_score), 0)')} as breadth, count(*) filter (where attention_score >= 90) as unusual, count(*) filter (where anomaly_score >= 95) as anomalies, {O.rnd('avg(confidence)')} as mean_confidence from signals where {_LAST}", "signals"))
+def kpis(spark, d):
+    return views.kpis(view_rows(spark, d))
+
+
+@query(O.sql("select b.bin, count(s.entity) as n from range(20) b(bin) left join signals s on least(19, floor(s.alt_signal_score / 5)) = b.bin group by 1", "signals"))
+def histogram20(spark, d):
+    return views.histogram(signals(spark, d))
+
+
+@query(O.sql(f"select date, {O.r6('sum(sentiment_score * greatest(1, confidence)) / sum(greatest(1, confidence))')} as mood, {O.r6('quantile_cont(sentiment_score, 0.25)')} as p25, {O.r6('quantile_cont(sentiment_score, 0.75)')} as p75, {O.r6('avg(attention_score)')} as attention, count(*) as n from signals where sentiment_score is not null group by 1", "signals"))
+def mood_series(spark, d):
+    return shown(views.mood_series(signals(spark, d)))
+
+
+@query(
+    O.sql(
+        f"""select u.sector, count(*) as names, {O.r6('avg(s.alt_signal_score)')} as score, {O.r6('avg(s.sentiment_score)')} as sentiment, {O.r6('avg(s.attention_score)')} as attention, {O.r6('avg(' + O.rnd('s.alt_signal_score - p.alt_signal_score', 1) + ')')} as change
+        from universe u left join (select * from signals where {_LAST}) s using (entity) left join (select * from signals where date = (select max(date) - 30 from signals)) p using (entity) group by 1""",
+        "signals",
+        "universe",
+    )
+)
+def sector_heatmap(spark, d):
+    return shown(views.sector_summary(view_rows(spark, d)))
+
+
+@query(O.sql("select aspect, count(*) as n, count(*) filter (where label = 'positive') as positive, count(*) filter (where label = 'negative') as negative, count(*) filter (where label = 'uncertain') as uncertain from items group by 1", "items"))
+def narratives(spark, d):
+    return views.narratives(items(spark, d))
+
+
+@query(r"select lang, term, n, place::int as place from (select *, row_number() over (partition by lang order by n desc, term) as place from (select lang, term, count(*) as n from (select lang, unnest(regexp_split_to_array(text, '[ \n]+')) as term from documents) where term <> '' group by all)) where place <= 6")
+def top_terms(spark, d):
+    x = panel.table(spark, d, "documents").select("lang", F.split("text", "[ \\n]+").alias("terms"))
+    return views.top_terms(x, "lang", "terms")
+
+
+@query(O.sql("select date, " + ", ".join(f"sum(value) filter (where source = '{s}') as {s}" for s in C.SOURCES) + " from metrics where entity = 'FRANCE' group by 1", "metrics"))
+def activity_pivot(spark, d):
+    return views.activity_pivot(daily(spark, d), "FRANCE", C.SOURCES)
+
+
+@query(O.sql(f"select entity, unnest(list_filter([case when alt_signal_score >= 55 and confidence >= 50 then 'bullish' end, case when alt_signal_score <= 45 and confidence >= 50 then 'bearish' end, case when attention_score >= 90 or anomaly_score >= 95 then 'unusual' end, case when divergence >= 60 then 'divergent' end, case when hype_risk <> 'low' then 'hype' end], lambda x: x is not null)) as preset from signals where {_LAST}", "signals"))
+def explorer_presets(spark, d):
+    return views.presets(view_rows(spark, d))
+
+
+@query(O.sql("select entity, sector, case when lower(entity) = 'in' then 0 when starts_with(lower(entity), 'in') then 1 when starts_with(lower(sector), 'in') then 2 else 3 end as place from universe where contains(lower(entity), 'in') or contains(lower(sector), 'in') order by 3, 1 limit 8", "universe"))
+def search_rank(spark, d):
+    return views.search(panel.universe(spark, d), "in").select("entity", "sector", "place")
+
+
+@query(O.sql(f"select date, alt_signal_score, {O.r6('attention_z')} as attention_z, hype_risk from signals where entity = 'FRANCE' and date > (select max(date) - 90 from signals)", "signals"))
+def entity_detail(spark, d):
+    x = signals(spark, d).where("entity = 'FRANCE'")
+    last = panel.as_of(spark, d)
+    return shown(x.join(F.broadcast(last), F.col("date") > F.date_sub("as_of", 90)), "date", "alt_signal_score", "attention_z", "hype_risk")
+
+
+@query(O.sql("select source, max(date) as latest, count(*) as days, case when max(date) < (select as_of - 2 from last_day) then 'stale' else 'live' end as state from covered group by 1", "covered"))
+def source_status(spark, d):
+    covered = panel.covered_days(items(spark, d)).crossJoin(F.broadcast(panel.as_of(spark, d)))
+    return covered.groupBy("source").agg(F.max("date").alias("latest"), F.count("*").alias("days"), F.max("as_of").alias("as_of")).select("source", "latest", "days", F.when(F.col("latest") < F.date_sub("as_of", 2), "stale").otherwise("live").alias("state"))
+
+
+@query("""select case when regexp_matches(c, '[",]') then '"' || replace(c, '"', '""') || '"' else c end || ',' || p_partkey as line from (select p_partkey, case when regexp_matches(p_name, '^[=+@-]') then '''' || p_name else p_name end as c from part)""")
+def csv_export(spark, d):
+    return sinks.csv_lines(panel.table(spark, d, "part").select("p_name", "p_partkey"))
+
+
+# Streams (R1-R7)
+
+
+@query(f"select ts::date as date, event_type, count(*) as n, {O.r6('sum(value)')} as value from events group by all")
+def stream_tumbling(spark, d):
+    return shown(streams.drain(streams.tumbling(streams.events(spark, d)), "complete"))
+
+
+@query("select (ts::date + k)::date as date, event_type, count(*) as n from events cross join range(7) r(k) group by all")
+def stream_sliding(spark, d):
+    return streams.drain(streams.sliding(streams.events(spark, d)), "complete").select("date", "event_type", "n")
+
+
+@query("select user_id, event_type from events group by all")
+def stream_dedupe(spark, d):
+    return streams.drain(streams.first_seen(streams.events(spark, d), ["user_id", "event_type"])).select("user_id", "event_type")
+
+
+@query(
+    """with recursive e as (select distinct user_id, event_type, ts::date as date from events),
+    k as (select user_id, event_type, min(date) as date from e group by all union all select user_id, event_type, (select min(e.date) from e where e.user_id = k.user_id and e.event_type = k.event_type and e.date > k.date + 7) from k where k.date is not null)
+    select user_id, event_type, date from k where date is not null"""
+)
+def stream_refractory(spark, d):
+    return streams.drain(streams.refractory(streams.events(spark, d))).select("user_id", "event_type", F.col("ts").cast("date").alias("date"))
