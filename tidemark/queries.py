@@ -129,12 +129,12 @@ def semi_docs(spark, d):
     return orders.join(line, orders.o_orderkey == line.l_orderkey, "left_semi").select("o_orderkey", "o_custkey")
 
 
-@query(O.sql(f"select s.source, d.date from (select distinct source from items) s cross join days d where not exists (select 1 from covered c where c.source = s.source and c.date = d.date and exists (select 1 from items i where i.source = c.source and i.date = c.date and i.entity = 'FRANCE'))", "covered", "days", "items"))
+@query(O.sql(f"select s.source, d.date from (select distinct source from items) s cross join days d where not exists (select 1 from covered c where c.source = s.source and c.date = d.date and exists (select 1 from items i where i.source = c.source and i.date = c.date and i.entity = 'NATION_7'))", "covered", "days", "items"))
 def anti_gap_days(spark, d):
     """Expected less collected days of one entity, by source."""
     rows = items(spark, d)
     expected = rows.select("source").distinct().crossJoin(F.broadcast(spine_days(spark, d)))
-    return expected.join(rows.where("entity = 'FRANCE'").select("source", "date").distinct(), ["source", "date"], "left_anti")
+    return expected.join(rows.where("entity = 'NATION_7'").select("source", "date").distinct(), ["source", "date"], "left_anti")
 
 
 def spine_days(spark: SparkSession, d: str) -> DataFrame:
@@ -580,9 +580,9 @@ def top_terms(spark, d):
     return views.top_terms(x, "lang", "terms")
 
 
-@query(O.sql("select date, " + ", ".join(f"sum(value) filter (where source = '{s}') as {s}" for s in C.SOURCES) + " from metrics where entity = 'FRANCE' group by 1", "metrics"))
+@query(O.sql("select date, " + ", ".join(f"sum(value) filter (where source = '{s}') as {s}" for s in C.SOURCES) + " from metrics where entity = 'NATION_7' group by 1", "metrics"))
 def activity_pivot(spark, d):
-    return views.activity_pivot(daily(spark, d), "FRANCE", C.SOURCES)
+    return views.activity_pivot(daily(spark, d), "NATION_7", C.SOURCES)
 
 
 @query(O.sql(f"select entity, unnest(list_filter([case when alt_signal_score >= 55 and confidence >= 50 then 'bullish' end, case when alt_signal_score <= 45 and confidence >= 50 then 'bearish' end, case when attention_score >= 90 or anomaly_score >= 95 then 'unusual' end, case when divergence >= 60 then 'divergent' end, case when hype_risk <> 'low' then 'hype' end], lambda x: x is not null)) as preset from signals where {_LAST}", "signals"))
@@ -590,14 +590,14 @@ def explorer_presets(spark, d):
     return views.presets(view_rows(spark, d))
 
 
-@query(O.sql("select entity, sector, case when lower(entity) = 'in' then 0 when starts_with(lower(entity), 'in') then 1 when starts_with(lower(sector), 'in') then 2 else 3 end as place from universe where contains(lower(entity), 'in') or contains(lower(sector), 'in') order by 3, 1 limit 8", "universe"))
+@query(O.sql("select entity, sector, case when lower(entity) = 'ri' then 0 when starts_with(lower(entity), 'ri') then 1 when starts_with(lower(sector), 'ri') then 2 else 3 end as place from universe where contains(lower(entity), 'ri') or contains(lower(sector), 'ri') order by 3, 1 limit 8", "universe"))
 def search_rank(spark, d):
-    return views.search(panel.universe(spark, d), "in").select("entity", "sector", "place")
+    return views.search(panel.universe(spark, d), "ri").select("entity", "sector", "place")
 
 
-@query(O.sql(f"select date, alt_signal_score, {O.r6('attention_z')} as attention_z, hype_risk from signals where entity = 'FRANCE' and date > (select max(date) - 90 from signals)", "signals"))
+@query(O.sql(f"select date, alt_signal_score, {O.r6('attention_z')} as attention_z, hype_risk from signals where entity = 'NATION_7' and date > (select max(date) - 90 from signals)", "signals"))
 def entity_detail(spark, d):
-    x = signals(spark, d).where("entity = 'FRANCE'")
+    x = signals(spark, d).where("entity = 'NATION_7'")
     last = panel.as_of(spark, d)
     return shown(x.join(F.broadcast(last), F.col("date") > F.date_sub("as_of", 90)), "date", "alt_signal_score", "attention_z", "hype_risk")
 
@@ -621,7 +621,7 @@ def stream_tumbling(spark, d):
     return shown(streams.drain(streams.tumbling(streams.events(spark, d)), "complete"))
 
 
-@query("select (ts::date + k)::date as date, event_type, count(*) as n from events cross join range(7) r(k) group by all")
+@query("select (ts::date + k::int)::date as date, event_type, count(*) as n from events cross join range(7) r(k) group by all")
 def stream_sliding(spark, d):
     return streams.drain(streams.sliding(streams.events(spark, d)), "complete").select("date", "event_type", "n")
 
