@@ -145,7 +145,9 @@ def draw(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
     levels = max(0, (max(1, -(-owed // shard_blocks)) - 1).bit_length())
 
     tree = splitting_tree(plan.select("sx", "quota"), levels, seed).where("quota > 0")
-    drawn = tree.select("shard", "sx", F.explode(F.sequence(F.col("offset"), F.col("offset") + F.col("quota") - 1)).alias("seq")).join(plan.drop("quota"), "sx")
+    # merge joins: what is exploded from a few rows looks small to the optimizer, which would broadcast it
+    owing = tree.join(plan.drop("quota").hint("merge"), "sx")
+    drawn = owing.select("shard", F.explode(F.sequence(F.col("offset"), F.col("offset") + F.col("quota") - 1)).alias("seq"), *[c for c in plan.columns if c != "quota"])
     drawn = drawn.withColumn("pass", F.floor(F.col("seq") / F.col("blocks")).cast("long")).withColumn("rank", F.col("seq") % F.col("blocks"))
     # the place of rank r among the full blocks is (step * r + shift) mod full; a short last block keeps the last rank
     place = (F.col("rank") * F.col("step") + F.pmod(F.xxhash64(F.lit(seed), "sx", "pass"), F.col("full"))) % F.col("full")
@@ -165,7 +167,7 @@ def draw(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
     first, last = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)
     laid = laid.select("row", "doc_id", "sx", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
 
-    taken = drawn.join(laid, ["sx", "block"])
+    taken = drawn.join(laid.hint("merge"), ["sx", "block"])
     low = F.greatest(F.col("start"), F.col("block") * block_words)
     high = F.least(F.col("start") + F.col("size"), F.col("block") * block_words + F.col("limit"))
     taken = taken.where(low < high).select("shard", "place", "sx", "block", "pass", "row", "doc_id", (low - F.col("start")).alias("from_word"), (high - low).alias("n_words"))
