@@ -547,7 +547,7 @@ def kpis(spark, d):
     return views.kpis(view_rows(spark, d))
 
 
-@query(O.sql("select b.bin, count(s.entity) as n from range(20) b(bin) left join signals s on least(19, floor(s.alt_signal_score / 5)) = b.bin group by 1", "signals"))
+@query(O.sql("select b.bin, count(s.entity) as n from range(20) b(bin) left join signals s on s.alt_signal_score is not null and least(19, floor(s.alt_signal_score / 5)) = b.bin group by 1", "signals"))
 def histogram20(spark, d):
     return views.histogram(signals(spark, d))
 
