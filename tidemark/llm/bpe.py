@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from struct import pack
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -23,9 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: States kept at most; beyond it the machine starts afresh with the same results.
-MAX_STATES = 200_000
+MAX_STATES = 100_000
 #: Chunks of text whose ids are remembered at most, and their longest length.
-MAX_REMEMBERED, MAX_CHUNK = 400_000, 64
+MAX_REMEMBERED, MAX_CHUNK = 200_000, 64
 #: Bytes of one piece after which tokens are emitted as far as they are settled.
 EMIT = 4096
 #: Ids decoded at a time.
@@ -277,18 +278,6 @@ class Decoder:
         yield b"", machine.end()
 
 
-_MADE: dict[tuple, tuple[Encoder, Decoder]] = {}
-
-
-def _coders(ranks_file: bytes, pattern: str) -> tuple[Encoder, Decoder]:
-    """Made once in each worker process."""
-    key = (hash(ranks_file), len(ranks_file), pattern)
-    if key not in _MADE:
-        ranks = load_ranks(ranks_file)
-        _MADE[key] = Encoder(ranks, pattern), Decoder(ranks)
-    return _MADE[key]
-
-
 def _lists(parts: list[bytes]) -> pa.Array:
     ends = np.cumsum([0] + [len(p) // 4 for p in parts])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
@@ -322,7 +311,9 @@ def encode(docs: DataFrame, ranks_file: bytes, pattern: str, text: str = "text",
     sent = docs.sparkSession.sparkContext.broadcast(ranks_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = _coders(sent.value, pattern)
+        # made for each task, so that worker processes, which are used again, hold no memory between stages
+        ranks = load_ranks(sent.value)
+        encoder, decoder = Encoder(ranks, pattern), Decoder(ranks)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
@@ -338,8 +329,9 @@ def decode(coded: DataFrame, ranks_file: bytes, ids: str = "ids", text: str = "d
     sent = coded.sparkSession.sparkContext.broadcast(ranks_file)
 
     @F.pandas_udf("string")
-    def of(lists):
-        _, decoder = _coders(sent.value, "")
-        return lists.map(lambda x: "".join(t for _, t in decoder.stream(np.asarray([] if x is None else x, np.int64))))
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        decoder = Decoder(load_ranks(sent.value))
+        for lists in batches:
+            yield lists.map(lambda x: "".join(t for _, t in decoder.stream(np.asarray([] if x is None else x, np.int64))))
 
     return coded.withColumn(text, of(F.col(ids)))
