@@ -163,7 +163,9 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_bi
     chosen = by_print.join(found, by_print.fp == found.node, "left").groupBy(F.coalesce("component", "fp").alias("group")).agg(F.min("first").alias("first"))
     chosen = chosen.select(F.col("first.id").alias("id"), F.col("first.row").alias("row"))
     counts = prints.join(chosen.withColumnRenamed("id", "id2").withColumnRenamed("row", "row2"), F.col("id").eqNullSafe(F.col("id2")) & (F.col("row") == F.col("row2")))
-    kept = cut(counts.groupBy("id", "row").agg(F.count("*").alias("n")), "kept").select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("n").alias("__n"))
-    out = hashed.join(kept, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col(row) == F.col("__row")))
-    single, repeated = out.where("__n = 1"), out.where("__n > 1").dropDuplicates(["__id", "__row"])
-    return single.union(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = cut(counts.groupBy("id", "row").agg(F.count("*").alias("n")), "kept")
+    own = free_name("row_values", hashed)
+    out = hashed.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(own), F.col(doc_id).alias("doc"), F.col(row).alias("hash"))
+    out = out.join(kept, F.col("doc").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("row")))
+    single, repeated = out.where("n = 1"), out.where("n > 1").dropDuplicates(["id", "row"])
+    return single.union(repeated).select(f"{own}.*")
