@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from struct import pack
 
 import numpy as np
@@ -25,8 +25,9 @@ from pyspark.sql import types as T
 
 #: States kept at most; beyond it the machine starts afresh with the same results.
 MAX_STATES = 100_000
-#: Chunks of text whose ids are remembered at most, and their longest length.
-MAX_REMEMBERED, MAX_CHUNK = 200_000, 64
+#: Chunks of text whose ids are remembered at most, and their longest length. They are kept in two
+#: generations of half as many: when the younger is full the older is forgotten, so frequent chunks stay.
+MAX_REMEMBERED, MAX_CHUNK = 100_000, 64
 #: Bytes of one piece after which tokens are emitted as far as they are settled.
 EMIT = 4096
 #: Ids decoded at a time.
@@ -38,13 +39,13 @@ def load_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
 
 
-class State(dict):
-    """Arcs by byte: (next state, the token that ends there). ``live``: hypotheses as (token before, trie node)."""
-
-    __slots__ = ("live",)
+class Transducer:
+    """States are numbers and everything about them plain integers, which take half the memory of objects.
 
+    ``live`` has each state's hypotheses, a hypothesis being token before plus one, then trie node;
+    ``arcs`` goes from (state, byte) to (next state, the token that ends there plus one).
+    """
 
-class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
@@ -61,19 +62,22 @@ class Transducer:
                     self.depth.append(self.depth[at] + 1)
                 at = self.children[at][b]
             self.token_at[at] = rank
+        self.bits = len(self.children).bit_length()
         self.edges: dict[int, tuple[list, list] | None] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.states: dict[tuple, State] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.start = self._state(((-1, 0),))
+        self.states: dict[tuple[int, ...], int] = {}
+        self.live: list[tuple[int, ...]] = []
+        self.arcs: dict[int, int] = {}
+        self.fits: dict[int, bool] = {}
+        self.start = self._state((0,))
 
-    def _state(self, live: tuple) -> State:
+    def _state(self, live: tuple[int, ...]) -> int:
         state = self.states.get(live)
         if state is None:
-            state = self.states[live] = State()
-            state.live = live
+            state = self.states[live] = len(self.live)
+            self.live.append(live)
         return state
 
     def _merge(self, data: bytes, until: int) -> list[bytes]:
@@ -115,7 +119,7 @@ class Transducer:
         A token's rank is above those of its parts, so merges within happen in the order of ranks; of
         equal ranks the leftmost comes first.
         """
-        key = (a, b)
+        key = a << 32 | b
         fit = self.fits.get(key)
         if fit is None:
             left, right = self._edges(a), self._edges(b)
@@ -133,20 +137,21 @@ class Transducer:
             self.fits[key] = fit
         return fit
 
-    def _arc(self, state: State, byte: int) -> tuple[State, int]:
-        live, ended, children = [], -1, self.children
-        for before, node in state.live:
+    def _arc(self, state: int, byte: int) -> int:
+        live, ended, children, bits = [], 0, self.children, self.bits
+        for code in self.live[state]:
+            before, node = code >> bits, code & (1 << bits) - 1
             child = children[node].get(byte)
             if child is None:
                 continue
             token = self.token_at[child]
-            if token >= 0 and ended < 0 and (self._fit(before, token) if before >= 0 else self._edges(token) is not None):
-                ended = token
+            if token >= 0 and not ended and (self._fit(before - 1, token) if before else self._edges(token) is not None):
+                ended = token + 1
             if children[child]:
-                live.append((before, child))
-        if ended >= 0:
-            live.append((ended, 0))
-        arc = state[byte] = (self._state(tuple(live)), ended)
+                live.append(before << bits | child)
+        if ended:
+            live.append(ended << bits)
+        arc = self.arcs[state << 8 | byte] = self._state(tuple(live)) << 32 | ended
         return arc
 
     def _back(self, last: list[int], at: int) -> list[int]:
@@ -160,11 +165,11 @@ class Transducer:
             at -= length[token]
         return out
 
-    def _settled(self, last: list[int], state: State) -> int:
+    def _settled(self, last: list[int], state: int) -> int:
         """The longest prefix on whose tokens all live hypotheses agree."""
         common: set[int] | None = None
-        for _, node in state.live:
-            at = len(last) - self.depth[node]
+        for code in self.live[state]:
+            at = len(last) - self.depth[code & (1 << self.bits) - 1]
             ends = {at}
             for token in self._back(last, at):
                 at -= self.length[token]
@@ -176,56 +181,61 @@ class Transducer:
         """Ids of one match of the split pattern. Tokens of long pieces are emitted every ``EMIT`` bytes."""
         if piece in self.ranks:
             return [self.ranks[piece]]
-        if len(self.states) > MAX_STATES:
+        if len(self.live) > MAX_STATES:
             self._reset()
-        state, last, out = self.start, [], []
+        state, last, out, arc_of = self.start, [], [], self.arcs.get
         for byte in piece:
-            state, token = state.get(byte) or self._arc(state, byte)
-            last.append(token)
+            arc = arc_of(state << 8 | byte)
+            if arc is None:
+                arc = self._arc(state, byte)
+            state = arc >> 32
+            last.append((arc & 0xFFFFFFFF) - 1)
             if len(last) >= EMIT:
                 settled = self._settled(last, state)
                 out += self._back(last, settled)[::-1]
                 del last[:settled]
+                if len(self.live) > MAX_STATES:  # within a very long piece, too
+                    live = self.live[state]
+                    self._reset()
+                    state, arc_of = self._state(live), self.arcs.get
         out += self._back(last, len(last))[::-1]
         return out
 
 
+class Remembered(dict):
+    """Chunks to ids in two generations; ``make`` gives those of a chunk in neither."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self.make(chunk)
+        if len(chunk) <= MAX_CHUNK:
+            if 2 * len(self) >= MAX_REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+
 class Encoder:
     """Whole texts to ids: splits by the pattern, runs the transducer, remembers chunks between spaces."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.machine, self.split = Transducer(ranks), regex.compile(pattern).findall
         self.odd = regex.compile(r" (?=\s)| $").search
-        self.seen: dict[str, bytes] = {}
-        machine = self
-
-        class Chunks(dict):
-            def __missing__(self, chunk: str) -> bytes:
-                ids = machine.pieces(" " + chunk)
-                if len(chunk) <= MAX_CHUNK:
-                    if len(self) > MAX_REMEMBERED:
-                        self.clear()
-                    self[chunk] = ids
-                return ids
-
-        self.chunks = Chunks()
-
-    def _packed(self, piece: bytes) -> bytes:
-        ids = self.machine.encode(piece)
+        self.seen = Remembered(self._packed)
+        self.chunks = Remembered(lambda chunk: self.pieces(" " + chunk))
+
+    def _packed(self, piece: str) -> bytes:
+        ids = self.machine.encode(piece.encode())
         return pack(f"<{len(ids)}I", *ids)
 
     def pieces(self, text: str) -> bytes:
-        out = []
-        for piece in self.split(text):
-            ids = self.seen.get(piece)
-            if ids is None:
-                ids = self._packed(piece.encode())
-                if len(piece) <= MAX_CHUNK:
-                    if len(self.seen) > MAX_REMEMBERED:
-                        self.seen.clear()
-                    self.seen[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.seen.__getitem__, self.split(text)))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers.
