@@ -523,8 +523,9 @@ def entity_mentions(spark, d):
 
 @query()
 def lexicon_sentiment(spark, d):
-    text = F.concat(F.element_at(F.array(*map(F.lit, ("very good stock", "not good app", "maybe bad", "great /s"))), (F.col("doc_id") % 4 + 1).cast("int")), F.lit(" "), F.substring("text", 1, 200))
-    x = panel.table(spark, d, "documents").select("doc_id", resolve.classify(text, F.array(F.lit(0))).alias("s"))
+    """Classification of whole documents, each led by a planted phrase."""
+    text = F.concat(F.element_at(F.array(*map(F.lit, ("very good stock", "not good app", "maybe bad", "great /s"))), (F.col("doc_id") % 4 + 1).cast("int")), F.lit(" "), F.col("text"))
+    x = panel.table(spark, d, "documents").select("doc_id", resolve.classify(text, F.lit(None).cast("array<int>")).alias("s"))
     return shown(x.select("doc_id", "s.*"), "doc_id", "label", "aspect", "score", "confidence")
 
 
