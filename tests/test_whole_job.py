@@ -1,9 +1,13 @@
 """Queries and operators do the whole of their job: no prefix, no bound on rounds, no task that takes all rows."""
 
+import datetime as dt
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark import queries as Q
-from tidemark.operators import resolve
+from tidemark.operators import dedupe, resolve
 
 PLANTED = ("very good stock", "not good app", "maybe bad", "great /s")
 
@@ -22,3 +26,30 @@ def test_sentiment_reads_whole_documents(spark, tmp_path):
     # these labels and aspects are due to words after the first 200 characters
     assert got[0].label == "negative" and got[1].label == "positive" and got[5].label == "sarcastic"
     assert got[2].aspect == "product" and got[6].aspect == "reputation"
+
+
+def chain(n, seed=1):
+    """Fingerprints each near (2 or 3 bits) only the ones before and after."""
+    r, out = random.Random(seed), [0]
+    while len(out) < n:
+        new = out[-1]
+        for bit in r.sample(range(64), r.choice([2, 3])):
+            new ^= 1 << bit
+        if all((new ^ x).bit_count() > 3 for x in out[:-1]):
+            out.append(new)
+    return [x - (1 << 64) if x >> 63 else x for x in out]
+
+
+def test_long_chains_of_near_copies_are_decided(spark, monkeypatch):
+    fps = chain(90)
+    monkeypatch.setattr(dedupe.X, "simhash", lambda text: F.regexp_extract(text, r"(-?\d+)$", 1).cast("long"))
+    rows = [(i, None, "c", f"a{i % 3}", f"version {i} of the text {fp}", dt.datetime(2026, 1, 1) + dt.timedelta(minutes=i)) for i, fp in enumerate(fps)]
+    df = spark.createDataFrame(rows, "doc_id long, url string, community string, author_hash string, text string, published_at timestamp")
+    got = {r.doc_id: r.status for r in dedupe.statuses(df).collect()}
+    # every second version repeats the one before, which is retained; an author's second is a bot_repeat
+    seen, expected = set(), {}
+    for i in range(len(fps)):
+        expected[i] = "unique" if i % 2 == 0 else "bot_repeat" if i % 3 in seen else "near_duplicate"
+        if i % 2:
+            seen.add(i % 3)
+    assert got == expected

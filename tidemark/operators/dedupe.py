@@ -50,12 +50,31 @@ def candidate_pairs(items: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return met.select("fp", "fp2")
 
 
-def statuses(items: DataFrame, max_bits: int = MAX_BITS, rounds: int = 64) -> DataFrame:
+def dropped(edges: DataFrame) -> DataFrame:
+    """(fp) of the fingerprints that repeat a retained one; (fp, fp2) are all those near, fp2 being the earlier.
+
+    Each round retains the fingerprints that wait for none, drops what they hit, and forgets the edges of what
+    is dropped; the rest is checkpointed. The earliest open one always waits for none, so rounds go on until
+    no edge is left, however deep a chain is.
+    """
+    gone = edges.select("fp").limit(0)
+    rounds = 0
+    while not edges.isEmpty():
+        free = edges.select(F.col("fp2").alias("free")).distinct().join(edges.select("fp").distinct(), F.col("free") == F.col("fp"), "left_anti")
+        hit = edges.join(free, F.col("fp2") == F.col("free"), "left_semi").select("fp").distinct().checkpoint()
+        gone = gone.union(hit)
+        rounds += 1
+        if rounds % 16 == 0:  # keeps the plan short
+            gone = gone.checkpoint()
+        edges = edges.join(hit, "fp", "left_anti").join(hit.select(F.col("fp").alias("fp2")), "fp2", "left_anti").select("fp", "fp2").checkpoint()
+    return gone
+
+
+def statuses(items: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """All three stages and the bot flag: (doc_id, status, author_hash).
 
     An item is a near_duplicate only of a retained one, so whether it is retained depends on those before
-    it: each round decides the items all of whose earlier neighbours are decided. Decided rows are
-    checkpointed every round. An author's second and later exact or near duplicate is a bot_repeat.
+    it. An author's second and later exact or near duplicate is a bot_repeat.
     """
     shared_dir(items.sparkSession)  # sets a checkpoint folder where there is none
     x = exact_statuses(items)
@@ -65,14 +84,9 @@ def statuses(items: DataFrame, max_bits: int = MAX_BITS, rounds: int = 64) -> Da
     nodes = ranked.where("i = 1").select("fp", "published_at", "doc_id")
     edges = candidate_pairs(nodes.select("fp"), max_bits).join(nodes.select("fp", F.col("published_at").alias("t"), F.col("doc_id").alias("d")), "fp").join(nodes.select(F.col("fp").alias("fp2"), F.col("published_at").alias("t2"), F.col("doc_id").alias("d2")), "fp2")
     edges = edges.where((F.col("t2") < F.col("t")) | ((F.col("t2") == F.col("t")) & (F.col("d2") < F.col("d")))).select("fp", "fp2").checkpoint()
-    state = nodes.select("fp").withColumn("kept", F.lit(None).cast("boolean"))
-    for _ in range(rounds):
-        earlier = edges.join(state.select(F.col("fp").alias("fp2"), F.col("kept").alias("kept2")), "fp2").groupBy("fp").agg(F.max(F.coalesce("kept2", F.lit(False))).alias("hit"), F.count_if(F.col("kept2").isNull()).alias("waits"))
-        state = state.join(earlier, "fp", "left").select("fp", F.coalesce("kept", F.when(F.col("hit"), False).when(F.coalesce("waits", F.lit(0)) == 0, True)).alias("kept")).checkpoint()
-        if state.where("kept is null").isEmpty():
-            break
+    gone = dropped(edges).withColumn("gone", F.lit(True))
     # a fingerprint seen before repeats a retained item, or what that repeats
-    near = ranked.join(state, "fp").where(~F.col("kept") | (F.col("i") > 1)).select("doc_id", F.lit("near_duplicate").alias("near"))
+    near = ranked.join(gone, "fp", "left").where(F.col("gone") | (F.col("i") > 1)).select("doc_id", F.lit("near_duplicate").alias("near"))
     x = x.join(near, "doc_id", "left").withColumn("status", F.coalesce("status", "near", F.lit("unique")))
     flagged = F.col("status").isin("duplicate_exact", "near_duplicate") & F.col("author_hash").isNotNull()
     nth = F.row_number().over(Window.partitionBy("author_hash", flagged).orderBy("published_at", "doc_id"))
