@@ -53,3 +53,18 @@ def test_long_chains_of_near_copies_are_decided(spark, monkeypatch):
         if i % 2:
             seen.add(i % 3)
     assert got == expected
+
+
+@pytest.mark.parametrize("name", ["exact_dedupe", "near_dedupe", "mad"])
+def test_no_task_takes_the_rows_of_a_common_key(spark, name):
+    plan = Q.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "collect_list" not in plan
+
+
+def test_statuses_of_null_and_common_keys(spark):
+    schema = "doc_id long, url string, community string, author_hash string, text string, published_at timestamp"
+    at = lambda i: dt.datetime(2026, 1, 1) + dt.timedelta(minutes=i)
+    rows = [(0, "http://x/1", None, "u", "one text about a river", at(5)), (1, "http://x/1", None, "u", "two text about a mill", at(6)), (2, "http://x/1", "b", None, "three", at(7)), (3, None, "b", None, "One text, about a river!", at(8)), (4, None, "b", None, None, at(8)), (5, None, "b", None, "short", at(9)), (6, None, "b", None, "short", at(9)), (7, None, "b", "u", "one text about a river", at(4)), (8, None, "b", "u", "one text about a river", at(10))]
+    got = {r.doc_id: r.status for r in dedupe.statuses(spark.createDataFrame(rows, schema)).collect()}
+    # 7 is the earliest of the text; 0 and 8 are by one author
+    assert got == {7: "unique", 0: "duplicate_exact", 1: "duplicate_url", 2: "crosspost", 3: "duplicate_exact", 4: "unique", 5: "unique", 6: "unique", 8: "bot_repeat"}

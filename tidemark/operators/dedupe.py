@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
@@ -12,26 +12,39 @@ from tidemark.sources.shared import shared_dir
 MAX_BITS, MIN_CHARS = 3, 12
 
 
-def _first(key: list[Column], *order: str) -> Column:
-    return F.row_number().over(Window.partitionBy(*key).orderBy(*order)) == 1
+def _first(rows: DataFrame, key: str, *more: str) -> DataFrame:
+    """A row for each ``key`` that isn't null: ``key`` and ``first``, a struct of the earliest row's published_at, doc_id and ``more``."""
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct("published_at", "doc_id", *more)).alias("first"))
+
+
+def _later(rows: DataFrame, key: str) -> DataFrame:
+    """(doc_id) of the rows with a ``key`` that aren't the first of theirs. Only first rows are looked up, so a hot key is no task's load."""
+    return rows.where(F.col(key).isNotNull()).select("doc_id").join(_first(rows, key).select(F.col("first.doc_id").alias("doc_id")), "doc_id", "left_anti")
+
+
+def _narrow(items: DataFrame) -> DataFrame:
+    """(doc_id, published_at, community, canon, text_key) of the items; text_key is null for texts that aren't compared."""
+    norm = X.normalised(F.col("text"))
+    return items.select("doc_id", "published_at", "community", X.canonical_url(F.col("url")).alias("canon"), F.when(F.char_length(norm) >= MIN_CHARS, F.sha2(norm.cast("binary"), 256)).alias("text_key"))
+
+
+def _exact(rows: DataFrame) -> DataFrame:
+    """(doc_id, status) of the items that stages one and two find, from narrow rows."""
+    firsts = _first(rows, "canon", "community").select(F.col("canon").alias("of"), "first")
+    seen = rows.join(firsts, F.col("canon") == F.col("of")).where(F.col("doc_id") != F.col("first.doc_id"))
+    seen = seen.select("doc_id", F.when(F.col("first.community").eqNullSafe(F.col("community")), "duplicate_url").otherwise("crosspost").alias("status"))
+    alive = rows.join(seen.select("doc_id"), "doc_id", "left_anti")
+    return seen.union(_later(alive, "text_key").select("doc_id", F.lit("duplicate_exact").alias("status")))
 
 
 def exact_statuses(items: DataFrame) -> DataFrame:
-    """Stages one and two: (doc_id, published_at, url, community, text, ...) with ``status`` and ``norm``.
+    """Stages one and two: (doc_id, published_at, url, community, text, ...) with ``status``; doc_id is unique.
 
     An external canonical URL seen before makes a duplicate_url in the community it was first seen in, a
     crosspost elsewhere. Of the others, normalised texts of at least 12 characters seen before are
     duplicate_exact. Items without a URL or with a short text pass the stage.
     """
-    x = items.withColumn("canon", X.canonical_url(F.col("url"))).withColumn("norm", X.normalised(F.col("text")))
-    order = ("published_at", "doc_id")
-    by_url = Window.partitionBy("canon").orderBy(*order)
-    seen = F.col("canon").isNotNull() & (F.row_number().over(by_url) > 1)
-    x = x.withColumn("status", F.when(seen, F.when(F.first("community").over(by_url).eqNullSafe(F.col("community")), "duplicate_url").otherwise("crosspost")))
-    long = F.char_length("norm") >= MIN_CHARS
-    alive = F.col("status").isNull()
-    again = alive & long & ~_first([F.col("norm"), alive & long], *order)
-    return x.withColumn("status", F.when(again, "duplicate_exact").otherwise(F.col("status")))
+    return items.join(_exact(_narrow(items)), "doc_id", "left")
 
 
 def candidate_pairs(items: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -77,17 +90,18 @@ def statuses(items: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     it. An author's second and later exact or near duplicate is a bot_repeat.
     """
     shared_dir(items.sparkSession)  # sets a checkpoint folder where there is none
-    x = exact_statuses(items)
-    open_ = x.where(F.col("status").isNull() & (F.char_length("norm") >= MIN_CHARS)).withColumn("fp", X.simhash(F.col("text")))
-    first = Window.partitionBy("fp").orderBy("published_at", "doc_id")
-    ranked = open_.select("doc_id", "fp", "published_at", F.row_number().over(first).alias("i")).checkpoint()
-    nodes = ranked.where("i = 1").select("fp", "published_at", "doc_id")
+    rows = _narrow(items).checkpoint()
+    exact = _exact(rows).checkpoint()
+    open_ = rows.where(F.col("text_key").isNotNull()).select("doc_id", "published_at").join(exact, "doc_id", "left_anti")
+    open_ = items.select("doc_id", "text").join(open_, "doc_id").select("doc_id", "published_at", X.simhash(F.col("text")).alias("fp")).checkpoint()
+    nodes = _first(open_, "fp").select("fp", "first.*")
     edges = candidate_pairs(nodes.select("fp"), max_bits).join(nodes.select("fp", F.col("published_at").alias("t"), F.col("doc_id").alias("d")), "fp").join(nodes.select(F.col("fp").alias("fp2"), F.col("published_at").alias("t2"), F.col("doc_id").alias("d2")), "fp2")
     edges = edges.where((F.col("t2") < F.col("t")) | ((F.col("t2") == F.col("t")) & (F.col("d2") < F.col("d")))).select("fp", "fp2").checkpoint()
-    gone = dropped(edges).withColumn("gone", F.lit(True))
     # a fingerprint seen before repeats a retained item, or what that repeats
-    near = ranked.join(gone, "fp", "left").where(F.col("gone") | (F.col("i") > 1)).select("doc_id", F.lit("near_duplicate").alias("near"))
-    x = x.join(near, "doc_id", "left").withColumn("status", F.coalesce("status", "near", F.lit("unique")))
-    flagged = F.col("status").isin("duplicate_exact", "near_duplicate") & F.col("author_hash").isNotNull()
-    nth = F.row_number().over(Window.partitionBy("author_hash", flagged).orderBy("published_at", "doc_id"))
-    return x.withColumn("status", F.when(flagged & (nth >= 2), "bot_repeat").otherwise(F.col("status"))).select("doc_id", "status", "author_hash")
+    kept = nodes.join(dropped(edges), "fp", "left_anti").select("doc_id")
+    near = open_.select("doc_id").join(kept, "doc_id", "left_anti").select("doc_id", F.lit("near_duplicate").alias("status"))
+    found = exact.union(near)
+    x = items.select("doc_id", "published_at", "author_hash").join(found, "doc_id", "left").checkpoint()
+    flagged = x.where(F.col("status").isin("duplicate_exact", "near_duplicate"))
+    bots = _later(flagged, "author_hash").select("doc_id", F.lit("bot_repeat").alias("bot"))
+    return x.join(bots, "doc_id", "left").select("doc_id", F.coalesce("bot", "status", F.lit("unique")).alias("status"), "author_hash")
