@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 
 # Fixed values of this module: element names and hints of boilerplate, and stop words of four languages.
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "object", "svg", "math", "canvas", "select", "head", "title", "audio", "video"}
+#: Elements whose inside is no markup: without an end tag they reach to the end of the page.
+TEXT_ONLY = {"script", "style", "textarea", "title", "iframe"}
+#: Elements whose inside is no article text either: without an end tag they reach to the next block-level tag.
+NOT_TEXT = {"svg", "math", "select", "template"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "button", "dialog", "fieldset", "label", "address"}
 REGIONS = {"article", "main"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -52,6 +56,9 @@ class Block(NamedTuple):
     region: int
 
 
+BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK))})(?=[\s/>])", re.I)
+
+
 def hinted(name: str, attributes: str) -> bool:
     """Whether an element is boilerplate by its class, id or role, or is hidden."""
     for key, value in ATTRIBUTE.findall(attributes):
@@ -77,6 +84,7 @@ def cut_blocks(html: str) -> list[tuple[str, int, bool, int]]:
     stack: list[tuple[str, bool, int]] = [("", False, 0)]  # element, in boilerplate, region
     parts: list[str] = []
     link, linked, regions, breaks, at = False, 0, 0, 0, 0
+    unclosed: set[str] = set()  # elements with no end tag further on
 
     def end() -> None:
         nonlocal linked
@@ -110,10 +118,16 @@ def cut_blocks(html: str) -> list[tuple[str, int, bool, int]]:
         closing = bool(found[1])
         if name in RAW and not closing:
             if not found[3].endswith("/"):
-                close = re.compile(rf"</{re.escape(name)}(?=[\s/>]|$)[^>]*>?", re.I).search(html, at)
-                if close is None and name == "head":  # an unclosed head ends where the body begins
-                    close = re.compile(r"(?=<body[\s>])", re.I).search(html, at)
-                at = close.end() if close else len(html)
+                close = None if name in unclosed else re.compile(rf"</{re.escape(name)}(?=[\s/>]|$)[^>]*>?", re.I).search(html, at)
+                if close:
+                    at = close.end()
+                elif name in TEXT_ONLY:
+                    at = len(html)
+                else:  # of others only the tag is skipped; what else a head may hold has no text
+                    unclosed.add(name)
+                    if name in NOT_TEXT:
+                        block = BLOCK_TAG.search(html, at)
+                        at = block.start() if block else at
             continue
         if name == "a":
             link = not closing
