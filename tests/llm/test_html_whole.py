@@ -1,4 +1,4 @@
-"""Pages without some end tags keep all of their article."""
+"""Pages without some end tags or with layout classes keep all of their article."""
 
 import time
 
@@ -15,6 +15,15 @@ UNCLOSED = [
     (f"<article><p>{LONG}</p><script>var a = '<p>no</p>';", LONG),
     (f"<head><title>t</title><p>no</p></head><p>{LONG}</p>", LONG),
 ]
+WRAPPED = [
+    *[(f"<div class='{c}'><article><h1>A title</h1><p>{LONG}</p><p>Short.</p></article></div>", f"A title\n{LONG}\nShort.") for c in ("has-sidebar", "page no-sidebar", "content-sidebar-wrap", "with-header", "content-sidebar", "layout-header")],
+    *[(f"<div class='{c}'><h1>A title</h1><p>{LONG}</p><p>Short.</p></div>", f"A title\n{LONG}\nShort.") for c in ("has-sidebar", "content-sidebar-wrap", "content-sidebar")],
+    (f"<article><h1 class='entry-header'>A title</h1><p>{LONG}</p></article>", f"A title\n{LONG}"),
+    (f"<article><header class='article-header'><h1>A title</h1></header><p>{LONG}</p></article>", f"A title\n{LONG}"),
+    (f"<div id=sidebar><main><p>{LONG}</p></main></div>", LONG),
+    (f"<p>{LONG}</p><div class='site-footer'><p>Few words.</p></div><div class='nav-wrapper'><p>{LONG}</p></div><section id='comments'><article><p>{LONG}</p></article></section>", LONG),
+    (f"<div hidden><main><p>{LONG}</p></main></div><p>{LONG}</p>", LONG),
+]
 
 
 @pytest.mark.parametrize("page,expected", UNCLOSED)
@@ -22,6 +31,11 @@ def test_elements_without_end_tags(page, expected):
     assert html.main_text(page)[0] == expected
 
 
+@pytest.mark.parametrize("page,expected", WRAPPED)
+def test_layout_classes(page, expected):
+    assert html.main_text(page)[0] == expected
+
+
 def test_many_unclosed_elements_take_linear_time():
     begin = time.time()
     assert html.main_text(f"<p>{LONG}</p>" + "<canvas>x" * 100_000)[0].startswith(LONG)

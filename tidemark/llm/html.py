@@ -2,7 +2,8 @@
 
 A page is cut into blocks at block-level tags. The first pass decides blocks by where they stand (menus,
 footers, forms, comments and the like are boilerplate), by link density, and by length and stop-word
-density. Blocks that this leaves ambiguous, being short or without stop words, then inherit the label of
+density. A class or id that only ends in a hint ("entry-footer") is a lean: dense blocks in it are main text,
+its ambiguous blocks look for decided ones in it alone, and without such they are boilerplate. Blocks that this leaves ambiguous, being short or without stop words, then inherit the label of
 the nearest decided blocks of their region: the nearer of the two sides, main text on a tie. A region is
 an article or main element, or all that is outside such; without a decided block in it, its ambiguous
 blocks are main text.
@@ -46,6 +47,10 @@ SHORT, LINKED, DENSE = 70, 0.5, 0.15
 TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Last parts of a class or id that say only that it is a box; first parts that say what an element has or lacks.
+BOXES = set("area bar block body box buttons container content group inner item items links list posts section slot text unit wrap wrapper".split())
+ABOUT = set("has have no not with without is".split())
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 EDGE = ".,;:!?\"'()[]«»…*&%$#|-"
 
 
@@ -57,33 +62,53 @@ class Block(NamedTuple):
 
 
 BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK))})(?=[\s/>])", re.I)
-
-
-def hinted(name: str, attributes: str) -> bool:
-    """Whether an element is boilerplate by its class, id or role, or is hidden."""
+FIRM, LEAN = 2, 1
+
+
+def hint_of(token: str, name: str, region: int) -> int:
+    """FIRM if a class or id is a hint of boilerplate, but for words for a box; LEAN if it ends in one; else 0."""
+    parts = [p.lower() for p in PARTS.findall(token)]
+    if not parts or parts[0] in ABOUT:
+        return 0
+    bare = list(parts)
+    while len(bare) > 1 and bare[-1] in BOXES:
+        bare.pop()
+    if "header" in (bare[-1], parts[-1]) and (region or name in HEADINGS):  # as the element: an article's own header is text
+        return 0
+    if token.lower() in HINTS or (len(bare) == 1 and bare[0] in HINTS):
+        return FIRM
+    return LEAN if parts[-1] in HINTS and name not in HEADINGS else 0
+
+
+def hinted(name: str, attributes: str, region: int = 0) -> tuple[int, int]:
+    """Whether an element is boilerplate by its class or id (0, LEAN or FIRM), and by its role or for being hidden (0 or FIRM)."""
+    by_class, other = 0, 0
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key in ("class", "id"):
             # body and article elements carry page-wide classes
-            if name not in REGIONS and name not in ("body", "html") and any(p.lower() in HINTS for p in PARTS.findall(value)):
-                return True
+            if name not in REGIONS and name not in ("body", "html"):
+                by_class = max([by_class, *(hint_of(t, name, region) for t in value.split())])
         elif key == "role":
             if value.lower() in ROLES:
-                return True
+                other = FIRM
         elif key == "style":
             if re.search(r"display\s*:\s*none", value, re.I):
-                return True
+                other = FIRM
         elif key == "hidden" or value.lower() == "true":
-            return True
-    return False
+            other = FIRM
+    return by_class, other
 
 
-def cut_blocks(html: str) -> list[tuple[str, int, bool, int]]:
-    """(text, characters in links, in boilerplate, region) of the page's blocks, in order; region 0 is outside all."""
-    out: list[tuple[str, int, bool, int]] = []
-    stack: list[tuple[str, bool, int]] = [("", False, 0)]  # element, in boilerplate, region
+def cut_blocks(html: str) -> list[tuple[str, int, bool, int, int]]:
+    """(text, characters in links, in boilerplate, region, lean) of the page's blocks, in order; region and lean 0 are outside all.
+
+    An article ends an inherited lean, a main element any inherited class or id.
+    """
+    out: list[tuple[str, int, bool, int, int]] = []
+    stack: list[tuple[str, bool, bool, int, int]] = [("", False, False, 0, 0)]  # element, in boilerplate by place, by class, region, lean
     parts: list[str] = []
-    link, linked, regions, breaks, at = False, 0, 0, 0, 0
+    link, linked, regions, leans, breaks, at = False, 0, 0, 0, 0, 0
     unclosed: set[str] = set()  # elements with no end tag further on
 
     def end() -> None:
@@ -92,7 +117,7 @@ def cut_blocks(html: str) -> list[tuple[str, int, bool, int]]:
             text = "".join(parts)
             text = " ".join((unescape(text) if "&" in text else text).split())
             if text:
-                out.append((text, linked, stack[-1][1], stack[-1][2]))
+                out.append((text, linked, stack[-1][1] or stack[-1][2], *stack[-1][3:]))
             parts.clear()
         linked = 0
 
@@ -137,7 +162,7 @@ def cut_blocks(html: str) -> list[tuple[str, int, bool, int]]:
                 end()
             else:
                 parts.append(" ")
-        elif name in BLOCK or (not closing and name not in VOID and found[3] and hinted(name, found[3])) or (closing and any(e[0] == name for e in stack)):
+        elif name in BLOCK or (not closing and name not in VOID and found[3] and any(hinted(name, found[3], stack[-1][3]))) or (closing and any(e[0] == name for e in stack)):
             end()
             breaks = 0
             if closing:
@@ -150,12 +175,19 @@ def cut_blocks(html: str) -> list[tuple[str, int, bool, int]]:
                     stack.pop()
                 if name == "li" and stack[-1][0] == "li":
                     stack.pop()
-                _, bad, region = stack[-1]
+                _, bad, by_class, region, lean = stack[-1]
                 if name in REGIONS and not region:
                     regions += 1
                     region = regions
-                bad = bad or name in BOILERPLATE or (name == "header" and not region) or bool(found[3] and hinted(name, found[3]))
-                stack.append((name, bad, region))
+                own, other = hinted(name, found[3], region) if found[3] else (0, 0)
+                if name in REGIONS:
+                    lean = 0
+                    by_class = by_class and name != "main"
+                if own == LEAN:
+                    leans += 1
+                    lean = leans
+                bad = bad or name in BOILERPLATE or (name == "header" and not region) or other == FIRM
+                stack.append((name, bad, by_class or own == FIRM, region, lean))
     end()
     return out
 
@@ -169,7 +201,7 @@ def classify(html: str | None) -> list[Block]:
     """The blocks of a page with their labels. A null or empty page has none."""
     blocks = cut_blocks(html or "")
     labels: list[tuple[str | None, str]] = []
-    for text, linked, bad, _ in blocks:
+    for text, linked, bad, _, _ in blocks:
         if bad:
             labels.append(("boilerplate", "place"))
         elif linked > LINKED * len(text):
@@ -181,20 +213,20 @@ def classify(html: str | None) -> list[Block]:
     # distance to the nearest decided block of the region on either side; what is out of place decides nothing
     sides = []
     for order in (range(len(blocks)), range(len(blocks) - 1, -1, -1)):
-        last: dict[int, tuple[int, str]] = {}
+        last: dict[tuple[int, int], tuple[int, str]] = {}
         near: dict[int, tuple[int, str] | None] = {}
         for i in order:
-            region = blocks[i][3]
+            region = blocks[i][3:]
             if labels[i][0] is None:
                 near[i] = last.get(region)
             elif labels[i][1] != "place":
                 last[region] = (i, labels[i][0])
         sides.append(near)
     out = []
-    for i, ((text, _, _, region), (label, reason)) in enumerate(zip(blocks, labels, strict=True)):
+    for i, ((text, _, _, region, lean), (label, reason)) in enumerate(zip(blocks, labels, strict=True)):
         if label is None:
             near = [(abs(i - s[i][0]), s[i][1] != "main", s[i][1]) for s in sides if s[i]]
-            label, reason = (min(near)[2], f"{reason}, near {min(near)[2]}") if near else ("main", f"{reason}, alone")
+            label, reason = (min(near)[2], f"{reason}, near {min(near)[2]}") if near else ("boilerplate" if lean else "main", f"{reason}, alone")
         out.append(Block(text, label, reason, region))
     return out
 
