@@ -5,13 +5,15 @@ learned vectors of its characters' n-grams (bytes with word ends, hashed) over t
 side; attention pools their states into one logit. All overlapping windows of a text are scored; the
 largest logit and the number of windows give the text's score by a logistic fit.
 
-Training takes a bounded sample of labelled texts and windows of them; a text's label is that of its
-window with the largest logit (multiple-instance learning).
+Training takes a bounded sample of labelled texts; a text's label is that of its window with the largest
+logit (multiple-instance learning), which tasks look for among all windows of the text before each round.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
+from copy import copy
 
 import numpy as np
 import pandas as pd
@@ -19,13 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import cut
 from tidemark.llm.learning import fit_logistic, held_out, labelled_sample
 
 MODULUS, KEPT_OUT = 5, 0
-#: Labelled texts that the network is trained on, and windows of each, at most.
-SAMPLE, BAG, SEED = 4000, 10, 4
-#: Words to a window and from one window's start to the next.
-WINDOW, STRIDE = 32, 24
+#: Labelled texts that the network is trained on, at most, and windows of each in a round before the network can choose them, drawn anew.
+SAMPLE, DRAWN, SEED = 4000, 3, 4
+#: Words to a window and from one window's start to the next: half a window, so that what is no longer than that lies in one whole.
+WINDOW, STRIDE = 32, 16
 WIDTH, HIDDEN, ATTENTION, TABLE_BITS = 16, 12, 8, 15
 ROUNDS, BATCH, RATE = (2, 6), 96, 0.05
 #: Texts of the sample that a word with a vector of its own occurs in, at least, and such words, at most.
@@ -212,17 +215,22 @@ class Scorer:
             self.table[at : at + len(fresh)] = self.net.inputs(self.net.vectors(fresh))
         return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
 
-    def largest(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Of each text: the largest logit of its windows, and their number. Windows of many texts are scored together."""
-        top, many = np.full(len(texts), -np.inf), np.zeros(len(texts))
+    def largest(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text: the largest logit of its windows, their number, and the word that window starts at. Windows of many texts are scored together."""
+        top, many, where = np.full(len(texts), -np.inf), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         held, size = [], 0
 
         def flush() -> None:
             nonlocal held, size
             x, mask = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
             of = np.repeat([h[0] for h in held], [len(h[1]) for h in held])
+            begin = np.concatenate([h[3] + STRIDE * np.arange(len(h[1])) for h in held])
             for i in range(0, len(x), CHUNK):
-                np.maximum.at(top, of[i : i + CHUNK], self.net.forward(self.table, x[i : i + CHUNK], mask[i : i + CHUNK]))
+                logits, o, b = self.net.forward(self.table, x[i : i + CHUNK], mask[i : i + CHUNK]), of[i : i + CHUNK], begin[i : i + CHUNK]
+                order = np.lexsort((-b, logits, o))
+                best = order[np.append(o[order][1:] != o[order][:-1], True)]
+                best = best[logits[best] > top[o[best]]]
+                top[o[best]], where[o[best]] = logits[best], b[best]
             held, size = [], 0
 
         for i, text in enumerate(texts):
@@ -237,116 +245,121 @@ class Scorer:
                         flush()
                     self._forget()
                 x, mask = _windows(self.rows(part))
-                held.append((i, x, mask))
+                held.append((i, x, mask, at))
                 size += len(x)
                 if size >= CHUNK:
                     flush()
         if held:
             flush()
-        return top, many
+        return top, many, where
 
     def score(self, texts: list[bytes | None]) -> np.ndarray:
-        top, many = self.largest(texts)
+        top, many, _ = self.largest(texts)
         x = self.net.fit
         return _sigmoid(np.clip(x[0] * top + x[1] * np.log(many) + x[2], -30, 30))
 
 
-def fit(bags: Iterable[list[list[bytes]]], y: np.ndarray, seed: int = SEED) -> Network:
-    """Train on bags of windows (lists of words), one bag for each text of label y.
+def packed(windows: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Words of some windows, and the windows as rows of them with their mask."""
+    number: dict[bytes, int] = {}
+    x, mask = np.zeros((len(windows), WINDOW), np.int64), np.zeros((len(windows), WINDOW), np.float32)
+    for i, window in enumerate(windows):
+        own = [number.setdefault(w, len(number)) for w in window.split()]
+        x[i, : len(own)], mask[i, : len(own)] = own, 1
+    return list(number) or [b"."], x, mask
+
+
+def fit(chosen: Callable[[Network | None], tuple[np.ndarray, list[list[bytes]]]], known: list[bytes], y: np.ndarray, seed: int = SEED) -> Network:
+    """Train on what ``chosen`` returns before each round: labels, and windows (words joined by spaces) of each text.
 
-    First every window of a bag counts with the bag's label, then only that of the largest logit. Without
-    texts of both classes the network says the share of label 1.
+    First it is asked for windows without a network, then for those of the largest logit. ``y`` are the
+    labels of all texts; without both classes the network says the share of label 1.
     """
     r = np.random.default_rng(seed)
-    number: dict[bytes, int] = {}
-    coded = [[np.array([number.setdefault(w, len(number)) for w in window], np.int32) for window in bag] for bag in bags]
-    words = list(number)
-    seen = np.zeros(len(words), np.int64)
-    for bag in coded:
-        seen[np.unique(np.concatenate([*bag, np.empty(0, np.int32)]))] += 1
-    frequent = sorted((words[i] for i in np.nonzero(seen >= FREQUENT)[0]), key=lambda w: (-seen[number[w]], w))[:VOCABULARY]
-    net = Network(seed, {w: i + 1 for i, w in enumerate(frequent)})
+    net = Network(seed, {w: i + 1 for i, w in enumerate(known)})
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.0
         net.fit = np.array([0.0, 0.0, np.log((share + 0.01) / (1.01 - share))])
         return net
-    heavy = np.where(y == 1, min(4.0, np.sum(y == 0) / np.sum(y == 1)), 1.0)
-
-    def packed(windows: list[np.ndarray]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        used, back = np.unique(np.concatenate([w if len(w) else np.zeros(1, np.int32) for w in windows]), return_inverse=True)
-        x, mask, at = np.zeros((len(windows), WINDOW), np.int64), np.zeros((len(windows), WINDOW), np.float32), 0
-        for i, w in enumerate(windows):
-            n = max(1, len(w))
-            x[i, :n], mask[i, : len(w)] = back[at : at + n], 1
-            at += n
-        return [words[i] for i in used], x, mask
-
-    def slopes(labels: np.ndarray, weight: np.ndarray):
-        return lambda logits: (_sigmoid(logits) - labels) * weight
-
-    for _ in range(ROUNDS[0]):
-        flat = [(w, i) for i, bag in enumerate(coded) for w in (bag[j] for j in r.permutation(len(bag))[:3])]
+    weight = min(4.0, np.sum(y == 0) / np.sum(y == 1))
+    for k in range(sum(ROUNDS)):
+        labels, bags = chosen(None if k < ROUNDS[0] else net)
+        flat = [(w, label) for label, bag in zip(labels, bags, strict=True) for w in bag]
         order = r.permutation(len(flat))
         for at in range(0, len(order), BATCH):
             part = [flat[i] for i in order[at : at + BATCH]]
-            ix = np.array([i for _, i in part])
-            net.step(*packed([w for w, _ in part]), slopes(y[ix], heavy[ix]))
-    for _ in range(ROUNDS[1]):
-        order = r.permutation(len(coded))
-        table = net.inputs(net.vectors(words))
-        for at in range(0, len(order), BATCH):
-            ix = order[at : at + BATCH]
-            x, mask = zip(*[_padded(w) for i in ix for w in coded[i]], strict=True)
-            logits = net.forward(table, np.stack(x), np.stack(mask))
-            ends = np.cumsum([len(coded[i]) for i in ix])
-            best = [coded[i][int(np.argmax(part))] for i, part in zip(ix, np.split(logits, ends[:-1]), strict=True)]
-            net.step(*packed(best), slopes(y[ix], heavy[ix]))
+            goal = np.array([label for _, label in part])
+            net.step(*packed([w for w, _ in part]), lambda logits, goal=goal: (_sigmoid(logits) - goal) * np.where(goal == 1, weight, 1.0))
     return net
 
 
-def _padded(window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x, mask = np.zeros(WINDOW, np.int64), np.zeros(WINDOW, np.float32)
-    x[: len(window)], mask[: len(window)] = window, 1
-    return x, mask
-
-
 def calibrate(net: Network, top: np.ndarray, many: np.ndarray, y: np.ndarray) -> None:
     if len(set(y.tolist())) == 2:
         net.fit = fit_logistic(np.column_stack([top, np.log(many)]), y.astype(float), ridge=0.1)
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> Network:
-    """Fit on at most ``sample`` labelled texts whose crc32(doc_id) mod 5 is not 0, and ``BAG`` windows of each.
+    """Fit on at most ``sample`` labelled texts whose crc32(doc_id) mod 5 is not 0, on all of their windows.
 
-    Windows are cut in tasks; words beyond 64 bytes are cut there in the sample only. The calibration
-    scores the sample's whole texts in tasks. What reaches the driver is bounded.
+    Tasks count the texts each word occurs in, draw or choose the windows of a round over whole texts, and
+    score the whole texts for the calibration. A round sends the driver the windows it trains on.
     """
     known = labelled_sample(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), labels, label, held_out("doc_id", MODULUS, KEPT_OUT), sample, SEED)
-    known = known.select("doc_id", "known_label", F.col("text").cast("binary").alias("text")).repartition(16)
+    known = cut(known.select("doc_id", F.least(F.lit(1), F.greatest(F.lit(0), "known_label")).alias("known_label"), F.col("text").cast("binary").alias("text")).repartition(16), "labelled")
+    context = docs.sparkSession.sparkContext
 
-    def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for i, data in zip(batch["doc_id"], batch["text"], strict=True):
-                words = words_of(data)
-                begins = np.array(starts(len(words)))
-                chosen = np.random.default_rng(int(i) & 0xFFFFFFFF).permutation(len(begins))[:BAG]
-                out.append([b" ".join(w[:64] for w in words[s : s + WINDOW]) for s in begins[np.sort(chosen)]])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["known_label"], "bag": out})
-
-    rows = sorted((r.doc_id, min(1, max(0, r.label)), [bytes(b) for b in r.bag]) for r in known.mapInPandas(bags, "doc_id long, label int, bag array<binary>").collect())
-    net = fit(([w.split() for w in bag] for _, _, bag in rows), np.array([k for _, k, _ in rows], np.int64))
-    sent = docs.sparkSession.sparkContext.broadcast(net)
+            seen = Counter()
+            for data in batch["text"]:
+                seen.update(set(words_of(data)))
+            yield pd.DataFrame({"word": list(seen.keys()), "n": list(seen.values())})
+
+    frequent = known.mapInPandas(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "word").limit(VOCABULARY)
+    asked = 0
+
+    def chosen(net: Network | None) -> tuple[np.ndarray, list[list[bytes]]]:
+        nonlocal asked
+        asked += 1
+        turn, sent = asked, None
+        if net is not None:
+            light = copy(net)
+            light.sums = {}
+            sent = context.broadcast(light)
+
+        def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            scorer = Scorer(sent.value) if sent is not None else None
+            for batch in batches:
+                texts, out = list(batch["text"]), []
+                best = scorer.largest(texts)[2] if scorer is not None else None
+                for j, (i, data) in enumerate(zip(batch["doc_id"], texts, strict=True)):
+                    words = words_of(data)
+                    if best is None:
+                        begins = np.array(starts(len(words)))
+                        at = np.sort(np.random.default_rng([int(i) & 0xFFFFFFFF, turn]).permutation(begins)[:DRAWN])
+                    else:
+                        at = best[j : j + 1]
+                    out.append([b" ".join(words[b : b + WINDOW]) for b in at])
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["known_label"], "bag": out})
+
+        rows = sorted((r.doc_id, r.label, [bytes(b) for b in r.bag]) for r in known.mapInPandas(windows, "doc_id long, label int, bag array<binary>").collect())
+        if sent is not None:
+            sent.unpersist()
+        return np.array([k for _, k, _ in rows], np.int64), [bag for _, _, bag in rows]
+
+    y = np.array([r.known_label for r in known.select("known_label").collect()], np.int64)
+    net = fit(chosen, [bytes(r.word) for r in frequent.collect()], y)
+    net.sums = {}
+    sent = context.broadcast(net)
 
     def largest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(sent.value)
         for batch in batches:
-            top, many = scorer.largest(list(batch["text"]))
+            top, many, _ = scorer.largest(list(batch["text"]))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["known_label"], "top": top, "many": many})
 
     found = sorted(tuple(r) for r in known.mapInPandas(largest, "doc_id long, label int, top double, many double").collect())
-    calibrate(net, np.array([f[2] for f in found]), np.array([f[3] for f in found]), np.array([min(1, max(0, f[1])) for f in found]))
-    net.sums = {}
+    calibrate(net, np.array([f[2] for f in found]), np.array([f[3] for f in found]), np.array([f[1] for f in found]))
     return net
 
 
