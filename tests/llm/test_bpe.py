@@ -9,7 +9,7 @@ import tiktoken
 from pyspark.sql import types as T
 
 from tidemark.llm import bpe
-from tidemark.llm.queries import ranks_file
+from tidemark.llm.queries import op9_bpe, ranks_file
 
 RANKS = bpe.load_ranks(ranks_file())
 LIBRARY = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
@@ -52,7 +52,7 @@ def test_pairs_fit_as_merging_says():
     pool = [t for t in RANKS if 1 < len(t) < 9]
     for _ in range(3000):
         a, b = r.choice(pool), r.choice(pool)
-        assert machine._fit(RANKS[a], RANKS[b]) == (machine.merged(a + b) == [RANKS[a], RANKS[b]])
+        assert machine._fit(machine._class(RANKS[a]), RANKS[b]) == (machine.merged(a + b) == [RANKS[a], RANKS[b]])
 
 
 def test_long_pieces_are_emitted_in_parts(encoder, monkeypatch):
@@ -66,9 +66,28 @@ def test_long_pieces_are_emitted_in_parts(encoder, monkeypatch):
 def test_a_full_cache_changes_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "MAX_STATES", 5)
     monkeypatch.setattr(bpe, "MAX_REMEMBERED", 3)
+    monkeypatch.setattr(bpe, "ROWS", 2)
     small = bpe.Encoder(RANKS, P.PATTERN)
-    text = "The quick brown fox jumps over unbelievably lazy dogs in Donaudampfschiffe"
-    assert ids(small, text) == LIBRARY.encode_ordinary(text)
+    for text in ("The quick brown fox jumps over unbelievably lazy dogs in Donaudampfschiffe", "zqx" * 90 + " end", *EDGES):
+        assert ids(small, text) == LIBRARY.encode_ordinary(text)
+        assert len(small.machine.live) < 5 + 40
+
+
+def test_states_are_met_again():
+    machine, r = bpe.Transducer(RANKS), random.Random(9)
+    syllables = ["th", "er", "on", "ing", "and", "ent", "is", "o", "re", "at"]
+    words = ["".join(r.choice(syllables) for _ in range(r.randrange(2, 7))).encode() for _ in range(4000)]
+    machine.encode_all(words[:2000])
+    half = machine.arcs
+    found, ends = machine.encode_all(words[2000:])
+    assert [found[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [machine.encode(w) for w in words[2000:]]
+    assert machine.arcs - half < half / 2 and machine.arcs < 4000
+
+
+def test_another_pattern_splits_whole_texts():
+    pattern = r"\S+|\s+"
+    text, own = "a  b the\n cats  ", tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=RANKS, special_tokens={})
+    assert ids(bpe.Encoder(RANKS, pattern), text) == own.encode_ordinary(text)
 
 
 def test_utf8_machine_at_every_cut():
@@ -77,8 +96,34 @@ def test_utf8_machine_at_every_cut():
         for j in range(i, len(data) + 1):
             m = bpe.Utf8Machine()
             assert m.feed(data[:i]) + m.feed(data[i:j]) + m.feed(data[j:]) + m.end() == "aé日🎉z"
-    m = bpe.Utf8Machine()
-    assert m.feed(b"a\xe6\x97") + m.end() == "a�"
+    r = random.Random(10)
+    pool = [0x41, 0x80, 0xA0, 0x90, 0xBF, 0xC0, 0xC3, 0xE0, 0xE6, 0xED, 0xF0, 0xF1, 0xF4, 0xF5]
+    for _ in range(20_000):  # malformed bytes as the language's own decoder replaces them
+        data, m = bytes(r.choice(pool) for _ in range(r.randrange(7))), bpe.Utf8Machine()
+        assert m.feed(data[:3]) + m.feed(data[3:]) + m.end() == data.decode("utf-8", "replace")
+
+
+def test_decoder_steps_inside_characters(monkeypatch):
+    decoder, text = bpe.Decoder(RANKS), "a日本🎉é b" * 9
+    ids = np.array(LIBRARY.encode_ordinary(text))
+    for step in (1, 2, 7):
+        monkeypatch.setattr(bpe, "DECODE_STEP", step)
+        assert "".join(decoder.stream(ids)) == text
+    r = random.Random(11)
+    for _ in range(300):
+        some = np.array([r.choice(ids) for _ in range(6)])
+        assert "".join(decoder.stream(some)) == LIBRARY.decode_bytes(some.tolist()).decode("utf-8", "replace")
+
+
+def test_query_against_the_library(spark):
+    d = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    got = op9_bpe(spark, d).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    for r in got:
+        expected = LIBRARY.encode_ordinary(docs[r.doc_id])
+        assert r.n_tokens == len(expected) and r.ids_sha256 == hashlib.sha256(np.array(expected, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
 
 
 def test_encode_and_decode_frames(spark):

@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Callable, Iterator
-from struct import pack
+from bisect import bisect_left
+from collections.abc import Iterator
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pandas as pd
@@ -23,15 +24,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: States kept at most; beyond it the machine starts afresh with the same results.
-MAX_STATES = 100_000
+#: States kept at most; beyond it the machine starts afresh with the same results. A state's row of arcs takes 1 KB.
+MAX_STATES, ROWS = 49_152, 4096
 #: Chunks of text whose ids are remembered at most, and their longest length. They are kept in two
 #: generations of half as many: when the younger is full the older is forgotten, so frequent chunks stay.
-MAX_REMEMBERED, MAX_CHUNK = 100_000, 64
+MAX_REMEMBERED, MAX_CHUNK = 250_000, 64
+#: Pieces up to this many bytes are run through the machine together, so many at a time.
+TOGETHER, GROUP = 64, 32_768
 #: Bytes of one piece after which tokens are emitted as far as they are settled.
 EMIT = 4096
-#: Ids decoded at a time.
+#: Hypotheses that so few tokens can complete are dropped as soon as none of these fits.
+FEW = 8
+#: Texts encoded at a time, and ids decoded at a time.
+BATCH = 512
 DECODE_STEP = 65_536
+#: Fixed value: the split pattern under which a space before a character that is no white space always starts a
+#: match, so that texts can be cut at single spaces. Texts are split whole under any other pattern.
+SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -40,18 +49,21 @@ def load_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class Transducer:
-    """States are numbers and everything about them plain integers, which take half the memory of objects.
+    """Arcs go from (state, byte) to the next state and the token that ends there.
 
-    ``live`` has each state's hypotheses, a hypothesis being token before plus one, then trie node;
-    ``arcs`` goes from (state, byte) to (next state, the token that ends there plus one).
+    ``live`` has each state's hypotheses, a hypothesis being a class of tokens before, then a trie node.
+    Tokens are in one class if the same tokens fit after them: all that matters of a token are the parts
+    at its right end that some merge could take up before they are merged within. So states depend on a
+    few bytes only and are met again.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
-        self.length = {i: len(t) for t, i in ranks.items()}
+        self.length = np.zeros(max(ranks.values(), default=-1) + 2, np.int64)  # the last is that of token -1
         self.children: list[dict[int, int]] = [{}]
-        self.token_at, self.depth = [-1], [0]
+        self.token_at, self.depth, self.parent = [-1], [0], [(0, 0)]
+        self.node_of: dict[bytes, int] = {}
         for token, rank in ranks.items():
             at = 0
             for b in token:
@@ -60,17 +72,30 @@ class Transducer:
                     self.children.append({})
                     self.token_at.append(-1)
                     self.depth.append(self.depth[at] + 1)
+                    self.parent.append((at, b))
                 at = self.children[at][b]
             self.token_at[at] = rank
+            self.node_of[token] = at
+            self.length[rank] = len(token)
         self.bits = len(self.children).bit_length()
         self.edges: dict[int, tuple[list, list] | None] = {}
+        self.below_of: dict[int, list[int]] = {}
+        #: classes of tokens before, with the parts at their right ends; of class 0 is the start of a piece, too
+        self.class_of: dict[int, int] = {}
+        self.classes: dict[tuple, int] = {(): 0}
+        self.rights: list[list] = [[]]
         self._reset()
 
     def _reset(self) -> None:
         self.states: dict[tuple[int, ...], int] = {}
         self.live: list[tuple[int, ...]] = []
-        self.arcs: dict[int, int] = {}
+        #: number of the arc by state and byte, then each arc's next state and token; no arc and no token: -1
+        self.arc_at = np.full((ROWS, 256), -1, np.int32)
+        self.to, self.ends = np.zeros(4096, np.int32), np.zeros(4096, np.int32)
+        self.arcs = 0
         self.fits: dict[int, bool] = {}
+        self.narrow: dict[int, int] = {}
+        self.firsts: dict[tuple, int] = {}
         self.start = self._state((0,))
 
     def _state(self, live: tuple[int, ...]) -> int:
@@ -78,6 +103,8 @@ class Transducer:
         if state is None:
             state = self.states[live] = len(self.live)
             self.live.append(live)
+            if state == len(self.arc_at):
+                self.arc_at = np.concatenate([self.arc_at, np.full((ROWS, 256), -1, np.int32)])
         return state
 
     def _merge(self, data: bytes, until: int) -> list[bytes]:
@@ -113,21 +140,50 @@ class Transducer:
             self.edges[token] = found
         return self.edges[token]
 
-    def _fit(self, a: int, b: int) -> bool:
-        """Whether BPE makes (a, b) of their joint bytes: no merge across comes before those within.
+    def _below(self, node: int) -> list[int]:
+        """Sorted tokens strictly below a node of the trie."""
+        found = self.below_of.get(node)
+        if found is None:
+            found, open_ = [], list(self.children[node].values())
+            while open_:
+                at = open_.pop()
+                if self.token_at[at] >= 0:
+                    found.append(self.token_at[at])
+                open_ += self.children[at].values()
+            found.sort()
+            self.below_of[node] = found
+        return found
+
+    def _class(self, token: int) -> int:
+        """The class of a token before; its parts that nothing can take up in time do not count."""
+        known = self.class_of.get(token)
+        if known is None:
+            right, key = [], []
+            for x, x_ends in self._edges(token)[1]:
+                able = bisect_left(self._below(self.node_of[x]), x_ends)
+                if able:
+                    right.append((x, x_ends))
+                    key.append((x, able))
+            known = self.classes.setdefault(tuple(key), len(self.rights))
+            if known == len(self.rights):
+                self.rights.append(right)
+            self.class_of[token] = known
+        return known
+
+    def _fit(self, before: int, token: int) -> bool:
+        """Whether BPE leaves (a, token) as they are, a being of class ``before``: no merge across comes before those within.
 
         A token's rank is above those of its parts, so merges within happen in the order of ranks; of
         equal ranks the leftmost comes first.
         """
-        key = a << 32 | b
+        key = before << 32 | token
         fit = self.fits.get(key)
         if fit is None:
-            left, right = self._edges(a), self._edges(b)
-            fit = left is not None and right is not None
+            own, rank_of = self._edges(token), self.ranks.get
+            fit = own is not None
             if fit:
-                rank_of = self.ranks.get
-                for x, x_ends in left[1]:
-                    for y, y_ends in right[0]:
+                for x, x_ends in self.rights[before]:
+                    for y, y_ends in own[0]:
                         rank = rank_of(x + y)
                         if rank is not None and rank < x_ends and rank <= y_ends:
                             fit = False
@@ -137,21 +193,62 @@ class Transducer:
             self.fits[key] = fit
         return fit
 
+    def _narrowed(self, before: int, node: int) -> int:
+        """The first class met at ``node`` that is as good as ``before`` for all tokens below it; -1 if none of them fits.
+
+        Only merges of a part at the right end with a beginning of such a token matter. Where few tokens are
+        below, classes are as good as each other if the same ones fit.
+        """
+        path = before << 32 | node
+        known = self.narrow.get(path)
+        if known is None:
+            if len(below := self._below(node)) <= FEW:
+                key = tuple([t for t in below if self._fit(before, t)])
+                known = -1 if not key else 0 if len(key) == len(below) else self.firsts.setdefault((node, key), before)
+            else:
+                met, text = [], self.text_of(node)
+                for x, x_ends in self.rights[before]:
+                    at, able = self.node_of[x], 0
+                    for byte in text:
+                        at = self.children[at].get(byte)
+                        if at is None:
+                            break
+                        able += 0 <= self.token_at[at] < x_ends
+                    if at is not None:
+                        able += bisect_left(self._below(at), x_ends)
+                    if able:
+                        met.append((x, able))
+                known = self.firsts.setdefault((node, tuple(met)), before) if met else 0
+            self.narrow[path] = known
+        return known
+
+    def text_of(self, node: int) -> bytes:
+        out = bytearray()
+        while node:
+            node, byte = self.parent[node]
+            out.append(byte)
+        return bytes(out[::-1])
+
     def _arc(self, state: int, byte: int) -> int:
-        live, ended, children, bits = [], 0, self.children, self.bits
+        live, ended, children, bits = [], -1, self.children, self.bits
         for code in self.live[state]:
             before, node = code >> bits, code & (1 << bits) - 1
             child = children[node].get(byte)
             if child is None:
                 continue
             token = self.token_at[child]
-            if token >= 0 and not ended and (self._fit(before - 1, token) if before else self._edges(token) is not None):
-                ended = token + 1
-            if children[child]:
-                live.append(before << bits | child)
-        if ended:
-            live.append(ended << bits)
-        arc = self.arcs[state << 8 | byte] = self._state(tuple(live)) << 32 | ended
+            if token >= 0 and ended < 0 and self._fit(before, token):
+                ended = token
+            if children[child] and (narrowed := self._narrowed(before, child)) >= 0:
+                live.append(narrowed << bits | child)
+        if ended >= 0:
+            live.append(self._class(ended) << bits)
+        arc, to = self.arcs, self._state(tuple(live))
+        if arc == len(self.to):
+            self.to, self.ends = np.resize(self.to, 2 * arc), np.resize(self.ends, 2 * arc)
+        self.to[arc], self.ends[arc] = to, ended
+        self.arc_at[state, byte] = arc
+        self.arcs += 1
         return arc
 
     def _back(self, last: list[int], at: int) -> list[int]:
@@ -162,7 +259,7 @@ class Transducer:
             if token < 0:
                 raise ValueError("a prefix without an encoding: the ranks are not those of a BPE")
             out.append(token)
-            at -= length[token]
+            at -= int(length[token])
         return out
 
     def _settled(self, last: list[int], state: int) -> int:
@@ -172,7 +269,7 @@ class Transducer:
             at = len(last) - self.depth[code & (1 << self.bits) - 1]
             ends = {at}
             for token in self._back(last, at):
-                at -= self.length[token]
+                at -= int(self.length[token])
                 ends.add(at)
             common = ends if common is None else common & ends
         return max(common or {0})
@@ -183,13 +280,13 @@ class Transducer:
             return [self.ranks[piece]]
         if len(self.live) > MAX_STATES:
             self._reset()
-        state, last, out, arc_of = self.start, [], [], self.arcs.get
+        state, last, out = self.start, [], []
         for byte in piece:
-            arc = arc_of(state << 8 | byte)
-            if arc is None:
+            arc = int(self.arc_at[state, byte])
+            if arc < 0:
                 arc = self._arc(state, byte)
-            state = arc >> 32
-            last.append((arc & 0xFFFFFFFF) - 1)
+            state = int(self.to[arc])
+            last.append(int(self.ends[arc]))
             if len(last) >= EMIT:
                 settled = self._settled(last, state)
                 out += self._back(last, settled)[::-1]
@@ -197,28 +294,78 @@ class Transducer:
                 if len(self.live) > MAX_STATES:  # within a very long piece, too
                     live = self.live[state]
                     self._reset()
-                    state, arc_of = self._state(live), self.arcs.get
+                    state = self._state(live)
         out += self._back(last, len(last))[::-1]
         return out
 
+    def encode_all(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces one after another, and the ends of each piece's ids, 0 first.
 
-class Remembered(dict):
-    """Chunks to ids in two generations; ``make`` gives those of a chunk in neither."""
-
-    def __init__(self, make: Callable[[str], bytes]):
-        super().__init__()
-        self.make, self.older = make, {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.older.get(chunk)
-        if ids is None:
-            ids = self.make(chunk)
-        if len(chunk) <= MAX_CHUNK:
-            if 2 * len(self) >= MAX_REMEMBERED:
-                self.older = dict(self)
-                self.clear()
-            self[chunk] = ids
-        return ids
+        Short pieces run through the machine side by side, a byte of each in a step.
+        """
+        ids, sizes = [], []
+        for i in range(0, len(pieces), GROUP):
+            if len(self.live) > MAX_STATES:
+                self._reset()
+            found, n = self._group(pieces[i : i + GROUP])
+            ids.append(found)
+            sizes.append(n)
+        return np.concatenate(ids or [np.zeros(0, "<u4")]), np.concatenate([[0], *(np.cumsum(np.concatenate(sizes)),)] if sizes else [[0]]).astype(np.int64)
+
+    def _group(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        n = len(pieces)
+        whole = np.fromiter(map(self.ranks.get, pieces, repeat(-1)), np.int64, n)
+        lengths = np.fromiter(map(len, pieces), np.int64, n)
+        alone = {int(i): self.encode(pieces[i]) for i in np.nonzero((lengths > TOGETHER) & (whole < 0))[0]}
+        run = np.nonzero((lengths <= TOGETHER) & (whole < 0))[0]
+        run = run[np.argsort(-lengths[run], kind="stable")]  # longest first: those that go on are a prefix
+        own = lengths[run]
+        data = np.frombuffer(b"".join([pieces[i] for i in run.tolist()]), np.uint8)
+        begin = np.cumsum(own) - own
+        depth = int(own[0]) if len(own) else 0
+        last, state = np.full((depth, len(run)), -1, np.int32), np.full(len(run), self.start, np.int64)
+        going = np.searchsorted(-own, -np.arange(depth), side="left")  # pieces longer than k
+        for k in range(depth):
+            m = going[k]
+            byte = data[begin[:m] + k]
+            arc = self.arc_at[state[:m], byte]
+            if (new := np.nonzero(arc < 0)[0]).size:
+                for key in np.unique(state[new] << 8 | byte[new]).tolist():
+                    self._arc(key >> 8, key & 255)
+                arc = self.arc_at[state[:m], byte]
+            state[:m] = self.to[arc]
+            last[k, :m] = self.ends[arc]
+            if len(self.live) > MAX_STATES:
+                met, which = np.unique(state[:m], return_inverse=True)
+                kept = [self.live[s] for s in met.tolist()]
+                self._reset()
+                state[:m] = np.array([self._state(x) for x in kept])[which]
+        # follow the tokens back from the ends
+        back, at = [], own.copy()
+        rows = np.nonzero(at)[0]
+        while rows.size:
+            token = last[at[rows] - 1, rows]
+            if (token < 0).any():
+                raise ValueError("a prefix without an encoding: the ranks are not those of a BPE")
+            back.append((rows, token))
+            at[rows] -= self.length[token]
+            rows = rows[at[rows] > 0]
+        sizes = np.where(whole >= 0, 1, 0)
+        counts = np.zeros(len(run), np.int64)
+        for rows, _ in back:
+            counts[rows] += 1
+        sizes[run] = counts
+        for i, found in alone.items():
+            sizes[i] = len(found)
+        ends = np.cumsum(sizes)
+        ids = np.zeros(int(ends[-1]) if n else 0, "<u4")
+        one = np.nonzero(whole >= 0)[0]
+        ids[ends[one] - 1] = whole[one]
+        for j, (rows, token) in enumerate(back):
+            ids[ends[run[rows]] - 1 - j] = token
+        for i, found in alone.items():
+            ids[ends[i] - len(found) : ends[i]] = found
+        return ids, sizes
 
 
 class Encoder:
@@ -226,66 +373,134 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.machine, self.split = Transducer(ranks), regex.compile(pattern).findall
-        self.odd = regex.compile(r" (?=\s)| $").search
-        self.seen = Remembered(self._packed)
-        self.chunks = Remembered(lambda chunk: self.pieces(" " + chunk))
+        self.odd = regex.compile(r" (?=\s)| $").search if pattern == SPACED else lambda text: True
+        self.younger: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _made(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts of which each is split by the pattern for itself."""
+        split = [self.split(x) for x in texts]
+        ids, ends = self.machine.encode_all([p.encode() for p in chain.from_iterable(split)])
+        data = memoryview(ids.tobytes())
+        at = ends[np.cumsum([0, *map(len, split)])] * 4
+        return [bytes(data[a:b]) for a, b in pairwise(at.tolist())]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers.
+
+        A space before a character that is no white space always starts a match, so texts are cut at
+        spaces and each chunk is encoded once; texts with other spaces are split as a whole. A chunk
+        stands for itself with the space before it, a text's first one, marked by a space behind, without.
+        """
+        whole = {i for i, x in enumerate(texts) if self.odd(x)}
+        cut = [[] if i in whole else x.split(" ") for i, x in enumerate(texts)]
+        for chunks in cut:
+            if chunks:
+                chunks[0] += " "
+        wanted = set(chain.from_iterable(cut))
+        ids = {c: self.younger[c] for c in wanted if c in self.younger}
+        ids |= {c: self.older[c] for c in wanted if c not in ids and c in self.older}
+        new = [c for c in wanted if c not in ids]
+        ids |= zip(new, self._made([c[:-1] if c[-1:] == " " else " " + c for c in new]), strict=True)
+        if len(self.younger) + len(wanted) > MAX_REMEMBERED // 2:
+            self.older, self.younger = self.younger, {}
+        if len(wanted) <= MAX_REMEMBERED // 2:
+            self.younger |= {c: x for c, x in ids.items() if len(c) <= MAX_CHUNK}
+        odd = dict(zip(whole, self._made([texts[i] for i in whole]), strict=True))
+        of = ids.__getitem__
+        return [odd[i] if i in odd else b"".join(map(of, chunks)) for i, chunks in enumerate(cut)]
 
-    def _packed(self, piece: str) -> bytes:
-        ids = self.machine.encode(piece.encode())
-        return pack(f"<{len(ids)}I", *ids)
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
-    def pieces(self, text: str) -> bytes:
-        return b"".join(map(self.seen.__getitem__, self.split(text)))
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers.
+def _utf8_steps() -> list[bytes]:
+    """The machine's table: for each state, the next one by byte.
 
-        A space before a character that is no white space always starts a match, so such texts are
-        encoded chunk by chunk between spaces; other texts are split as a whole.
-        """
-        if self.odd(text):
-            return self.pieces(text)
-        first, *rest = text.split(" ")
-        return self.pieces(first) + b"".join(map(self.chunks.__getitem__, rest))
+    States: 0 between characters; 1, 2, 3 before the last, the last two, the last three continuation
+    bytes; 4 to 7 after E0, ED, F0, F4, whose next byte has a narrower range; 8 where no character can go on.
+    """
+    bad, tail = 8, range(0x80, 0xC0)
+    steps = [[bad] * 256 for _ in range(8)]
+    for first, last, to in ((0, 0x7F, 0), (0xC2, 0xDF, 1), (0xE0, 0xE0, 4), (0xE1, 0xEC, 2), (0xED, 0xED, 5), (0xEE, 0xEF, 2), (0xF0, 0xF0, 6), (0xF1, 0xF3, 3), (0xF4, 0xF4, 7)):
+        steps[0][first : last + 1] = [to] * (last + 1 - first)
+    for state, own, to in ((1, tail, 0), (2, tail, 1), (3, tail, 2), (4, range(0xA0, 0xC0), 1), (5, range(0x80, 0xA0), 1), (6, range(0x90, 0xC0), 2), (7, range(0x80, 0x90), 2)):
+        for b in own:
+            steps[state][b] = to
+    return [bytes(s) for s in steps]
 
 
 class Utf8Machine:
-    """Incremental UTF-8: bytes in pieces that may end inside a character, text out as characters complete."""
+    """Incremental UTF-8: bytes in pieces that may end inside a character, text out as characters complete.
+
+    What cannot be part of a character becomes U+FFFD, one for each longest beginning of a character.
+    """
 
-    #: Continuation bytes that a lead byte asks for, by its high nibble.
-    NEEDS = {0xC: 1, 0xD: 1, 0xE: 2, 0xF: 3}
+    STEPS = _utf8_steps()
 
     def __init__(self) -> None:
-        self.held = b""
+        self.state, self.held = 0, bytearray()
 
     def feed(self, data: bytes) -> str:
-        data, cut = self.held + data, 0
-        for back in range(1, min(3, len(data)) + 1):
-            lead = data[-back]
-            if lead & 0xC0 != 0x80:  # not a continuation: is its character complete?
-                cut = back if self.NEEDS.get(lead >> 4, 0) >= back else 0
-                break
-        self.held = data[len(data) - cut :] if cut else b""
-        return (data[: len(data) - cut] if cut else data).decode("utf-8", "replace")
+        state, held, steps, out = self.state, self.held, self.STEPS, []
+        for byte in data:
+            to = steps[state][byte]
+            if to == 8 and state:  # the character breaks off; the byte begins another
+                out.append("\ufffd")
+                held.clear()
+                to = steps[0][byte]
+            if to == 8:
+                out.append("\ufffd")
+                state = 0
+                continue
+            held.append(byte)
+            state = to
+            if not state:
+                out.append(held.decode())
+                held.clear()
+        self.state = state
+        return "".join(out)
 
     def end(self) -> str:
-        rest, self.held = self.held, b""
-        return rest.decode("utf-8", "replace")
+        broken, self.state = self.state, 0
+        self.held.clear()
+        return "\ufffd" if broken else ""
 
 
 class Decoder:
     def __init__(self, ranks: dict[bytes, int]):
         self.table = [b""] * (max(ranks.values(), default=-1) + 1)
+        #: whether a token is whole characters, as the machine finds: from between characters to between characters
+        self.whole = np.zeros(len(self.table), bool)
+        steps = Utf8Machine.STEPS
         for token, rank in ranks.items():
             self.table[rank] = token
+            state = 0
+            for byte in b"" if token.isascii() else token:
+                state = steps[state][byte]
+                if state == 8:
+                    break
+            self.whole[rank] = state == 0
+
+    def stream(self, ids: np.ndarray) -> Iterator[str]:
+        """The text, step by step; only the last step may hold an incomplete character back.
 
-    def stream(self, ids: np.ndarray) -> Iterator[tuple[bytes, str]]:
-        """Bytes and text, step by step; only the last step may hold an incomplete character back."""
+        Between characters the machine takes runs of whole tokens at once, else a token's bytes one by one.
+        """
         machine, of = Utf8Machine(), self.table.__getitem__
         for i in range(0, len(ids), DECODE_STEP):
-            data = b"".join(map(of, ids[i : i + DECODE_STEP].tolist()))
-            yield data, machine.feed(data)
-        yield b"", machine.end()
+            part, out, at = list(map(of, ids[i : i + DECODE_STEP].tolist())), [], 0
+            ends = [*np.nonzero(~self.whole[ids[i : i + DECODE_STEP]])[0].tolist(), len(part)]
+            while at < len(part):
+                to = at if machine.state else ends[bisect_left(ends, at)]
+                if to > at:
+                    out.append(b"".join(part[at:to]).decode())
+                    at = to
+                else:
+                    out.append(machine.feed(part[at]))
+                    at += 1
+            yield "".join(out)
+        yield machine.end()
 
 
 def _lists(parts: list[bytes]) -> pa.Array:
@@ -293,43 +508,54 @@ def _lists(parts: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
 
-def _digests(ids: pa.Array, decoder: Decoder) -> tuple[list[str], list[str]]:
-    """Of each list: the digest of its ids and that of the bytes they decode to."""
-    flat, ends = ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), ids.offsets.to_numpy()
-    of_ids, of_bytes = [], []
-    for a, b in zip(ends[:-1], ends[1:], strict=True):
-        own, sha = flat[a:b], hashlib.sha256()
-        of_ids.append(hashlib.sha256(own.tobytes()).hexdigest())
-        for data, _ in decoder.stream(own):
-            sha.update(data)
-        of_bytes.append(sha.hexdigest())
-    return of_ids, of_bytes
+def _digests(ids: list[bytes], decoder: Decoder) -> tuple[list[str], list[str]]:
+    """Of each list of ids: the digest of its ids and that of the text they decode to, in UTF-8."""
+    of_text = []
+    for own in ids:
+        sha = hashlib.sha256()
+        for text in decoder.stream(np.frombuffer(own, "<u4")):
+            sha.update(text.encode())
+        of_text.append(sha.hexdigest())
+    return [hashlib.sha256(own).hexdigest() for own in ids], of_text
+
+
+#: The coder last used in this worker process. What it has learnt serves all tasks that the process runs.
+_coders: dict[tuple[bytes, str], tuple[Encoder, Decoder]] = {}
+
+
+def coder(ranks_file: bytes, pattern: str) -> tuple[Encoder, Decoder]:
+    key = (hashlib.sha256(ranks_file).digest(), pattern)
+    if key not in _coders:
+        _coders.clear()
+        ranks = load_ranks(ranks_file)
+        _coders[key] = Encoder(ranks, pattern), Decoder(ranks)
+    return _coders[key]
 
 
 def encode(docs: DataFrame, ranks_file: bytes, pattern: str, text: str = "text", ids: str = "ids", digests: bool = False, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with a column ``ids`` (array of int), special tokens being plain text; a null text is empty.
 
     With ``digests``, also n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers) and
-    decoded_sha256 (bytes that the ids decode to). ``ranks_file`` is the content of a ranks file, about
-    1 MB, broadcast once. Work is per row; nothing is shuffled. ``keep`` names the columns of ``docs`` to
-    return (all by default); a column of ``docs`` with the name of a new one is replaced.
+    decoded_sha256 (the text that the ids decode to, in UTF-8). ``ranks_file`` is the content of a ranks
+    file, about 1 MB, broadcast once. Work is per row; nothing is shuffled. ``keep`` names the columns of
+    ``docs`` to return (all by default); a column of ``docs`` with the name of a new one, in any case of
+    letters, is replaced. An empty table gives an empty result; repeated rows are coded each for itself;
+    a very long text is held in memory once with its ids.
     """
     new = ["n_tokens", "ids_sha256", "decoded_sha256"] * digests + [ids]
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {n.lower() for n in new}]
     kinds = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType(), ids: T.ArrayType(T.IntegerType(), False)}
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(c, kinds[c]) for c in new])
     sent = docs.sparkSession.sparkContext.broadcast(ranks_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # made for each task, so that worker processes, which are used again, hold no memory between stages
-        ranks = load_ranks(sent.value)
-        encoder, decoder = Encoder(ranks, pattern), Decoder(ranks)
+        encoder, decoder = coder(sent.value, pattern)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                found = _lists([encoder.encode(x or "") for x in batch.column(batch.schema.get_field_index(text)).to_pylist()])
-                more = [pa.array(np.diff(found.offsets.to_numpy()).astype(np.int64)), *map(pa.array, _digests(found, decoder))] if digests else []
-                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + more + [found], names=kept + new)
+            for at in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(at, BATCH)
+                found = encoder.encode_all([x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()])
+                more = [pa.array([len(x) // 4 for x in found], pa.int64()), *map(pa.array, _digests(found, decoder))] if digests else []
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + more + [_lists(found)], names=kept + new)
 
     return docs.mapInArrow(run, schema)
 
@@ -342,6 +568,6 @@ def decode(coded: DataFrame, ranks_file: bytes, ids: str = "ids", text: str = "d
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         decoder = Decoder(load_ranks(sent.value))
         for lists in batches:
-            yield lists.map(lambda x: "".join(t for _, t in decoder.stream(np.asarray([] if x is None else x, np.int64))))
+            yield lists.map(lambda x: "".join(decoder.stream(np.asarray([] if x is None else x, np.int64))))
 
     return coded.withColumn(text, of(F.col(ids)))
