@@ -58,8 +58,34 @@ def test_report_against_brute_force(spark):
     rows, docs = docs_of(spark)
     got = mixing.mix_report(docs, block_words=16, shard_blocks=32).collect()
     check_report(rows, got)
-    again = mixing.mix_report(docs.repartition(5), block_words=16, shard_blocks=32).collect()
-    assert sorted(map(str, got)) == sorted(map(str, again))
+    for partitions in (5, 1):
+        again = mixing.mix_report(docs.repartition(partitions), block_words=16, shard_blocks=32).collect()
+        assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_many_repeats_agree_under_any_partitioning(spark):
+    rows = [(1, f"one two three {i % 3}" * (i % 3 + 1), "a") for i in range(60)] + [(i, "w " * i, "b") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [sorted(map(str, mixing.mix_report(docs.repartition(p), block_words=4, shard_blocks=4).collect())) for p in (1, 3, 7)]
+    assert got[0] == got[1] == got[2]
+    assert [mixing.numbered(mixing.sized_rows(docs.repartition(4), [])).groupBy("content").agg(F.countDistinct("copy").alias("c"), F.max("copy").alias("m"), F.count("*").alias("n")).where("c <> n or m <> n - 1").count()] == [0]
+
+
+def test_the_tree_decides_the_shards(spark, monkeypatch):
+    _, docs = docs_of(spark)
+
+    def shards(**options):
+        out = {}
+        for r in mixing.mix_report(docs, block_words=16, shard_blocks=32, **options).collect():
+            for run in r.runs:
+                out.setdefault(run.shard, []).append((run.place, r.doc_id, run["pass"], run.from_word, run.n_words))
+        return {s: sorted(x, key=str) for s, x in out.items()}
+
+    one, two = shards(), shards(tree_seed=1)
+    assert len(one) > 8 and one.keys() == two.keys() and one != two
+    assert sum(run[4] for x in one.values() for run in x) == sum(run[4] for x in two.values() for run in x)
+    monkeypatch.setattr(mixing, "splitting_tree", lambda quotas, levels, seed: quotas.select(F.lit(0).cast("long").alias("shard"), "sx", F.lit(0).cast("long").alias("offset"), "quota"))
+    assert len(shards()) == 1
 
 
 def test_blocks_are_disjoint_and_shards_even(spark):
@@ -103,6 +129,7 @@ def test_mixed_rows(spark):
     assert got.dtypes == docs.dtypes
     out, texts = {}, {(r[0], r[1]) for r in rows}
     for r in got.collect():
+        assert words(r.text) <= 16
         out[r.doc_id] = out.get(r.doc_id, 0) + words(r.text)
         assert r.n_chars == len(r.text)
         whole = next(t for d, t in texts if d == r.doc_id and t and r.text.split()[0] in t.split())
@@ -110,6 +137,27 @@ def test_mixed_rows(spark):
     assert {k: v for k, v in report.items() if v} == out
 
 
+def test_mixed_rows_lie_by_shard_in_order_of_place(spark):
+    rows = [(i, f"d{i}", "ab"[i % 2]) for i in range(200)]  # a word each, a block each
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    where = {}
+    for r in mixing.mix_report(docs, block_words=1, shard_blocks=16).collect():
+        for run in r.runs:
+            where.setdefault(run.shard, []).append((run.place, r.doc_id))
+    expected = {tuple(d for _, d in sorted(x)) for x in where.values()}
+    got = mixing.mixed(docs, block_words=1, shard_blocks=16).withColumn("p", F.spark_partition_id()).collect()
+    lists = {}
+    for r in got:
+        lists.setdefault(r.p, []).append(r.doc_id)
+    found = set()
+    for x in lists.values():
+        while x:
+            own = next(e for e in expected if tuple(x[: len(e)]) == e)
+            found.add(own)
+            x = x[len(own) :]
+    assert found == expected and len(expected) >= 8
+
+
 def test_empty_and_wordless(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix_report(docs).count() == 0
