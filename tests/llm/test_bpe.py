@@ -66,7 +66,7 @@ def test_long_pieces_are_emitted_in_parts(encoder, monkeypatch):
 def test_a_full_cache_changes_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "MAX_STATES", 5)
     monkeypatch.setattr(bpe, "MAX_REMEMBERED", 3)
-    monkeypatch.setattr(bpe, "ROWS", 2)
+    monkeypatch.setattr(bpe, "GROUP", 64)
     small = bpe.Encoder(RANKS, P.PATTERN)
     for text in ("The quick brown fox jumps over unbelievably lazy dogs in Donaudampfschiffe", "zqx" * 90 + " end", *EDGES):
         assert ids(small, text) == LIBRARY.encode_ordinary(text)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import chain, pairwise, repeat
@@ -25,18 +26,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: States kept at most; beyond it the machine starts afresh with the same results. A state's row of arcs takes 1 KB.
-MAX_STATES, ROWS = 49_152, 4096
+MAX_STATES = 49_152
 #: Chunks of text whose ids are remembered at most, and their longest length. They are kept in two
 #: generations of half as many: when the younger is full the older is forgotten, so frequent chunks stay.
-MAX_REMEMBERED, MAX_CHUNK = 250_000, 64
+MAX_REMEMBERED, MAX_CHUNK = 160_000, 64
 #: Pieces up to this many bytes are run through the machine together, so many at a time.
-TOGETHER, GROUP = 64, 32_768
+TOGETHER, GROUP = 64, 8192
 #: Bytes of one piece after which tokens are emitted as far as they are settled.
 EMIT = 4096
 #: Hypotheses that so few tokens can complete are dropped as soon as none of these fits.
 FEW = 8
 #: Texts encoded at a time, and ids decoded at a time.
-BATCH = 512
+BATCH = 128
 DECODE_STEP = 65_536
 #: Fixed value: the split pattern under which a space before a character that is no white space always starts a
 #: match, so that texts can be cut at single spaces. Texts are split whole under any other pattern.
@@ -59,25 +60,28 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.bytes_of = {i: t for t, i in ranks.items()}
         self.length = np.zeros(max(ranks.values(), default=-1) + 2, np.int64)  # the last is that of token -1
-        self.children: list[dict[int, int]] = [{}]
-        self.token_at, self.depth, self.parent = [-1], [0], [(0, 0)]
-        self.node_of: dict[bytes, int] = {}
-        for token, rank in ranks.items():
-            at = 0
+        self.bytes_of = [b""] * len(self.length)
+        #: the trie: child by node and byte; of each node its token (or -1), depth, and, of the tokens in order
+        #: of their bytes, the first at or below it and the one after the last
+        self.child: dict[int, int] = {}
+        self.token_at, self.depth, self.low, self.high = array("i", [-1]), array("i", [0]), array("i", [0]), array("i", [0])
+        self.in_order = array("i")
+        for token in sorted(ranks):
+            at, rank = 0, ranks[token]
             for b in token:
-                if b not in self.children[at]:
-                    self.children[at][b] = len(self.children)
-                    self.children.append({})
-                    self.token_at.append(-1)
-                    self.depth.append(self.depth[at] + 1)
-                    self.parent.append((at, b))
-                at = self.children[at][b]
+                to = self.child.get(at << 8 | b)
+                if to is None:
+                    to = self.child[at << 8 | b] = len(self.token_at)
+                    for own, value in ((self.token_at, -1), (self.depth, self.depth[at] + 1), (self.low, len(self.in_order)), (self.high, 0)):
+                        own.append(value)
+                at = to
+                self.high[at] = len(self.in_order) + 1
             self.token_at[at] = rank
-            self.node_of[token] = at
-            self.length[rank] = len(token)
-        self.bits = len(self.children).bit_length()
+            self.in_order.append(rank)
+            self.bytes_of[rank], self.length[rank] = token, len(token)
+        self.high[0] = len(self.in_order)
+        self.bits = len(self.token_at).bit_length()
         self.edges: dict[int, tuple[list, list] | None] = {}
         self.below_of: dict[int, list[int]] = {}
         #: classes of tokens before, with the parts at their right ends; of class 0 is the start of a piece, too
@@ -89,11 +93,11 @@ class Transducer:
     def _reset(self) -> None:
         self.states: dict[tuple[int, ...], int] = {}
         self.live: list[tuple[int, ...]] = []
-        #: number of the arc by state and byte, then each arc's next state and token; no arc and no token: -1
-        self.arc_at = np.full((ROWS, 256), -1, np.int32)
+        #: number of the arc by state and byte, 0 for none (rows take memory when they are written), then each
+        #: arc's next state and token, -1 for none
+        self.arc_at = np.zeros((MAX_STATES + GROUP + 2, 256), np.int32)
         self.to, self.ends = np.zeros(4096, np.int32), np.zeros(4096, np.int32)
-        self.arcs = 0
-        self.fits: dict[int, bool] = {}
+        self.arcs = 1
         self.narrow: dict[int, int] = {}
         self.firsts: dict[tuple, int] = {}
         self.start = self._state((0,))
@@ -103,8 +107,6 @@ class Transducer:
         if state is None:
             state = self.states[live] = len(self.live)
             self.live.append(live)
-            if state == len(self.arc_at):
-                self.arc_at = np.concatenate([self.arc_at, np.full((ROWS, 256), -1, np.int32)])
         return state
 
     def _merge(self, data: bytes, until: int) -> list[bytes]:
@@ -144,23 +146,24 @@ class Transducer:
         """Sorted tokens strictly below a node of the trie."""
         found = self.below_of.get(node)
         if found is None:
-            found, open_ = [], list(self.children[node].values())
-            while open_:
-                at = open_.pop()
-                if self.token_at[at] >= 0:
-                    found.append(self.token_at[at])
-                open_ += self.children[at].values()
-            found.sort()
-            self.below_of[node] = found
+            own = self.token_at[node] >= 0  # first of its range
+            found = self.below_of[node] = sorted(self.in_order[self.low[node] + own : self.high[node]])
         return found
 
+    def _node(self, data: bytes, at: int = 0) -> int | None:
+        for byte in data:
+            at = self.child.get(at << 8 | byte)
+            if at is None:
+                break
+        return at
+
     def _class(self, token: int) -> int:
         """The class of a token before; its parts that nothing can take up in time do not count."""
         known = self.class_of.get(token)
         if known is None:
             right, key = [], []
             for x, x_ends in self._edges(token)[1]:
-                able = bisect_left(self._below(self.node_of[x]), x_ends)
+                able = bisect_left(self._below(self._node(x)), x_ends)
                 if able:
                     right.append((x, x_ends))
                     key.append((x, able))
@@ -176,22 +179,15 @@ class Transducer:
         A token's rank is above those of its parts, so merges within happen in the order of ranks; of
         equal ranks the leftmost comes first.
         """
-        key = before << 32 | token
-        fit = self.fits.get(key)
-        if fit is None:
-            own, rank_of = self._edges(token), self.ranks.get
-            fit = own is not None
-            if fit:
-                for x, x_ends in self.rights[before]:
-                    for y, y_ends in own[0]:
-                        rank = rank_of(x + y)
-                        if rank is not None and rank < x_ends and rank <= y_ends:
-                            fit = False
-                            break
-                    if not fit:
-                        break
-            self.fits[key] = fit
-        return fit
+        own, rank_of = self._edges(token), self.ranks.get
+        if own is None:
+            return False
+        for x, x_ends in self.rights[before]:
+            for y, y_ends in own[0]:
+                rank = rank_of(x + y)
+                if rank is not None and rank < x_ends and rank <= y_ends:
+                    return False
+        return True
 
     def _narrowed(self, before: int, node: int) -> int:
         """The first class met at ``node`` that is as good as ``before`` for all tokens below it; -1 if none of them fits.
@@ -206,11 +202,11 @@ class Transducer:
                 key = tuple([t for t in below if self._fit(before, t)])
                 known = -1 if not key else 0 if len(key) == len(below) else self.firsts.setdefault((node, key), before)
             else:
-                met, text = [], self.text_of(node)
+                met, text = [], self.bytes_of[self.in_order[self.low[node]]][: self.depth[node]]
                 for x, x_ends in self.rights[before]:
-                    at, able = self.node_of[x], 0
+                    at, able = self._node(x), 0
                     for byte in text:
-                        at = self.children[at].get(byte)
+                        at = self.child.get(at << 8 | byte)
                         if at is None:
                             break
                         able += 0 <= self.token_at[at] < x_ends
@@ -222,24 +218,17 @@ class Transducer:
             self.narrow[path] = known
         return known
 
-    def text_of(self, node: int) -> bytes:
-        out = bytearray()
-        while node:
-            node, byte = self.parent[node]
-            out.append(byte)
-        return bytes(out[::-1])
-
     def _arc(self, state: int, byte: int) -> int:
-        live, ended, children, bits = [], -1, self.children, self.bits
+        live, ended, bits = [], -1, self.bits
         for code in self.live[state]:
             before, node = code >> bits, code & (1 << bits) - 1
-            child = children[node].get(byte)
+            child = self.child.get(node << 8 | byte)
             if child is None:
                 continue
             token = self.token_at[child]
             if token >= 0 and ended < 0 and self._fit(before, token):
                 ended = token
-            if children[child] and (narrowed := self._narrowed(before, child)) >= 0:
+            if self.high[child] - self.low[child] > (token >= 0) and (narrowed := self._narrowed(before, child)) >= 0:
                 live.append(narrowed << bits | child)
         if ended >= 0:
             live.append(self._class(ended) << bits)
@@ -282,9 +271,7 @@ class Transducer:
             self._reset()
         state, last, out = self.start, [], []
         for byte in piece:
-            arc = int(self.arc_at[state, byte])
-            if arc < 0:
-                arc = self._arc(state, byte)
+            arc = int(self.arc_at[state, byte]) or self._arc(state, byte)
             state = int(self.to[arc])
             last.append(int(self.ends[arc]))
             if len(last) >= EMIT:
@@ -329,7 +316,7 @@ class Transducer:
             m = going[k]
             byte = data[begin[:m] + k]
             arc = self.arc_at[state[:m], byte]
-            if (new := np.nonzero(arc < 0)[0]).size:
+            if (new := np.nonzero(arc == 0)[0]).size:
                 for key in np.unique(state[new] << 8 | byte[new]).tolist():
                     self._arc(key >> 8, key & 255)
                 arc = self.arc_at[state[:m], byte]
