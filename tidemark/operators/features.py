@@ -13,7 +13,7 @@ SERIES = ["entity", "source"]
 
 def on_spine(metrics: DataFrame, days: DataFrame, entities: DataFrame) -> DataFrame:
     """A row for each entity, source and day of ``days``; ``observed`` tells those that ``metrics`` has."""
-    grid = entities.select("entity").crossJoin(F.broadcast(metrics.select("source").distinct())).crossJoin(F.broadcast(days))
+    grid = entities.select("entity").crossJoin(metrics.select("source").distinct()).crossJoin(days)
     return grid.join(metrics.withColumn("observed", F.lit(True)), [*SERIES, "date"], "left").withColumn("observed", F.coalesce("observed", F.lit(False)))
 
 

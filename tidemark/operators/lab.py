@@ -26,7 +26,7 @@ def sections(signals: DataFrame, labels: DataFrame, universe: DataFrame, feature
     if sectors:
         chosen = chosen.where(F.col("sector").isin(*sectors))
     chosen = chosen.withColumn("eligible", F.count("*").over(Window.partitionBy()))
-    x = signals.join(F.broadcast(chosen.select("entity", "sector", "eligible")), "entity").where(F.coalesce("confidence", F.lit(0.0)) >= min_confidence)
+    x = signals.join(chosen.select("entity", "sector", "eligible"), "entity").where(F.coalesce("confidence", F.lit(0.0)) >= min_confidence)
     if len(features) == 1:
         x = x.withColumn("signal", F.col(next(iter(features))))
     else:

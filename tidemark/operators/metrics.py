@@ -81,7 +81,7 @@ ZERO = ("value", "mention_count", "unique_authors", "engagement_adj", "sentiment
 
 def with_zero_rows(metrics: DataFrame, entities: DataFrame, covered: DataFrame) -> DataFrame:
     """Every entity has a row on every covered day of a text source, zero if nothing was said; uncovered days have none."""
-    grid = covered.where(F.col("source").isin(*C.TEXT_SOURCES)).crossJoin(F.broadcast(entities.select("entity")))
+    grid = covered.where(F.col("source").isin(*C.TEXT_SOURCES)).crossJoin(entities.select("entity"))
     out = grid.join(metrics, ["entity", "source", "date"], "left")
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(metrics.schema[c].dataType)) for c in ZERO}).select(*metrics.columns)
 

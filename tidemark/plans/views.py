@@ -16,7 +16,7 @@ def rows(signals: DataFrame, universe: DataFrame, q: ViewQuery, date: Column | N
     on = signals.join(F.broadcast(day), F.col("date").isin(F.col("day")) | (F.col("date") == F.date_sub("day", q.window)))
     past = on.where("date < day").select("entity", F.col("alt_signal_score").alias("past_score"))
     today = on.where("date = day").drop("day").where(F.coalesce("confidence", F.lit(0.0)) >= q.min_confidence)
-    out = F.broadcast(chosen).join(today, "entity", "left") if q.min_confidence == 0 else today.join(F.broadcast(chosen), "entity")
+    out = chosen.join(today, "entity", "left" if q.min_confidence == 0 else "inner")
     return out.join(past, "entity", "left").withColumn("score_change", rounded(F.col("alt_signal_score") - F.col("past_score"), 1))
 
 
@@ -56,7 +56,7 @@ def sector_summary(rows_: DataFrame) -> DataFrame:
 
 def sector_by_source(features: DataFrame, universe: DataFrame, sources: tuple[str, ...]) -> DataFrame:
     """Mean attention z by sector, a column for each source."""
-    return features.join(F.broadcast(universe.select("entity", "sector")), "entity").groupBy("sector").pivot("source", list(sources)).agg(rounded(F.avg("abnormal_z"), 6))
+    return features.join(universe.select("entity", "sector"), "entity").groupBy("sector").pivot("source", list(sources)).agg(rounded(F.avg("abnormal_z"), 6))
 
 
 def narratives(items: DataFrame) -> DataFrame:

@@ -3,15 +3,25 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, as in tests, a temporary folder that becomes the checkpoint folder too."""
+    """``spark.checkpoint.dir``; where it is unset in local mode, as in tests, a temporary folder that becomes the checkpoint folder too."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tidemark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("tidemark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
     return found
+
+
+def cut(df: DataFrame, name: str) -> str:
+    """Write ``df`` to the shared folder and return the path: what reads it starts from replicated files."""
+    path = f"{shared_dir(df.sparkSession)}/tidemark/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
