@@ -76,6 +76,37 @@ def test_links_find_all_and_only_near_pairs(spark):
         assert found.get(v, v) == min(group)
 
 
+@pytest.mark.parametrize("max_bits,hot", [(2, 4), (1, 1024), (3, 6), (0, 1024)])
+def test_links_of_hot_routes_and_other_bounds(spark, max_bits, hot):
+    values = near(random.Random(2), 40)
+    found = {(r.node): r.component for r in components(simhash.links(spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long"), max_bits, hot)).collect()}
+    label, signed = list(range(len(values))), values.view(np.int64).tolist()
+    for _ in range(len(values)):
+        label = [min(label[j] for j in range(len(values)) if (int(values[i]) ^ int(values[j])).bit_count() <= max_bits) for i in range(len(values))]
+    for i, v in enumerate(signed):
+        assert found.get(v, v) == min(signed[j] for j in range(len(signed)) if label[j] == label[i])
+
+
+def test_tallies_count_the_lists_that_pairs_share():
+    r = np.random.default_rng(4)
+    lists = r.integers(0, 5, (60, 4))
+    a, b, count = simhash.tallies(lists)
+    expected = {(i, j): int((lists[i] == lists[j]).sum()) for i in range(60) for j in range(i + 1, 60) if (lists[i] == lists[j]).any()}
+    assert dict(zip(zip(a.tolist(), b.tolist()), count.tolist())) == expected
+
+
+def test_only_pairs_that_reach_the_count_are_verified(monkeypatch):
+    base = 0x0102030405060708
+    # route 0 has positions 0 to 3; five pairs share two or more of positions 4 to 7, five fewer
+    values = np.array([base, base ^ (1 << 40) ^ (1 << 48), base ^ (7 << 32) ^ (1 << 40) ^ (1 << 48), base ^ 0x0101010100000000, base ^ (3 << 32)], np.uint64)
+    verified = []
+    real = np.bitwise_count
+    monkeypatch.setattr(simhash.np, "bitwise_count", lambda x: verified.append(len(x)) or real(x))
+    a, b = simhash.counted_links(values, np.zeros(5, np.int64), np.zeros(5, np.int64), 2)
+    assert sorted(zip(a.tolist(), b.tolist())) == [(0, 1), (0, 4), (1, 3)] and verified == [5]
+    assert simhash.counted_links(values, np.arange(5), np.zeros(5, np.int64), 2)[0].size == 0
+
+
 def test_long_chain_of_edges(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(5, 5), (1000, 1001)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
