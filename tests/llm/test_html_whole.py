@@ -40,3 +40,24 @@ def test_many_unclosed_elements_take_linear_time():
     begin = time.time()
     assert html.main_text(f"<p>{LONG}</p>" + "<canvas>x" * 100_000)[0].startswith(LONG)
     assert time.time() - begin < 20
+
+
+RUSSIAN = "\u0420\u0435\u043a\u0430 \u0432 \u0434\u043e\u043b\u0438\u043d\u0435 \u0431\u044b\u043b\u0430 \u0448\u0438\u0440\u043e\u043a\u043e\u0439, \u0438 \u043b\u044e\u0434\u0438 \u0436\u0438\u043b\u0438 \u0442\u0430\u043c \u0432\u0441\u0435 \u0433\u043e\u0434\u044b. " * 4
+KEPT = [
+    (f"<article><p>{LONG}</p><address>By A. Writer</address><p><a href=x>A paragraph that is a link from its beginning to its end</a></p><p><label>Label</label> and <object>object text</object></p></article>", f"{LONG}\nBy A. Writer\nA paragraph that is a link from its beginning to its end\nLabel\nand object text"),
+    (f"<article><p>{LONG}</p><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> and <svg><title>no</title><text>drawn</text></svg></p></article>", f"{LONG}\nLet x=2 and drawn"),
+    (f"<article><p>{LONG}</p><ul><li><a href=x>A link of a menu</a></li><li><a href=y>Another link</a></li></ul></article>", LONG),
+    (f"<p><a href=x>a link block that is near</a></p><p>{RUSSIAN}</p>", RUSSIAN.strip()),
+    (f"<p>{LONG}</p><p><a href=x>&eacute;&eacute;</a> is short here</p>", f"{LONG}\n\u00e9\u00e9 is short here"),
+]
+
+
+@pytest.mark.parametrize("page,expected", KEPT)
+def test_nothing_else_is_dropped(page, expected):
+    assert html.main_text(page)[0] == expected
+
+
+def test_clashing_columns(spark):
+    rows = [(1, f"<p>{LONG}</p>", "a", "b", "c"), (1, f"<p>{LONG}</p>", "a", "b", "c")]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, html string, found string, TEXT string, N_Chars string"))
+    assert got.columns == ["page_id", "found", "text", "n_chars", "n_blocks"] and [r.text for r in got.collect()] == [LONG, LONG]

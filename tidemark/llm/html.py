@@ -2,7 +2,7 @@
 
 A page is cut into blocks at block-level tags. The first pass decides blocks by where they stand (menus,
 footers, forms, comments and the like are boilerplate), by link density, and by length and stop-word
-density. A class or id that only ends in a hint ("entry-footer") is a lean: dense blocks in it are main text,
+density; a block twice as long needs no stop words if it has few links, so other languages are text, too. A class or id that only ends in a hint ("entry-footer") is a lean: dense blocks in it are main text,
 its ambiguous blocks look for decided ones in it alone, and without such they are boilerplate. Blocks that this leaves ambiguous, being short or without stop words, then inherit the label of
 the nearest decided blocks of their region: the nearer of the two sides, main text on a tie. A region is
 an article or main element, or all that is outside such; without a decided block in it, its ambiguous
@@ -19,16 +19,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import free_name
+
 # Fixed values of this module: element names and hints of boilerplate, and stop words of four languages.
-RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "object", "svg", "math", "canvas", "select", "head", "title", "audio", "video"}
+RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "canvas", "select", "head", "title", "audio", "video", "annotation", "annotation-xml"}
 #: Elements whose inside is no markup: without an end tag they reach to the end of the page.
 TEXT_ONLY = {"script", "style", "textarea", "title", "iframe"}
 #: Elements whose inside is no article text either: without an end tag they reach to the next block-level tag.
-NOT_TEXT = {"svg", "math", "select", "template"}
-BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "button", "dialog", "fieldset", "label", "address"}
+NOT_TEXT = {"select", "template"}
+BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "button", "dialog"}
+#: Boilerplate outside article and main elements, text in them.
+LOOSE = {"fieldset", "label", "address", "header"}
 REGIONS = {"article", "main"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-BLOCK = BOILERPLATE | REGIONS | set(
+BLOCK = BOILERPLATE | LOOSE | REGIONS | set(
     "address blockquote body caption center dd details div dl dt figcaption figure frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSED_BY_BLOCK = {"p"}
@@ -43,7 +47,7 @@ STOP_WORDS = set(
     el los las y en del al lo con por para su sus no más como pero una o este esta se ha son""".split()
 )
 
-SHORT, LINKED, DENSE = 70, 0.5, 0.15
+SHORT, LONG, LINKED, FEW_LINKS, DENSE = 70, 140, 0.5, 0.1, 0.15
 TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -100,35 +104,37 @@ def hinted(name: str, attributes: str, region: int = 0) -> tuple[int, int]:
     return by_class, other
 
 
-def cut_blocks(html: str) -> list[tuple[str, int, bool, int, int]]:
-    """(text, characters in links, in boilerplate, region, lean) of the page's blocks, in order; region and lean 0 are outside all.
+def cut_blocks(html: str) -> list[tuple[str, int, bool, int, int, bool]]:
+    """(text, characters in links, in boilerplate, region, lean, in a list) of the page's blocks, in order; region and lean 0 are outside all.
 
     An article ends an inherited lean, a main element any inherited class or id.
     """
-    out: list[tuple[str, int, bool, int, int]] = []
+    out: list[tuple[str, int, bool, int, int, bool]] = []
     stack: list[tuple[str, bool, bool, int, int]] = [("", False, False, 0, 0)]  # element, in boilerplate by place, by class, region, lean
     parts: list[str] = []
-    link, linked, regions, leans, breaks, at = False, 0, 0, 0, 0, 0
+    links: list[str] = []  # those of them in links
+    link, regions, leans, breaks, at = False, 0, 0, 0, 0
     unclosed: set[str] = set()  # elements with no end tag further on
 
+    def tidy(pieces: list[str]) -> str:
+        text = "".join(pieces)
+        return " ".join((unescape(text) if "&" in text else text).split())
+
     def end() -> None:
-        nonlocal linked
         if parts:
-            text = "".join(parts)
-            text = " ".join((unescape(text) if "&" in text else text).split())
-            if text:
-                out.append((text, linked, stack[-1][1] or stack[-1][2], *stack[-1][3:]))
+            if text := tidy(parts):
+                out.append((text, len(tidy(links)) if links else 0, stack[-1][1] or stack[-1][2], *stack[-1][3:], any(e[0] in ("li", "dd", "dt") for e in stack)))
             parts.clear()
-        linked = 0
+        links.clear()
 
     def say(text: str) -> None:
-        nonlocal linked, breaks
+        nonlocal breaks
         if text:
             parts.append(text)
+            if link:
+                links.append(text)
             if not text.isspace():
                 breaks = 0
-                if link:
-                    linked += len(text.strip())
 
     while True:
         found = TOKEN.search(html, at)
@@ -186,7 +192,7 @@ def cut_blocks(html: str) -> list[tuple[str, int, bool, int, int]]:
                 if own == LEAN:
                     leans += 1
                     lean = leans
-                bad = bad or name in BOILERPLATE or (name == "header" and not region) or other == FIRM
+                bad = bad or name in BOILERPLATE or (name in LOOSE and not region) or other == FIRM
                 stack.append((name, bad, by_class or own == FIRM, region, lean))
     end()
     return out
@@ -201,13 +207,16 @@ def classify(html: str | None) -> list[Block]:
     """The blocks of a page with their labels. A null or empty page has none."""
     blocks = cut_blocks(html or "")
     labels: list[tuple[str | None, str]] = []
-    for text, linked, bad, _, _ in blocks:
+    for text, linked, bad, region, _, listed in blocks:
         if bad:
             labels.append(("boilerplate", "place"))
         elif linked > LINKED * len(text):
-            labels.append(("boilerplate", "links"))
+            # in an article only lists of links are menus; a paragraph that is a link is as good as its neighbours
+            labels.append((None, "a link") if region and not listed else ("boilerplate", "links"))
         elif len(text) >= SHORT and stop_density(text) >= DENSE:
             labels.append(("main", "stop words"))
+        elif len(text) >= LONG and linked <= FEW_LINKS * len(text):  # of whatever language
+            labels.append(("main", "long"))
         else:
             labels.append((None, "short" if len(text) < SHORT else "no stop words"))
     # distance to the nearest decided block of the region on either side; what is out of place decides nothing
@@ -216,14 +225,14 @@ def classify(html: str | None) -> list[Block]:
         last: dict[tuple[int, int], tuple[int, str]] = {}
         near: dict[int, tuple[int, str] | None] = {}
         for i in order:
-            region = blocks[i][3:]
+            region = blocks[i][3:5]
             if labels[i][0] is None:
                 near[i] = last.get(region)
             elif labels[i][1] != "place":
                 last[region] = (i, labels[i][0])
         sides.append(near)
     out = []
-    for i, ((text, _, _, region, lean), (label, reason)) in enumerate(zip(blocks, labels, strict=True)):
+    for i, ((text, _, _, region, lean, _), (label, reason)) in enumerate(zip(blocks, labels, strict=True)):
         if label is None:
             near = [(abs(i - s[i][0]), s[i][1] != "main", s[i][1]) for s in sides if s[i]]
             label, reason = (min(near)[2], f"{reason}, near {min(near)[2]}") if near else ("boilerplate" if lean else "main", f"{reason}, alone")
@@ -240,16 +249,19 @@ def main_text(html: str | None) -> tuple[str, int]:
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
     """``pages`` with ``text`` (empty if there is no main text), n_chars (code points) and n_blocks instead of ``html``.
 
-    Work is per row: nothing is shuffled. Columns of ``pages`` with a new one's name are replaced.
+    Work is per row: nothing is shuffled; a null page is an empty one; repeated rows stay; a page is held
+    in memory whole, however long, in time that grows in proportion; an empty table gives an empty result.
+    Columns of ``pages`` with a new one's name, in any case of letters, are replaced.
     """
 
     @F.pandas_udf("text string, n_blocks int")
     def of(pages: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([main_text(x) for x in pages], columns=["text", "n_blocks"]).astype({"n_blocks": "int32"})
 
-    kept = [F.col(f"`{c}`") for c in pages.columns if c not in (html, text, "n_chars", "n_blocks")]
-    found = pages.select(*kept, of(F.col(html)).alias("__found"))
-    return found.select(*kept, F.col("__found.text").alias(text), F.char_length("__found.text").cast("long").alias("n_chars"), F.col("__found.n_blocks").alias("n_blocks"))
+    new = {html.lower(), text.lower(), "n_chars", "n_blocks"}
+    kept, own = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in new], free_name("found", pages)
+    found = pages.select(*kept, of(F.col(f"`{html}`")).alias(own))
+    return found.select(*kept, F.col(f"{own}.text").alias(text), F.char_length(f"{own}.text").cast("long").alias("n_chars"), F.col(f"{own}.n_blocks").alias("n_blocks"))
 
 
 def blocks(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
