@@ -1,11 +1,12 @@
 """Exact top-k by integer inner product, by no-random-access aggregation over sorted lists.
 
-Each block of candidates keeps, for every component, its values in sorted order. A query reads the lists
-from the end that its sign favours, all to the same depth, never looking a candidate up. What has been
-read gives each candidate a lower and an upper bound: an unread component is worth at most the last value
-read from its list and at least the list's final value. Candidates whose upper bound is below the k-th
-best lower bound are dropped; reading stops when no more than k are left, or the lists end, and the final
-scores of those left are resolved. The depth doubles from step to step.
+Each block of candidates keeps, for every component, its values in order of magnitude. A query reads
+each list in turn from its top down to where a value times the query's component falls below a bar, so
+lists are read to different depths: the greater the query's component, the deeper. What has been read
+gives each candidate a lower and an upper bound: an unread value is worth at most what was last read
+from its list, either way. Candidates whose upper bound is below the k-th best lower bound are dropped,
+the bar is lowered, and reading stops when no more than ``RESOLVE`` can still qualify, or the lists end.
+Only then are rows looked at: the final scores of those left are resolved.
 
 Blocks of candidates meet blocks of queries in tasks; each returns at most k rows a query, which are
 merged. No block grows with the data.
@@ -21,67 +22,63 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut
 
 K, SCALE, EVERY = 10, 1024, 100
-#: Rows to a block of candidates and to a block of queries.
-CANDIDATES, QUERIES = 4096, 512
-#: Lists are first read to this share of their length.
-FIRST = 1 / 16
+#: Rows to a block of candidates and to a block of queries. Candidates are sent once for each block of queries and queries
+#: once for each block of candidates, so that large blocks keep both few.
+CANDIDATES, QUERIES = 8192, 8192
+#: Candidates (k at least) whose final scores are resolved, and the factor by which the bar is lowered.
+RESOLVE, STEP = 64, 0.6
+#: What a long holds.
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def quantised(vector: Column, scale: int = SCALE) -> Column:
-    """floor(scale * x) of each component as long; null for a null vector or one with null or non-finite components."""
-    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    """floor(scale * x) of each component as long; null for a null vector, one with null or non-finite components, or one that no long holds."""
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double") * scale) >= float(1 << 63)))
     return F.when(vector.isNotNull() & ~bad, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
 
 
 class Lists:
-    """The sorted lists of a block: ids ascending, values (n, d)."""
+    """The lists of a block: ids ascending, values (n, d). ``read`` counts the entries that queries have read, ``offered`` all of them."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids = ids[order]
-        most = float(np.abs(values).max(initial=0))
+        most = max((abs(int(values.max(initial=0))), abs(int(values.min(initial=0)))))
         # exact in float64 below 2**53, else in Python's integers
-        self.values = values[order].astype(np.float64 if most * most * max(1, values.shape[1]) < 2**53 else object)
-        self.order = np.argsort(-self.values, axis=0, kind="stable")  # of each list, best for a positive query first
+        self.values = values[order].astype(np.float64 if 2 * most * most * max(1, values.shape[1]) < 2**53 else object)
         self.n, self.d = values.shape
-        self.sorted = np.take_along_axis(self.values, self.order, axis=0)
+        size = np.abs(self.values)
+        self.order = np.argsort(-size, axis=0, kind="stable")
+        self.falling = -np.take_along_axis(size, self.order, axis=0)  # negated, so that it can be searched
+        self.read = self.offered = 0
 
     def top(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best other than the query's own row, ties to smaller ids."""
         q = q.astype(self.values.dtype)
         used = np.nonzero(q)[0]
-        alive = np.ones(self.n, bool)
+        alive = self.ids != query_id
         seen = np.zeros(self.n, self.values.dtype)  # sum of what has been read of each candidate
-        worth = np.zeros(self.n, self.values.dtype)  # what its read components would be worth unread, at most and at least
-        least = np.zeros(self.n, self.values.dtype)
-        own = self.ids == query_id
-        final = sum((q[d] * (self.sorted[-1, d] if q[d] > 0 else self.sorted[0, d]) for d in used), self.values.dtype.type(0) if self.values.dtype != object else 0)
-        read, depth = 0, min(self.n, max(k + 1, int(self.n * FIRST)))
-        while read < self.n and len(used):
-            for d in used:
-                rows = self.order[read:depth, d] if q[d] > 0 else self.order[self.n - depth : self.n - read, d]
+        unread = np.ones((self.n, len(used)), bool)
+        depth, weight = [0] * len(used), [abs(q[d]) for d in used]
+        bar = max((w * -self.falling[0, d] for w, d in zip(weight, used, strict=True)), default=0) * STEP if self.n else 0
+        while alive.sum() > max(k, RESOLVE) and min(depth, default=self.n) < self.n:
+            last = []  # what an unread value of each list is worth at most
+            for j, d in enumerate(used):
+                to = self.n if bar < 1 else max(depth[j], int(np.searchsorted(self.falling[:, d], -(bar / weight[j]))))
+                rows = self.order[depth[j] : to, d]
                 seen[rows] += q[d] * self.values[rows, d]
-            read = depth
-            if read == self.n:
-                break
-            last = {d: q[d] * (self.sorted[read - 1, d] if q[d] > 0 else self.sorted[self.n - read, d]) for d in used}
-            worst = {d: q[d] * (self.sorted[-1, d] if q[d] > 0 else self.sorted[0, d]) for d in used}
-            worth[:] = sum(last.values())
-            least[:] = final
-            for d in used:
-                rows = self.order[:read, d] if q[d] > 0 else self.order[self.n - read :, d]
-                worth[rows] -= last[d]
-                least[rows] -= worst[d]
-            low, high = seen + least, seen + worth
-            able = alive & ~own
-            if able.sum() > k:
-                bar = np.partition(low[able], -k)[-k]
-                alive &= high >= bar
-                if (alive & ~own).sum() <= k:
-                    break
-            depth = min(self.n, 2 * depth)
-        left = np.nonzero(alive & ~own)[0]
-        score = seen[left] if read == self.n or not len(used) else self.values[left] @ q
+                unread[rows, j] = False
+                depth[j] = to
+                last.append(weight[j] * -self.falling[to, d] if to < self.n else 0)
+            slack = unread @ np.array(last, self.values.dtype)
+            able = np.nonzero(alive)[0]
+            kth = np.sort(seen[able] - slack[able])[-k]
+            alive[able] = seen[able] + slack[able] >= kth
+            bar *= STEP
+        self.read += sum(depth)
+        self.offered += self.n * len(used)
+        left = np.nonzero(alive)[0]
+        score = np.clip(self.values[left] @ q, LEAST, MOST) if self.values.dtype == object else self.values[left] @ q
         best = np.lexsort((self.ids[left], -score))[:k]
         return self.ids[left][best], score[best]
 
@@ -89,9 +86,10 @@ class Lists:
 def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = K, scale: int = SCALE) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): each query's ``k`` best rows other than its own, ties to smaller ids.
 
-    Vectors that are null or hold null or non-finite components take no part, nor do rows without an id;
-    only vectors of one length are compared; fewer candidates than k give as many rows. Ids are unique:
-    rows that share a query's id are its own. An empty table gives an empty result.
+    Vectors that are null or hold null or non-finite components take no part, nor do rows without an id or
+    vectors of which a scaled component is beyond a long; a score beyond a long is held at its limit. Only
+    vectors of one length are compared; fewer candidates than k give as many rows. Ids are unique: rows
+    that share a query's id are its own. Vectors may repeat. An empty table gives an empty result.
     """
     rows = vectors.select(F.col(vec_id).alias("vec_id"), quantised(F.col(vector), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = cut(rows.where("v is not null and vec_id is not null").withColumn("d", F.size("v")), "vectors")
