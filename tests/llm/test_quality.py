@@ -35,14 +35,21 @@ def test_pieces_of_long_texts_change_nothing(monkeypatch):
 
 def test_fit_without_both_classes():
     rows = [quality.features(b"some text")]
+    sent = list(map(quality.packed, rows))
     assert quality.fit([], np.array([], np.int64)).score(rows[0]) == 0.5
-    assert quality.fit(rows, np.array([1])).score(rows[0]) > 0.9 and quality.fit(rows, np.array([0])).score(rows[0]) < 0.1
+    assert quality.fit(sent, np.array([1])).score(rows[0]) > 0.9 and quality.fit(sent, np.array([0])).score(rows[0]) < 0.1
+
+
+def test_packed_features_are_bounded():
+    for n in (0, 1, 5000, 1 << 15, 1 << quality.BITS):
+        found = np.sort(np.random.default_rng(n).permutation(1 << quality.BITS)[:n])
+        assert quality.unpacked(quality.packed(found)).tolist() == found.tolist() and len(quality.packed(found)) <= 32_768
 
 
 def test_dual_descent_meets_the_optimality_conditions():
     data = texts(80)
     rows, y = [quality.features(t.encode()) for _, t, _ in data], np.array([k for _, _, k in data])
-    m = quality.fit(rows, y)
+    m = quality.fit(list(map(quality.packed, rows)), y)
     p = np.array([m.score(f) >= 0.5 for f in rows])
     assert (p == (y == 1)).all()
 
@@ -68,3 +75,42 @@ def test_held_out_accuracy(spark):
     truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
     got = [r for r in op8_quality(spark, d).collect() if r.held_out and r.doc_id in truth]
     assert np.mean([r.predicted == truth[r.doc_id] for r in got]) >= 0.97
+
+
+def slow_features(text):
+    """The same indicators one by one, in plain integers."""
+    data, out = (text or "").encode(), set()
+
+    def add(code, kind):
+        out.add(((code + (kind << 40)) % 2**64 * 0x9E3779B97F4A7C15 % 2**64) >> (64 - quality.BITS))
+
+    for n in (2, 3, 4):
+        for i in range(len(data) - n + 1):
+            add(int.from_bytes(data[i : i + n], "big"), n - 1)
+    words = [zlib.crc32(w) for w in data.split()]
+    for w in words:
+        add(w, 8)
+    for a, b in zip(words, words[1:]):
+        add((a * 31 + b) % 2**64, 9)
+    same = sum(a == b for a, b in zip(words, words[1:]))
+    for i in range(6):
+        if words and same >= 2**i * max(1, len(words) // 256):
+            add(i, 10)
+    return sorted(out)
+
+
+def test_query_against_a_plain_model(spark):
+    d = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect() if r.quality is not None}
+    held = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in docs}
+    features = {i: slow_features(t) for i, t in docs.items()}
+    train = [i for i in sorted(docs) if i in labels and not held[i]]
+    assert 10 < len(train) < quality.SAMPLE
+    model = quality.fit([quality.packed(np.array(features[i], np.int64)) for i in train], np.array([labels[i] for i in train]))
+    got = op8_quality(spark, d).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    for r in got:
+        margin = sum(float(model.weights[f]) for f in features[r.doc_id]) + model.bias
+        score = 1 / (1 + np.exp(-np.clip(model.scale[0] * margin + model.scale[1], -30, 30)))
+        assert abs(r.score - score) < 1e-3 and r.held_out == held[r.doc_id] and r.predicted == int(r.score >= 0.5)

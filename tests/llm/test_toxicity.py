@@ -85,3 +85,25 @@ def test_held_out_accuracy(spark):
     got = [r for r in op4_toxicity(spark, d).collect() if r.held_out and r.doc_id in truth]
     assert np.mean([r.predicted == truth[r.doc_id] for r in got]) >= 0.95
     assert np.mean([r.predicted for r in got if not truth[r.doc_id]]) <= 0.02
+
+
+def test_query_against_a_plain_loop(spark):
+    """Each document's windows one by one through the network."""
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    net = toxicity.train(docs.select("doc_id", "text"), labels)
+    got = {r.doc_id: r for r in op4_toxicity(spark, d).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert sorted(got) == sorted(texts)
+    for i, text in texts.items():
+        words, logits = (text or "").lower().encode().split(), []
+        begins = list(range(0, max(1, len(words) - 16), 16))
+        for at in begins:
+            window = words[at : at + 32]
+            x, mask = np.zeros((1, 32), np.int64), np.zeros((1, 32), np.float32)
+            x[0, : len(window)], mask[0, : len(window)] = range(len(window)), 1
+            table = net.inputs(net.vectors(window or [b"."]))
+            logits.append(float(net.forward(table, x, mask)[0]))
+        z = net.fit[0] * max(logits) + net.fit[1] * np.log(len(begins)) + net.fit[2]
+        assert abs(got[i].score - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 2e-3
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and got[i].predicted == int(got[i].score >= 0.5)

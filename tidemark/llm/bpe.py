@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import text_batches
+
 #: States kept at most; beyond it the machine starts afresh with the same results. A state's row of arcs takes 1 KB.
 MAX_STATES = 49_152
 #: Chunks of text whose ids are remembered at most, and their longest length. They are kept in two
@@ -533,6 +535,7 @@ def encode(docs: DataFrame, ranks_file: bytes, pattern: str, text: str = "text",
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {n.lower() for n in new}]
     kinds = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType(), ids: T.ArrayType(T.IntegerType(), False)}
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(c, kinds[c]) for c in new])
+    text_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(ranks_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

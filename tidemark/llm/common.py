@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: White space that separates words: space and the ASCII controls 9 to 13.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,10 +18,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset (tests), a temporary one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset in local mode (tests), a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = spark.conf.get("tidemark.shared.dir", None)
     if not made:
         made = "file://" + tempfile.mkdtemp(prefix="tidemark-")
@@ -38,6 +41,18 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of whole texts hold ``BATCH_ROWS`` rows or ``BATCH_BYTES`` at most, where nobody asked for fewer.
+
+    At the usual 10,000 rows, batches in the JVM and in Python would be most of what a task holds.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).lower().removesuffix("b")
+        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def free_name(wanted: str, df: DataFrame) -> str:
     """``wanted``, with underscores in front until no column of ``df`` has that name."""
     taken = {c.lower() for c in df.columns}

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name
+from tidemark.llm.common import free_name, text_batches
 
 # Fixed values of this module: element names and hints of boilerplate, and stop words of four languages.
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "canvas", "select", "head", "title", "audio", "video", "annotation", "annotation-xml"}
@@ -258,6 +258,7 @@ def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFra
     def of(pages: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([main_text(x) for x in pages], columns=["text", "n_blocks"]).astype({"n_blocks": "int32"})
 
+    text_batches(pages.sparkSession)
     new = {html.lower(), text.lower(), "n_chars", "n_blocks"}
     kept, own = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in new], free_name("found", pages)
     found = pages.select(*kept, of(F.col(f"`{html}`")).alias(own))

@@ -9,19 +9,18 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import remainder
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, most: int, seed: int, doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with a column ``label`` for at most ``most`` labelled rows that are not held out, by hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, most: int, seed: int) -> DataFrame:
+    """(doc_id, text, known_label) from ``docs`` (doc_id, text) for at most ``most`` labelled ids that are not held out, by hash of the id.
 
     Only (id, label) rows, ``most`` of them at most, are broadcast; the documents are not shuffled. An id
-    with several labels keeps the largest. Null ids and null labels are left out.
+    with several labels keeps the largest, one with several rows the text first in order, so that a much
+    repeated id is one row of the sample. Null ids and null labels are left out.
     """
     known = labels.where(~held_out & F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most)
     known = known.select(F.col("doc_id").alias("known_id"), F.col("label").alias("known_label"))
-    rows = docs.join(F.broadcast(known), F.col(doc_id) == F.col("known_id"))
-    return rows.drop("known_id")
-
-
+    rows = docs.join(F.broadcast(known), F.col("doc_id") == F.col("known_id"))
+    return rows.groupBy("doc_id", "known_label").agg(F.min("text").alias("text"))
 
 
 def held_out(doc_id: str, modulus: int, kept_out: int) -> Column:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, free_name
+from tidemark.llm.common import cut, free_name, text_batches
 from tidemark.llm.components import components
 
 SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 2
@@ -206,6 +206,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     other. Rows may repeat or share a doc_id; a null doc_id is never the smallest unless all are null.
     ``group`` names the group by a fingerprint in it. An empty table gives an empty result.
     """
+    text_batches(docs.sparkSession)
     prints = cut(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text)).alias("fp")), "fingerprints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = components(links(classes.select("fp"), max_bits))
@@ -222,6 +223,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_bi
     Groups are decided on narrow rows (id, fingerprint, row hash); texts are not shuffled but for rows
     that repeat in full.
     """
+    text_batches(docs.sparkSession)
     row = free_name("row_hash", docs)
     hashed = docs.withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
     prints = cut(hashed.select(F.col(doc_id).alias("id"), F.col(row).alias("row"), fingerprints(F.col(text)).alias("fp")), "fingerprints")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, text_batches
 from tidemark.llm.learning import fit_logistic, held_out, labelled_sample
 
 MODULUS, KEPT_OUT = 5, 0
@@ -34,7 +34,7 @@ ROUNDS, BATCH, RATE = (2, 6), 96, 0.05
 #: Texts of the sample that a word with a vector of its own occurs in, at least, and such words, at most.
 FREQUENT, VOCABULARY = 12, 8192
 #: Words whose inputs are remembered, and windows scored at a time.
-REMEMBERED, CHUNK = 150_000, 2048
+REMEMBERED, CHUNK = 50_000, 2048
 #: Words whose vectors are made at a time.
 AT_ONCE = 16_384
 
@@ -302,8 +302,11 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     """Fit on at most ``sample`` labelled texts whose crc32(doc_id) mod 5 is not 0, on all of their windows.
 
     Tasks count the texts each word occurs in, draw or choose the windows of a round over whole texts, and
-    score the whole texts for the calibration. A round sends the driver the windows it trains on.
+    score the whole texts for the calibration. A round sends the driver the windows it trains on, so that
+    no more of a very long text gets there. Null texts are empty; null labels and ids are left out; an id
+    with several rows or labels counts once (see ``labelled_sample``); without rows the score is constant.
     """
+    text_batches(docs.sparkSession)
     known = labelled_sample(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), labels, label, held_out("doc_id", MODULUS, KEPT_OUT), sample, SEED)
     known = cut(known.select("doc_id", F.least(F.lit(1), F.greatest(F.lit(0), "known_label")).alias("known_label"), F.col("text").cast("binary").alias("text")).repartition(16), "labelled")
     context = docs.sparkSession.sparkContext
@@ -366,9 +369,12 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 def score(docs: DataFrame, net: Network, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (columns ``keep``, all by default) with held_out, score (0 to 1) and predicted (1 if score >= 0.5).
 
-    All windows of whole texts are scored; a null or empty text is one empty window. Columns of these
-    names are replaced. The network, about 2 MB, is broadcast.
+    All windows of whole texts are scored, however long they are, ``CHUNK`` at a time; a null or empty text
+    is one empty window; repeated rows score alike; of windows with equal logits it doesn't matter which is
+    the largest; an empty table gives an empty result. Columns of these names, in any case of letters, are
+    replaced. The network, about 2 MB, is broadcast.
     """
+    text_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     @F.pandas_udf(T.DoubleType())
@@ -378,6 +384,6 @@ def score(docs: DataFrame, net: Network, text: str = "text", doc_id: str = "doc_
             yield pd.Series(np.concatenate([scorer.score(list(texts[i : i + 512])) for i in range(0, len(texts), 512)]) if len(texts) else [], dtype=float)
 
     names = ("held_out", "score", "predicted")
-    kept = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c not in names]
+    kept = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c.lower() not in names]
     out = docs.select(*kept, held_out(doc_id, MODULUS, KEPT_OUT).alias("held_out"), of(F.col(text).cast("binary")).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
