@@ -1,9 +1,11 @@
 import gzip
 import hashlib
+import io
 import random
 import zlib
 
 import pyarrow.fs as fs
+import pytest
 
 from tidemark.llm import warc
 from tidemark.llm.queries import op10_warc
@@ -75,3 +77,24 @@ def test_query(spark):
     d = "/root/testdata/sf0.001"
     data = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{d}/pages.parquet").collect()]
     assert sorted((tuple(r) for r in op10_warc(spark, d).collect()), key=str) == expected(data)
+
+
+class Counted(io.BytesIO):
+    taken = 0
+
+    def read(self, n=-1):
+        out = super().read(n)
+        self.taken += len(out)
+        return out
+
+
+def test_each_byte_of_a_long_record_is_read_once():
+    body = random.Random(3).randbytes(6 << 20)  # incompressible
+    small = warc._member(warc.record(8, "u", b"after", sha(b"after"), None, False))
+    data = warc._member(warc.record(7, "u", body, sha(body), None, False)) + small * 300
+    stream = Counted(data)
+    found = list(warc.members(stream, len(data), 0, len(data)))
+    assert len(found) == 301 and found[1][0] == len(data) - 300 * len(small)
+    assert warc.parse(found[0][1])[:3] == (7, len(body), sha(body)) and stream.taken <= 1.05 * len(data)
+    with pytest.raises(ValueError):
+        list(warc.members(Counted(data[: 1 << 20]), 1 << 20, 0, 100))

@@ -25,6 +25,8 @@ MIN_REVISIT_BYTES = 100
 SPLIT_BYTES, STEP, LEVEL = 8 << 20, 1 << 20, 3
 DATE = "2000-01-01T00:00:00Z"
 MAGIC = b"\x1f\x8b\x08"
+#: Bytes that a member's head is looked for in, and bytes fed to the inflater at a time.
+HEAD, PIECE = 4096, 1 << 14
 SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, archive string, archive_offset long"
 
 
@@ -106,45 +108,45 @@ def write(pages: DataFrame, directory: str, payload: str = "html", url: str = "u
 
 def _begins_record(data: bytes) -> bool:
     try:
-        head = zlib.decompressobj(31).decompress(data[:4096], 512)
+        head = zlib.decompressobj(31).decompress(data, 512)
     except zlib.error:
         return False
     return head.startswith(b"WARC/1.") and b"\r\nWARC-Type:" in head
 
 
 def members(stream, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, inflated content) of the members that start in [start, end) of an open archive."""
-    base, data = start, b""
-
-    def more() -> bool:
-        nonlocal data
-        at = base + len(data)
-        if at >= size:
-            return False
-        stream.seek(at)
-        data += stream.read(min(STEP, size - at))
-        return True
+    """(offset, inflated content) of the members that start in [start, end) of an open archive.
+
+    The buffer holds ``STEP`` bytes and is fed to the inflater piece by piece, so time grows in proportion
+    to the archive, however long a record is. A member that is cut short raises.
+    """
+    begin, buffer = start, b""
+
+    def have(at: int, n: int) -> memoryview:
+        nonlocal begin, buffer
+        if begin + len(buffer) < min(at + n, size):
+            kept = buffer[at - begin :]
+            stream.seek(at + len(kept))
+            buffer, begin = kept + stream.read(min(STEP, size - at - len(kept))), at
+        return memoryview(buffer)[at - begin : at - begin + n]
 
     at = start
     while at < end:
-        data, base = data[at - base :], at
-        while len(data) < 4096 and more():
-            pass
-        if not data.startswith(MAGIC) or not _begins_record(data):
-            found = data.find(MAGIC, 1)
+        head = bytes(have(at, HEAD))
+        if not head.startswith(MAGIC) or not _begins_record(head):
+            found = buffer.find(MAGIC, at - begin + 1)
             # no magic in what is here: go on with its last two bytes, which may begin one
-            at = base + (found if found > 0 else max(1, len(data) - 2))
+            at = begin + found if found > 0 else max(at + 1, begin + len(buffer) - 2)
             continue
-        unpacker, out, fed = zlib.decompressobj(31), [], 0
+        unpacker, out, fed = zlib.decompressobj(31), [], at
         while not unpacker.eof:
-            if fed == len(data) and not more():
-                break
-            out.append(unpacker.decompress(data[fed:]))
-            fed = len(data)
-        if not unpacker.eof:
-            raise ValueError(f"the member at byte {at} is cut short")
+            piece = have(fed, PIECE)
+            if not len(piece):
+                raise ValueError(f"the member at byte {at} is cut short")
+            out.append(unpacker.decompress(piece))
+            fed += len(piece)
         yield at, b"".join(out)
-        at = base + fed - len(unpacker.unused_data)
+        at = fed - len(unpacker.unused_data)
 
 
 def parse(content: bytes) -> tuple[int | None, int, str, str, int | None, str | None]:
@@ -160,7 +162,11 @@ def parse(content: bytes) -> tuple[int | None, int, str, str, int | None, str |
 
 
 def read(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Records of the archives in a table (archive, size), read in splits of ``split_bytes``; columns as in ``SCHEMA``."""
+    """Records of the archives in a table (archive, size), read in splits of ``split_bytes``; columns as in ``SCHEMA``.
+
+    A record is read by the split it starts in, whole, however long it is. A member that is cut short or a
+    response whose payload is not that of its digest raises. No archives give an empty result.
+    """
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))).alias("start")
     splits = archives.where("size > 0").select("archive", "size", starts)
     splits = splits.select("archive", "size", "start", F.least(F.col("start") + split_bytes, F.col("size")).alias("end"))
