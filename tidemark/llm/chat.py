@@ -36,12 +36,13 @@ def paths(nodes: DataFrame, top_k: int | None = 1) -> DataFrame:
     """(tree, node, parent, score) to (tree, leaf, branch, score, depth, node, place): the chosen root-to-leaf paths.
 
     A node whose parent is null or not in its tree is a root. A branch's score is the mean of its nodes'
-    scores (null: 0); branches rank by score, then depth, both descending, then leaf id. ``top_k`` None
+    scores (null and NaN: 0); branches rank by score, then depth, both descending, then leaf id. ``top_k`` None
     keeps every branch. ``place`` counts from 1 at the root. tree may be null, a tree of its own; rows
     without a node id are in no path, nor are nodes on a cycle, which no root reaches. Node ids are
-    unique in a tree; of rows that repeat one, the smallest is kept.
+    unique in a tree; of rows that repeat one, the smallest is kept. The leaves of one tree are ranked in
+    one task. An empty table gives an empty result.
     """
-    own = nodes.where("node is not null").groupBy("tree", "node").agg(F.min(F.struct("parent", "score")).alias("p")).select("tree", "node", F.col("p.parent").alias("parent"), F.coalesce("p.score", F.lit(0.0)).alias("score"))
+    own = nodes.where("node is not null").groupBy("tree", "node").agg(F.min(F.struct("parent", "score")).alias("p")).select("tree", "node", F.col("p.parent").alias("parent"), F.coalesce(F.nanvl(F.col("p.score").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("score"))
     own = cut(own, "nodes")
     above = own.select(F.col("tree").alias("tree2"), F.col("node").alias("node2"))
     near = own.join(above, F.col("tree").eqNullSafe(F.col("tree2")) & (F.col("parent") == F.col("node2")), "left")

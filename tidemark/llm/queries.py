@@ -23,10 +23,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A conversation is a tree without branches: rows by turn (ties by role and text), each replying to the one before."""
+    """A conversation is a tree without branches: rows by turn (ties by role and text), each replying to the one before.
+
+    Rows of a conversation -1 that is there already and those planted are one conversation, as in the SQL.
+    """
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
-    rows = rows.union(spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema))
+    planted = spark.range(2).select(F.lit(-1).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(said))
+    rows = rows.union(planted.toDF(*rows.columns))
     node = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
     nodes = rows.select(F.col("conv_id").alias("tree"), node.alias("node"), "role", "text").withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1))
     formatted = chat.format_trees(nodes.withColumn("score", F.lit(0.0)), top_k=1)
