@@ -70,7 +70,8 @@ def test_estimates_are_unbiased_and_bounds_hold(d):
     assert (codes.upper(slice(None), codes, slice(None), embeddings.CONFIDENCE) >= true - 1e-9).all()
 
 
-def test_recall_of_the_lists_at_the_threshold(spark):
+@pytest.mark.parametrize("options", [{}, {"centroids": 32, "per_list": 20}, {"centroids": 8, "per_list": 20}])
+def test_recall_of_the_lists_at_the_threshold(spark, options):
     r = np.random.default_rng(9)
     u = r.standard_normal((3000, 64))
     u /= np.linalg.norm(u, axis=1)[:, None]
@@ -78,11 +79,23 @@ def test_recall_of_the_lists_at_the_threshold(spark):
     w -= (w * u).sum(axis=1)[:, None] * u
     w = 0.9801 * u + np.sqrt(1 - 0.9801**2) * w / np.linalg.norm(w, axis=1)[:, None]
     rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(np.concatenate([u, w]))]
-    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), **options)
     found = got.where("vec_id >= 3000 and component_id = vec_id - 3000").count()
     assert found >= 0.995 * 3000
 
 
+def test_lists_stay_short_as_levels_are_added():
+    r = np.random.default_rng(2)
+    u = r.standard_normal((8000, 64))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    longest = []
+    for levels in (1, 2):
+        found = embeddings.cells(u, embeddings.index(u[:1000], 32, levels), 5)
+        assert found.shape == (8000, 5 * embeddings.FINE ** (levels - 1)) and all(len(set(x)) == len(x) for x in found[:200].tolist())
+        longest.append(np.bincount(np.unique(found, return_inverse=True)[1].ravel()).max())
+    assert longest[1] < longest[0] / 4
+
+
 def test_empty(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 

@@ -7,9 +7,12 @@ with an error of at most ``confidence`` * sqrt((1 - f*f) / (f*f * (d - 1))) but
 pairs; q takes part rounded at random to ``QUERY_BITS`` bits, so <x, q> is a few bit counts. Pairs whose
 upper bound reaches the threshold are recomputed in double precision, the others are not.
 
-Equal vectors are one class. Classes of a label are listed under their ``PROBES`` nearest of a bounded
-sample of centroids; a pair is compared in the first list both are in. Long lists are cut into blocks
-that meet pairwise. A task returns link counts and a spanning forest, never the pairs themselves.
+Equal vectors are one class. Classes of a label are listed under their ``PROBES`` nearest of at most
+``CENTROIDS`` centroids from a bounded sample; a pair is compared in the first list both are in. The
+number of lists grows with the classes: where lists would hold more than ``PER_LIST`` on average, each is
+divided again by the ``FINE`` nearest of as many centroids of the sample's residuals, level by level. Long
+lists are cut into blocks that meet pairwise. A task returns link counts and a spanning forest, never the
+pairs themselves.
 """
 
 from __future__ import annotations
@@ -27,8 +30,10 @@ from tidemark.llm.components import components
 THRESHOLD, SEED, QUERY_BITS = 0.98, 5, 4
 #: In standard deviations of the estimate's error; at 6 about one pair in 10**9 would be missed.
 CONFIDENCE = 6.0
-#: Vectors sampled for the index, centroids taken of them at most, and lists that a vector is in.
-SAMPLE, CENTROIDS, PROBES = 4096, 256, 5
+#: Vectors sampled for the index, centroids taken of them at most at each level, and lists that a vector is in by the first level and by each further one.
+SAMPLE, CENTROIDS, PROBES, FINE = 4096, 256, 5, 3
+#: Classes to a list on average, above which a level is added.
+PER_LIST = 4096
 #: Cosine above which a sampled vector is too near a centroid to be one: a group of near copies gets one centroid.
 APART = 0.9
 #: Classes to a block of a list.
@@ -136,8 +141,8 @@ def _meet(key: tuple, rows: pd.DataFrame, threshold: float, confidence: float, s
 
 
 def spread(sample: np.ndarray, most: int) -> np.ndarray:
-    """Unit vectors of the sample, in turn, that are not too near one taken before."""
-    unit = sample / np.sqrt((sample * sample).sum(axis=1))[:, None]
+    """Vectors of a sample of unit vectors, in turn, that are not too near one taken before."""
+    unit = sample
     taken, near = [], np.zeros(len(unit), bool)
     for i in range(len(unit)):
         if not near[i] and len(taken) < most:
@@ -146,18 +151,52 @@ def spread(sample: np.ndarray, most: int) -> np.ndarray:
     return unit[taken]
 
 
-def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, confidence: float = CONFIDENCE, centroids: int = CENTROIDS, probes: int = PROBES, seed: int = SEED) -> DataFrame:
+def index(sample: np.ndarray, most: int, levels: int) -> list[np.ndarray]:
+    """Centroids of each level: of the sample's unit vectors, then of the directions that those before leave."""
+    out, left = [], sample / np.sqrt((sample * sample).sum(axis=1))[:, None]
+    for _ in range(levels):
+        out.append(spread(left, most))
+        nearest = out[-1][np.argmax(left @ out[-1].T, axis=1)]
+        left = left - (left * nearest).sum(axis=1, keepdims=True) * nearest
+        size = np.sqrt((left * left).sum(axis=1))
+        left = left[size > 1e-9] / size[size > 1e-9, None]
+        if not len(left):
+            break
+    return out
+
+
+def cells(unit: np.ndarray, centroids: list[np.ndarray], probes: int) -> np.ndarray:
+    """Numbers of the lists that each vector is in, one row a vector."""
+    found = np.argsort(-(unit @ centroids[0].T), axis=1, kind="stable")[:, :probes].astype(np.int64)
+
+    def beside(v: np.ndarray, centroid: np.ndarray) -> np.ndarray:
+        """Direction of what of ``v`` is at right angles to the centroid."""
+        v = v - (v * centroid).sum(axis=-1, keepdims=True) * centroid
+        return v / np.maximum(np.sqrt((v * v).sum(axis=-1, keepdims=True)), 1e-300)
+
+    left = beside(unit[:, None, :], centroids[0][found])
+    for level in centroids[1:]:
+        near = np.argsort(-(left @ level.T), axis=2, kind="stable")[:, :, :FINE]
+        left = beside(left[:, :, None, :], level[near]).reshape(len(unit), -1, unit.shape[1])
+        found = (found[:, :, None] * (len(level) + 1) + near).reshape(len(unit), -1)
+    return found
+
+
+def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, confidence: float = CONFIDENCE, centroids: int = CENTROIDS, probes: int = PROBES, per_list: int = PER_LIST, seed: int = SEED) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
     Rows of one label, not null, link if their cosine is at least ``threshold``. Vectors that are null,
     empty or zero, or hold null or non-finite components, link with nothing, nor do vectors of different
     length or rows without an id. A row counts its links to other rows, equal vectors included;
     component_id is the smallest id reachable. An empty table gives an empty result. Links are found
-    where two vectors share one of their ``probes`` nearest centroids: tested against brute force.
+    where two vectors share a list: tested against brute force. A length of vectors that the sample misses
+    is one list, cut into blocks like any other.
     """
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("v"), F.col(label).alias("label"))
     good = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = cut(rows.withColumn("v", F.when(good, F.transform("v", lambda x: x.cast("double") + 0.0))), "vectors")
+    # floats stay floats on the way: they take half the room, and tasks compute with them in double precision
+    kind = "float" if dict(rows.dtypes)["v"] == "array<float>" else "double"
+    rows = cut(rows.withColumn("v", F.when(good, F.transform("v", lambda x: x.cast(kind) + F.lit(0.0).cast(kind)))), "vectors")
     classes = rows.where("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
     classes = cut(classes.withColumn("d", F.size("v")), "classes")
 
@@ -165,22 +204,26 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
     sample: dict[int, list] = {}
     for r in classes.select("d", "v", F.xxhash64(F.lit(seed), "id").alias("h")).orderBy("h").limit(SAMPLE).collect():
         sample.setdefault(r.d, []).append(r.v)
-    held = {d: spread(np.array(v), centroids) for d, v in sample.items()}
+    lists = -(-classes.count() // max(1, per_list))
+    levels = 1
+    while centroids > 1 and centroids**levels < lists:
+        levels += 1
+    held = {d: index(np.array(v, np.float64), centroids, levels) for d, v in sample.items()}
     sent = rows.sparkSession.sparkContext.broadcast(held)
 
     @F.pandas_udf("array<long>")
     def nearest(vs: pd.Series) -> pd.Series:
         out = []
-        for i in range(0, len(vs), 4096):
-            part = vs.iloc[i : i + 4096]
+        for i in range(0, len(vs), 1024):
+            part = vs.iloc[i : i + 1024]
             lengths = part.map(len)
             found = pd.Series([None] * len(part), index=part.index, dtype=object)
             for d in lengths.unique():
                 own = part[lengths == d]
-                unit = np.stack(own.to_numpy())
+                unit = np.stack(own.to_numpy()).astype(np.float64)
                 unit = unit / np.maximum(np.sqrt((unit * unit).sum(axis=1)), 1e-300)[:, None]
-                cells = np.zeros((len(own), 1), np.int64) if d not in sent.value else np.argsort(-(unit @ sent.value[d].T), axis=1, kind="stable")[:, :probes]
-                found[lengths == d] = pd.Series(list(cells), index=own.index, dtype=object)
+                near = np.zeros((len(own), 1), np.int64) if d not in sent.value else cells(unit, sent.value[d], probes)
+                found[lengths == d] = pd.Series(list(near), index=own.index, dtype=object)
             out.append(found)
         return pd.concat(out) if out else pd.Series([], dtype=object)
 
