@@ -184,7 +184,8 @@ def draw(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
     owed = plan.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
     levels = max(0, (max(1, -(-owed // shard_blocks)) - 1).bit_length())
 
-    tree = splitting_tree(plan.select("sx", "quota"), levels, seed if tree_seed is None else tree_seed).where("quota > 0")
+    # a table of its own: the draws of all levels are large expressions to plan, and are planned once
+    tree = cut(splitting_tree(plan.select("sx", "quota"), levels, seed if tree_seed is None else tree_seed).where("quota > 0"), "tree")
     # merge joins: what is exploded from a few rows looks small to the optimizer, which would broadcast it
     owing = tree.join(plan.drop("quota").hint("merge"), "sx")
     drawn = owing.select("shard", F.explode(F.sequence(F.col("offset"), F.col("offset") + F.col("quota") - 1)).alias("seq"), *[c for c in plan.columns if c != "quota"])
