@@ -79,3 +79,21 @@ def test_query_against_sql(spark):
     got = op7_topk(spark, d)
     assert dict(got.dtypes) == {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "bigint"}
     assert sorted(map(tuple, got.collect())) == sorted(c.execute(ORACLE_SQL["op7_topk"]).fetchall())
+
+
+def test_blocks_meet_in_many_partitions(spark, monkeypatch):
+    """Without the merging of small partitions, which would hide keys that lie apart."""
+    monkeypatch.setattr(topk, "CANDIDATES", 100)
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        rows = [(i, [float((i * 7 + k * k) % 11 - 5) / 7 for k in range(6)]) for i in range(900)]
+        got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0, k=3).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    own = [(i, np.floor(1024 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows]
+    for q in range(0, 900, 100):
+        assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == slow([i for i, _ in own], [w for _, w in own], q, own[q][1], 3)

@@ -95,9 +95,11 @@ def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
     rows = cut(rows.where("v is not null and vec_id is not null").withColumn("d", F.size("v")), "vectors")
     counts = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
     c_blocks, q_blocks = max(1, -(-counts.n // CANDIDATES)), max(1, -(-counts.q // QUERIES))
-    mix = F.xxhash64("vec_id")
-    candidates = rows.select("d", F.pmod(mix, F.lit(c_blocks)).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q"), "vec_id", "v")
-    queries = rows.where("asks").select("d", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("c"), F.pmod(mix, F.lit(q_blocks)).cast("int").alias("q"), "vec_id", "v")
+    # cogrouped keys are not made of one type by Spark: a long and an int of one value lie in different partitions
+    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    candidates = rows.select("d", block(c_blocks).alias("c"), every(q_blocks).alias("q"), "vec_id", "v")
+    queries = rows.where("asks").select("d", every(c_blocks).alias("c"), block(q_blocks).alias("q"), "vec_id", "v")
 
     def meet(found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
