@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark import config as C
 from tidemark.functions import stats as S
 from tidemark.functions import text as X
-from tidemark.operators import composite, dedupe, events, features, lab, labels, metrics, resolve
+from tidemark.operators import classify, composite, dedupe, events, features, lab, labels, metrics, resolve
 from tidemark.plans import views
 from tidemark.sources import providers, sinks
 
@@ -149,6 +149,8 @@ def test_text_functions(spark):
     assert one(X.clean_text, "<script>a</script><b>x</b>&amp;lt;&nbsp;y​z\x07") == "x &lt; yz"
     assert one(X.canonical_url, "HTTPS://www.Ex.com/A/?utm_x=1&b=2&ref=3#f") == "https://ex.com/A?b=2" and one(X.canonical_url, "no url") is None
     assert one(X.language, "el perro de la casa y los gatos que viven en la calle").lang == "other"
+    assert one(X.language, "el perro de la casa y los gatos que viven en la calle").confidence == 0.95 and one(X.language, "the cats sat there sleeping").confidence == pytest.approx(0.8)
+    assert one(X.language, "\u0440\u0435\u043a\u0430 " * 9).confidence == 0.9 and one(X.language, "les th\u00e9s " * 8).lang == "other"
     assert one(X.language, "the cat of the house is in the street and it was there").lang == "en" and one(X.language, "hi").lang == "unknown"
     assert one(lambda c: X.preview(c, 3), "abcdef") == "ab…" and one(lambda c: X.preview(c, 3), "abc") == "abc"
     a, b = "the quick brown fox jumps over the lazy dog again and again near the old river bank today", "the quick brown fox jumps over the lazy dog again and again near the old river bank tonight"
@@ -159,6 +161,8 @@ def slow_statuses(items):
     urls, texts, kept, flagged, out = {}, set(), [], {}, {}
     for i, _, canon, norm, community, author, fp in items:
         status = "unique"
+        if canon is not None and "://reddit.com/r/" in canon:
+            canon = None
         if canon is not None and canon in urls:
             status = "duplicate_url" if urls[canon] == community else "crosspost"
         else:
@@ -189,7 +193,7 @@ def test_duplicates_against_a_sequential_model(spark, monkeypatch):
         t = r.choice(texts).split()
         for _ in range(r.choice([0, 0, 1, 1, 2])):
             t[r.randrange(len(t))] = r.choice(words)
-        rows.append((i, r.choice([None, None, None, f"http://x/{r.randrange(30)}"]), r.choice("ab"), r.choice(["u1", "u2", None]), " ".join(t) if i % 20 else "short", dt.datetime(2026, 1, 1) + dt.timedelta(minutes=i // 2)))
+        rows.append((i, r.choice([None, None, None, f"http://x/{r.randrange(30)}", f"https://www.reddit.com/r/a/{r.randrange(4)}"]), r.choice("ab"), r.choice(["u1", "u2", None]), " ".join(t) if i % 20 else "short", dt.datetime(2026, 1, 1) + dt.timedelta(minutes=i // 2)))
     df = spark.createDataFrame(rows, "doc_id long, url string, community string, author_hash string, text string, published_at timestamp")
     model = df.select("doc_id", "published_at", X.canonical_url(F.col("url")).alias("canon"), X.normalised(F.col("text")).alias("norm"), "community", "author_hash", X.simhash(F.col("text")).alias("fp")).orderBy("published_at", "doc_id").collect()
     expected = slow_statuses([(m.doc_id, m.published_at, m.canon, m.norm, m.community, m.author_hash, m.fp & (1 << 64) - 1) for m in model])
@@ -197,22 +201,81 @@ def test_duplicates_against_a_sequential_model(spark, monkeypatch):
     assert got == expected and len(set(expected.values())) >= 5
 
 
-def test_resolution_and_sentiment():
-    found = lambda t, b="": [(m[0], m[1]) for m in resolve.matches(t, b)]
-    assert found("", "I bought $QLO today") == [("QLO", "cashtag")]
-    assert found("Orrin Works grows") == [("ORR", "name")] and found("Orrin spoke") == [] and found("Orrin shares fall") == [("ORR", "name+context")]
-    assert found("Orrin Hatch and shares") == [] and found("aquality") == [] and found("MET us there") == [] and found("MET earnings beat") == [("MET", "ticker+context")]
-    assert found("THEY ALL SHOUT ABOUT MET EARNINGS AND MORE AND MORE") == []
-    s = resolve.sentiment
-    assert s("very good app")[2] == "product" and s("very good app")[4] is None and s("very good stock")[4] == "up"
-    assert s("not good")[0] < 0 < s("good")[0] and s("great /s")[1] == "sarcastic" and s("great /s")[3] < s("great")[3]
-    assert s("maybe weak")[1] in ("uncertain", "negative") and s(None) == (0.0, "neutral", "general", 0.5, None) and s("constructor")[3] == 0.5
+LISTS = resolve.ContextWords(strong=frozenset("stake calls".split()), finance=frozenset("profit".split()), ordinary_products=frozenset({"lamp"}), generic=frozenset({"works"}))
+NAMES = [
+    resolve.Entity("ORR", "Orrin Works", names=("Orrin",), products=("Lanterna", "Lamp"), vetoes=("orrin street",), ambiguous_names=("Orrin",), misspellings=("Orin Works",), previous_tickers=("OW",)),
+    resolve.Entity("MET", "Metrova", products=("Metrova Cloud",), subsidiaries=("Skydock",), ambiguous_ticker=True),
+    resolve.Entity("QLO", "Qualo"),
+    resolve.Entity("ZED", "Zedra Bank"),
+    resolve.Entity("YAK", "Yakima"),
+]
+
+
+def test_resolution_by_its_rules():
+    r = resolve.Resolver(NAMES, LISTS)
+    found = lambda t, b="": [(m.entity, m.reason) for m in r.matches(t, b)]
+    assert found("", "I bought $qlo and QLO today, not qlo") == [("QLO", "cashtag"), ("QLO", "ticker")]
+    assert found("orrin works grows") == [("ORR", "name")]
+    assert found("Orrin spoke") == [] and found("orrin profit") == [] and found("Orrin profit") == [("ORR", "name+context")]
+    assert found("Orrin spoke of the Lanterna") == [("ORR", "product"), ("ORR", "name+context")]  # own product elsewhere
+    assert found("lanterna") == [] and found("Lamp") == [] and found("Lamp profit") == [("ORR", "product+context")] and found("lamp profit") == []
+    assert found("Orrin Street profit and Orrin Works") == [] and found("aqualo Qualox") == []  # a veto reaches over what is near
+    assert found("Orrin Street " + "x " * 60 + "Orrin Works") == [("ORR", "name")]
+    assert found("MET us there") == [] and found("MET profit") == [] and found("MET stake") == [("MET", "ticker+context")] and found("MET and Metrova") == [("MET", "name"), ("MET", "ticker+context")]
+    assert found("THEY ALL SHOUT ABOUT MET STAKE AND MORE AND MORE") == [] and found("$MET THEY ALL SHOUT ABOUT AND MORE AND MORE") == [("MET", "cashtag")]
+    assert found("metrova cloud") == [("MET", "product")] and found("Skydock") == [("MET", "subsidiary")] and found("orin works") == [("ORR", "misspelling")]
+    assert found("OW holders") == [("ORR", "previous_ticker")] and found("ow") == [] and r.matches(None, None) == []
+    m = r.matches("Qualo", "and Metrova’s Skydock")
+    assert [(x.text, x.at, x.in_title) for x in m] == [("Qualo", 0, True), ("Skydock", 20, False)]
+
+
+WORDS = classify.Lexicon(
+    values={"good": 1.0, "grand": 2.0, "poor": -1.5, "sold": -1.0},
+    phrases={("to", "the", "top"): 2.5},
+    intensifiers={"very": 1.5},
+    negators=frozenset({"not"}),
+    hedges=frozenset({"maybe", "perhaps"}),
+    sarcasm=(("/s",), ("yeah", "right")),
+    cues={"investment": frozenset({"stake", "sold"}), "product": frozenset({"app"}), "reputation": frozenset({"court"})},
+)
+
+
+def test_classification_by_its_rules():
+    of = classify.LexiconClassifier(WORDS).classify
+    three = lambda x: math.floor(x * 1000 + 0.5) / 1000
+    assert of("very good app")[:3] == (three(math.tanh(0.5)), "positive", "product") and of("very good app").direction is None
+    assert of("very good stake").direction == "bullish" and of("sold").direction == "bearish" and of("stake").direction == "neutral"
+    assert of("not good").score == three(math.tanh(-0.8 / 3)) and of("not good").negated and of("isn\u2019t very good").score == three(math.tanh(-1.2 / 3))
+    assert of("not a b c good").score > 0  # beyond three tokens
+    assert of("to the top").terms == ["to the top"] and of("to the top").score == three(math.tanh(2.5 / 3))
+    assert of("grand /s").label == "sarcastic" and of("grand /s").score == three(-0.5 * math.tanh(2 / 3)) and of("yeah right").score == -0.1
+    assert of("maybe good").uncertain and of("maybe good").label == "positive" and of("maybe not good").label == "uncertain"
+    assert not of("maybe grand").uncertain and of("maybe perhaps grand").uncertain and of("grand? ?").uncertain is False
+    assert of("app stake").aspect == "investment" and of("court app").aspect == "product" and of("nothing").aspect == "general"
+    assert of(None)[:5] == (0.0, "neutral", "general", 0.5, None) and of("constructor").confidence == 0.5
+    assert of("good").confidence == three(0.35 + 0.45 * (1 - math.exp(-0.5)) + 0.2 * math.tanh(1 / 3))
+    long = "poor " * 40 + "x " * 60 + "Qualo is good"
+    assert of(long).score < 0 < of(long, [long.index("Qualo")]).score
 
 
 def test_mentions_are_diluted(spark):
-    rows = spark.createDataFrame([(1, "Orrin Works and Metrova and Qualo", ""), (2, "$QLO $QLO", "")], "doc_id long, title string, body string")
-    got = {(r.doc_id, r.entity): r.relevance for r in resolve.mentions(rows.select("doc_id", resolve.resolve(F.col("title"), F.col("body")).alias("matches"))).collect()}
-    assert got[1, "ORR"] == pytest.approx(round(0.9 * 0.85, 3)) and got[2, "QLO"] == 1.0
+    rows = spark.createDataFrame([(1, "Orrin Works and Metrova and Qualo", ""), (2, "$QLO $QLO", ""), (3, "", "Orrin Works Metrova Qualo Zedra Bank Yakima YAK"), (4, None, None)], "doc_id long, title string, body string")
+    found = resolve.mentions(rows.select("doc_id", resolve.resolve(F.col("title"), F.col("body"), NAMES, LISTS).alias("matches")))
+    got = {(r.doc_id, r.entity): r for r in found.collect()}
+    assert got[1, "ORR"].relevance == pytest.approx(0.765) and got[2, "QLO"].relevance == 1.0 and got[3, "ZED"].relevance == pytest.approx(0.51)
+    assert got[3, "YAK"].relevance == pytest.approx(round((0.9 + 0.03) * 0.6, 3)) and got[3, "YAK"].reasons == ["name", "ticker"] and not got[3, "YAK"].ambiguous and len(got) == 9
+    order = {r.doc_id: [m.entity for m in r.mentions] for r in resolve.by_relevance(found).collect()}
+    assert order[3][0] == "YAK" and order[1] == ["MET", "ORR", "QLO"]
+
+
+def test_recorded_mentions_of_the_query():
+    """Results for the query's entities, worked out by hand."""
+    from tidemark import queries as Q
+
+    r = resolve.Resolver(Q.ENTITIES, Q.CONTEXT)
+    assert [(m.entity, m.reason, m.text) for m in r.matches("", "It is In the house of the man. To be and To go.")] == [("THE", "name", "of the"), ("THE", "name+context", "In the"), ("THE", "product+context", "To"), ("THE", "product+context", "To")]
+    assert [(m.entity, m.reason) for m in r.matches("Der Tag und der Abend", "In DE la vie")] == [("UND", "name"), ("UND", "subsidiary"), ("UND", "previous_ticker"), ("DE", "name")]
+    assert r.matches("", "of the thing") == [] and [m.reason for m in r.matches("", "de est DE")] == ["ticker+context"]
 
 
 def test_sinks(spark, tmp_path):

@@ -7,24 +7,22 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import queries as Q
-from tidemark.operators import dedupe, resolve
-
-PLANTED = ("very good stock", "not good app", "maybe bad", "great /s")
+from tidemark.operators import classify, dedupe
 
 
 def test_sentiment_reads_whole_documents(spark, tmp_path):
-    pad = "plain words of a long report " * 20
-    ends = ["fraud fraud", "love love love", "perhaps an app with a feature update", "hate", "fraud never", "love /s", "good lawsuit ceo scandal", ""]
-    rows = [(i, pad + e) for i, e in enumerate(ends)] + [(100, "short"), (101, "")]
+    pad = "plain words without a value " * 20
+    ends = ["le le le", "on on on", "on des", "und on", "la la for", "on with that", "is on in las", ""]
+    rows = [(i, pad + e) for i, e in enumerate(ends)] + [(100, "on"), (101, ""), (102, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r for r in Q.QUERIES["lexicon_sentiment"](spark, str(tmp_path)).collect()}
     assert len(got) == len(rows)
+    own = classify.LexiconClassifier(Q.LEXICON)
     for i, text in rows:
-        score, label, aspect, confidence, _ = resolve.sentiment(f"{PLANTED[i % 4]} {text}")
-        assert (got[i].label, got[i].aspect) == (label, aspect)
-        assert got[i].score == pytest.approx(score, abs=1e-6) and got[i].confidence == pytest.approx(confidence, abs=1e-6)
+        v = own.classify(text)
+        assert tuple(got[i])[1:] == (v.score, v.label, v.aspect, v.confidence)
     # these labels and aspects are due to words after the first 200 characters
-    assert got[0].label == "negative" and got[1].label == "positive" and got[5].label == "sarcastic"
+    assert got[0].label == "negative" and got[1].label == "positive" and got[3].label == "negative" and got[5].label == "sarcastic"
     assert got[2].aspect == "product" and got[6].aspect == "reputation"
 
 

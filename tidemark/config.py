@@ -20,6 +20,7 @@ PENALTIES = {"tiny_sample": (15.0, 0.30), "duplicates": (0.30, 0.20), "single_so
 HYPE_OTHERS, PENALTY_CAP = 1.0, 0.80
 EVENT_Z, REFRACTORY_DAYS, DIVERGENCE_EVENT, PRODUCT_EVENT = 3.5, 7, 85, -0.6
 HISTORY_DAYS, LOOKBACK_DAYS, RETENTION_DAYS, MIN_RELEVANCE = 240, 60, 45, 0.5
+WARM_UP_DAYS, MIN_DATES, MIN_SCENARIO_DATES, CONFIDENCE_FLOORS = 37, 10, 5, (0, 25, 50, 70)
 MIN_CROSS_SECTION, HORIZONS, MIN_GROUP, SPLIT, FOLDS = 20, (1, 5, 10, 20), 6, (0.6, 0.2, 0.2), 4
 BOOTSTRAP_ROUNDS, BOOTSTRAP_BLOCK = 1000, 3
 WINDOWS = (7, 30, 90)

@@ -11,7 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Entities that are decoded, tracking parameters (matched as prefixes), host prefixes; our own stop words.
+# Entities that are decoded, tracking parameters (matched as prefixes), host prefixes. The stop words are
+# common function words of English and of German, French and Spanish, chosen here.
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "#39": "'", "apos": "'", "nbsp": " ", "#x27": "'"}
 TRACKING = ("utm_", "ref", "fbclid", "gclid", "share", "si=")
 HOSTS = ("www.", "m.", "old.", "amp.")
@@ -67,21 +68,27 @@ def preview(text: Column, most: int) -> Column:
 
 
 def language(text: Column) -> Column:
-    """Struct of language (en, other, unknown) and confidence from letters and stop words."""
-    letters, latin = F.regexp_count(text, F.lit(r"\p{L}")), F.regexp_count(text, F.lit(r"[A-Za-zÀ-ɏ]"))
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}']+)"), F.lit(1))
-    n = F.size(tokens)
-    in_ = lambda words: F.size(F.filter(tokens, lambda t: F.array_contains(F.array(*map(F.lit, words)), t)))
-    en, other = in_(ENGLISH), in_(OTHER)
-    share = lambda a: F.least(F.lit(1.0), F.lit(0.5) + a / F.greatest(F.lit(1), n))
+    """Struct of language (en, other, unknown) and confidence from scripts and stop words.
+
+    Each count is one pass over the text; a word is a longest run of a to z and apostrophes.
+    """
+    word = lambda words: F.lit("(?<![a-z'])(?:" + "|".join(words) + ")(?![a-z'])")
+    low = F.lower(text)
+    kept = lambda what: F.char_length(F.regexp_replace(text, f"[^{what}]+", ""))
+    counts = F.struct(kept(r"\p{L}").alias("letters"), kept("A-Za-z").alias("latin"), F.regexp_count(low, F.lit("[a-z']+")).alias("n"), F.regexp_count(low, word(ENGLISH)).alias("en"), F.regexp_count(low, word(OTHER)).alias("other"))
     answer = lambda lang, conf: F.struct(F.lit(lang).alias("lang"), conf.cast("double").alias("confidence"))
-    return (
-        F.when((letters > 20) & (latin < 0.6 * letters), answer("other", F.lit(0.95)))
-        .when(n < 4, answer("unknown", F.lit(0.3)))
-        .when((other > en) & (other >= 2), answer("other", share(other)))
-        .when((en == 0) & (n >= 8), answer("unknown", F.lit(0.4)))
-        .otherwise(answer("en", share(en)))
-    )
+
+    def decide(c: Column) -> Column:
+        return (
+            F.when((c.letters > 20) & (c.latin / c.letters < 0.6), answer("other", F.lit(0.9)))
+            .when(c.n < 4, answer("unknown", F.lit(0.3)))
+            .when((c.other > c.en) & (c.other >= 2), answer("other", F.least(F.lit(0.95), 0.5 + c.other / c.n)))
+            .when((c.en == 0) & (c.n >= 8), answer("unknown", F.lit(0.4)))
+            .otherwise(answer("en", F.least(F.lit(0.99), 0.6 + c.en / c.n)))
+        )
+
+    # bound to a name, so that the counts are made once
+    return F.transform(F.array(counts), decide)[0]
 
 
 def normalised(text: Column) -> Column:
@@ -117,8 +124,8 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Words with inner & ' + . - and an optional leading $."""
-    return F.regexp_extract_all(text, F.lit(r"(\$?[A-Za-z0-9]+(?:[&'’+.\-][A-Za-z0-9]+)*)"), F.lit(1))
+    """Words with inner & ' + . -, an optional leading $, and + at the end."""
+    return F.regexp_extract_all(text, F.lit(r"\$?[A-Za-z0-9](?:[A-Za-z0-9&'’+.\-]*[A-Za-z0-9+])?"), F.lit(0))
 
 
 def author_hash(salt: Column, source: Column, handle: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ from tidemark.sources.shared import shared_dir
 
 #: SimHash bits that may differ, and characters of normalised text below which nothing is compared.
 MAX_BITS, MIN_CHARS = 3, 12
+#: Fixed value: canonical URLs of a community's own discussion pages, which are no shared links.
+OWN_PAGES = r"^[a-z][a-z0-9+.-]*://(reddit\.com/r/|news\.ycombinator\.com/item)"
 
 
 def _first(rows: DataFrame, key: str, *more: str) -> DataFrame:
@@ -25,7 +30,8 @@ def _later(rows: DataFrame, key: str) -> DataFrame:
 def _narrow(items: DataFrame) -> DataFrame:
     """(doc_id, published_at, community, canon, text_key) of the items; text_key is null for texts that aren't compared."""
     norm = X.normalised(F.col("text"))
-    return items.select("doc_id", "published_at", "community", X.canonical_url(F.col("url")).alias("canon"), F.when(F.char_length(norm) >= MIN_CHARS, F.sha2(norm.cast("binary"), 256)).alias("text_key"))
+    canon = X.canonical_url(F.col("url"))
+    return items.select("doc_id", "published_at", "community", F.when(~canon.rlike(OWN_PAGES), canon).alias("canon"), F.when(F.char_length(norm) >= MIN_CHARS, F.sha2(norm.cast("binary"), 256)).alias("text_key"))
 
 
 def _exact(rows: DataFrame) -> DataFrame:
@@ -41,7 +47,7 @@ def exact_statuses(items: DataFrame) -> DataFrame:
     """Stages one and two: (doc_id, published_at, url, community, text, ...) with ``status``; doc_id is unique.
 
     An external canonical URL seen before makes a duplicate_url in the community it was first seen in, a
-    crosspost elsewhere. Of the others, normalised texts of at least 12 characters seen before are
+    crosspost elsewhere; links to a community's own discussion pages don't count. Of the others, normalised texts of at least 12 characters seen before are
     duplicate_exact. Items without a URL or with a short text pass the stage.
     """
     return items.join(_exact(_narrow(items)), "doc_id", "left")
@@ -50,17 +56,19 @@ def exact_statuses(items: DataFrame) -> DataFrame:
 def candidate_pairs(items: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(a, b): b came after a and their SimHashes differ in at most ``max_bits`` bits.
 
-    Equal in one of four 16-bit bands, by the pigeonhole principle; a pair is met in the first band it
-    shares. Equal fingerprints are one node, so hot texts make no quadratic output.
+    Of ``2 * max_bits`` parts of a fingerprint such a pair has ``max_bits`` equal at least, by the pigeonhole
+    principle: 20 keys of about 32 bits for 3 bits, so that hardly any others meet. Equal fingerprints are
+    one node, so hot texts make no quadratic output.
     """
-    bands = F.posexplode(F.array(*[F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)])).alias("band", "key")
-    left = items.select("fp", bands)
-    right = left.toDF("fp2", "band2", "key2")
-    shared = lambda a, b, i: F.shiftrightunsigned(a, 16 * i).bitwiseAND(F.lit(0xFFFF)) == F.shiftrightunsigned(b, 16 * i).bitwiseAND(F.lit(0xFFFF))
-    first = F.when(shared("fp", "fp2", 0), 0).when(shared("fp", "fp2", 1), 1).when(shared("fp", "fp2", 2), 2).otherwise(3)
-    on = (F.col("band") == F.col("band2")) & (F.col("key") == F.col("key2")) & (F.col("fp") != F.col("fp2"))
-    met = left.join(right, on).where((first == F.col("band")) & (X.hamming(F.col("fp"), F.col("fp2")) <= max_bits))
-    return met.select("fp", "fp2")
+    parts = 2 * max_bits
+    edge = [64 * i // parts for i in range(parts + 1)]
+    masks = [reduce(lambda m, p: m | (1 << edge[p + 1]) - (1 << edge[p]), chosen, 0) for chosen in combinations(range(parts), max_bits)]
+    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
+    keys = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "key")
+    left = items.select("fp", keys)
+    right = left.toDF("fp2", "choice2", "key2")
+    on = (F.col("choice") == F.col("choice2")) & (F.col("key") == F.col("key2")) & (F.col("fp") != F.col("fp2"))
+    return left.join(right, on).where(X.hamming(F.col("fp"), F.col("fp2")) <= max_bits).select("fp", "fp2").distinct()
 
 
 def dropped(edges: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -45,19 +47,19 @@ def ranked(rows: DataFrame, group: list[str]) -> DataFrame:
     return rows.withColumn("signal_rank", average_rank(w.orderBy("signal"), Window.partitionBy(*group, "signal"))).withColumn("ret_rank", average_rank(w.orderBy("ret"), Window.partitionBy(*group, "ret")))
 
 
-def date_stats(rows: DataFrame, min_names: int = C.MIN_CROSS_SECTION) -> DataFrame:
-    """Per date with at least ``min_names`` names: IC, rank IC, quintile means, spread, hit rate, top and bottom names.
+def date_stats(rows: DataFrame, min_names: int = C.MIN_CROSS_SECTION, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per date (and ``by``, as the name of a scenario) with at least ``min_names`` names: IC, rank IC, quintile means, spread, hit rate, top and bottom names.
 
     Quintiles are by position in the order of (signal, entity): floor(5 i / n).
     """
-    day = Window.partitionBy("date")
-    x = ranked(rows, ["date"]).withColumn("n", F.count("*").over(day)).where(F.col("n") >= min_names)
+    day = Window.partitionBy(*by, "date")
+    x = ranked(rows, [*by, "date"]).withColumn("n", F.count("*").over(day)).where(F.col("n") >= min_names)
     x = x.withColumn("quintile", F.floor((F.row_number().over(day.orderBy("signal", "entity")) - 1) * 5 / F.col("n")).cast("int"))
     x = x.withColumn("mid_signal", F.percentile("signal", F.lit(0.5)).over(day)).withColumn("mid_ret", F.percentile("ret", F.lit(0.5)).over(day))
     counted = (F.col("signal") != F.col("mid_signal")) & (F.col("ret") != F.col("mid_ret"))
     hit = (F.col("signal") > F.col("mid_signal")) == (F.col("ret") > F.col("mid_ret"))
     of = lambda q, c: F.when(F.col("quintile") == q, F.col(c))
-    out = x.groupBy("date").agg(
+    out = x.groupBy(*by, "date").agg(
         F.count("*").alias("n"),
         F.max("eligible").alias("eligible"),
         pearson(F.col("signal"), F.col("ret")).alias("ic"),
@@ -70,6 +72,39 @@ def date_stats(rows: DataFrame, min_names: int = C.MIN_CROSS_SECTION) -> DataFra
     return out.withColumn("spread", F.col("q5") - F.col("q1"))
 
 
+def quintiles(rows: DataFrame, min_names: int = C.MIN_CROSS_SECTION) -> DataFrame:
+    """``rows`` of dates with at least ``min_names`` names, with ``quintile`` (0 to 4) by position in the order of (signal, entity)."""
+    day = Window.partitionBy("date")
+    x = rows.withColumn("n", F.count("*").over(day)).where(F.col("n") >= min_names)
+    return x.withColumn("quintile", F.floor((F.row_number().over(day.orderBy("signal", "entity")) - 1) * 5 / F.col("n")).cast("int"))
+
+
+def pooled_quintiles(rows: DataFrame) -> DataFrame:
+    """(quintile from 1, mean, median, n) of the returns of all dates together."""
+    return quintiles(rows).groupBy((F.col("quintile") + 1).alias("quintile")).agg(F.avg("ret").alias("mean"), F.percentile("ret", F.lit(0.5)).alias("median"), F.count("*").alias("n"))
+
+
+def coverage(rows: DataFrame, dates: DataFrame, eligible: int, ends: int = 10) -> DataFrame:
+    """One row: the mean share of eligible names with a signal and a label over all ``dates``, the first and the last ``ends``."""
+    counts = dates.select("date").join(rows.groupBy("date").agg(F.count("*").alias("n")), "date", "left")
+    share = counts.select("date", (F.coalesce("n", F.lit(0)) / F.nullif(F.lit(float(eligible)), F.lit(0.0))).alias("share"))
+    at, total = F.row_number().over(Window.orderBy("date")), F.count("*").over(Window.partitionBy())
+    share = share.withColumns({"at": at, "total": total})
+    return share.agg(F.avg("share").alias("coverage"), F.avg(F.when(F.col("at") <= ends, F.col("share"))).alias("first"), F.avg(F.when(F.col("at") > F.col("total") - ends, F.col("share"))).alias("last"))
+
+
+def scenarios(named: dict[str, DataFrame], horizon: int, min_dates: int = C.MIN_SCENARIO_DATES) -> DataFrame:
+    """(name, dates, mean_rank_ic, t_stat) of the sections of each scenario, in one pass with the name as a column.
+
+    A scenario of fewer than ``min_dates`` usable dates has neither mean nor t; one of none has a row with 0.
+    """
+    rows = reduce(DataFrame.unionByName, [r.withColumn("name", F.lit(k)) for k, r in named.items()])
+    found = summary(date_stats(rows, by=("name",)), horizon, ["name"], bootstrap=False)
+    enough = lambda c: F.when(F.col("dates") >= min_dates, F.col(c)).alias(c)
+    names = rows.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, named))).alias("name"))
+    return names.join(found.select("name", "dates", enough("mean_rank_ic"), enough("t_stat")), "name", "left").withColumn("dates", F.coalesce("dates", F.lit(0)))
+
+
 def with_steps(stats: DataFrame, horizon: int, group: list[str] | None = None) -> DataFrame:
     """Adds ``step`` (position by date) and ``apart``: every horizon-th date, whose returns don't overlap."""
     order = Window.partitionBy(*(group or [])).orderBy("date")
@@ -142,6 +177,12 @@ def group_ic(rows: DataFrame, horizon: int, group: str = "sector", min_names: in
     return x.groupBy(group).agg(F.count("*").alias("dates"), F.avg("ic").alias("mean_rank_ic"), t_stat(F.when(F.col("apart"), F.col("ic"))).alias("t_stat"))
 
 
+def by_month(stats: DataFrame, horizon: int) -> DataFrame:
+    """(month, dates, mean_rank_ic, t_stat, mean_spread)."""
+    rows = stats.withColumn("month", F.date_format("date", "yyyy-MM"))
+    return summary(rows, horizon, ["month"], bootstrap=False).select("month", "dates", "mean_rank_ic", "t_stat", "mean_spread")
+
+
 def splits(stats: DataFrame, fractions: tuple[float, float, float] = C.SPLIT) -> DataFrame:
     """Adds ``split``: calibration, validation or test, in order of date."""
     n = F.count("*").over(Window.partitionBy())

@@ -39,7 +39,7 @@ CTE: dict[str, str] = {
     "last_day": "select max(o_orderdate)::date as as_of from orders",
     "universe": """select n_name as entity, r_name as sector, coalesce(cap, 0.0) as cap, row_number() over (order by round(coalesce(cap, 0.0), 2) desc, n_name)::int as rank
       from nation join region on n_regionkey = r_regionkey left join (select c_nationkey, sum(c_acctbal) as cap from customer group by 1) on c_nationkey = n_nationkey""",
-    "items": f"""select n_name as entity, r_name as sector,
+    "items": f"""select l_orderkey * 10 + l_linenumber as doc_id, n_name as entity, r_name as sector,
         case o_orderpriority when '1-URGENT' then 'reddit' when '2-HIGH' then 'hackernews' when '3-MEDIUM' then 'wikipedia' when '4-NOT SPECIFIED' then 'search' when '5-LOW' then 'github' end as source,
         l_shipdate::date as date, o_custkey as author, p_brand as community,
         case when l_tax > 0.065 then 'near_duplicate' when l_tax < 0.005 then 'bot_repeat' else 'unique' end as status,

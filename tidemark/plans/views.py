@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,3 +113,115 @@ def overall_state(states: DataFrame) -> DataFrame:
 def source_status(covered: DataFrame, end: Column, lag: int = 2) -> DataFrame:
     """Latest covered day by source; stale if it is more than ``lag`` days before the end."""
     return covered.groupBy("source").agg(F.max("date").alias("latest"), F.count("*").alias("days")).withColumn("state", F.when(F.col("latest") < F.date_sub(end, lag), "stale").otherwise("live"))
+
+
+TICKER = r"^[A-Za-z.\-]{1,10}$"
+
+
+def find_entity(universe: DataFrame, asked: str) -> DataFrame:
+    """The row of a ticker in any case, or of the name that had it before (J16, F18); none for what is no ticker.
+
+    ``universe`` may have an array column ``previous``.
+    """
+    own = F.upper("entity") == asked.upper()
+    before = F.array_contains("previous", asked.upper()) if "previous" in universe.columns else F.lit(False)
+    named = universe.where(own | before) if re.match(TICKER, asked) else universe.limit(0)
+    return named.orderBy(own.desc(), "entity").limit(1)
+
+
+def items_of(mentions: DataFrame, documents: DataFrame, sentiments: DataFrame, entity: str, first: Column, last: Column, n: int = 60) -> DataFrame:
+    """An entity's most engaged unique documents of some days, with what was said of it.
+
+    mentions (doc_id, entity, date, relevance), documents (doc_id, status, score, ...), sentiments (doc_id,
+    entity, label, aspect, ...). Only sentiments of the documents chosen are joined.
+    """
+    own = mentions.where((F.col("entity") == entity) & F.col("date").between(first, last))
+    chosen = own.join(documents.where("status = 'unique'"), "doc_id").orderBy(F.desc("score"), "doc_id").limit(n)
+    said = sentiments.where(F.col("entity") == entity).drop("entity").join(chosen.select("doc_id"), "doc_id", "left_semi")
+    return chosen.join(said, "doc_id", "left")
+
+
+def narratives_of(sentiments: DataFrame, mentions: DataFrame, entity: str, first: Column) -> DataFrame:
+    """(aspect, items, positive, negative, neutral, sarcastic) of an entity's mentions since a day (J3, A13); uncertain is neutral."""
+    rows = sentiments.where(F.col("entity") == entity).join(mentions.where(F.col("date") >= first).select("doc_id", "entity"), ["doc_id", "entity"])
+    of = lambda *labels: F.count_if(F.col("label").isin(*labels))
+    return rows.groupBy("aspect").agg(F.count("*").alias("items"), of("positive").alias("positive"), of("negative").alias("negative"), of("neutral", "uncertain").alias("neutral"), of("sarcastic").alias("sarcastic"))
+
+
+def score_and_return(signals: DataFrame, labels: DataFrame, entity: str, horizon: int = 5) -> DataFrame:
+    """(date, score, ret in percent) of an entity where both are known."""
+    later = labels.where((F.col("entity") == entity) & (F.col("horizon") == horizon)).select("date", rounded(F.col("ret") * 100, 2).alias("ret"))
+    return signals.where((F.col("entity") == entity) & F.col("alt_signal_score").isNotNull()).select("date", F.col("alt_signal_score").alias("score")).join(later, "date")
+
+
+def latest_events(events: DataFrame, universe: DataFrame, since: Column | None = None, entity: str | None = None, sector: str = "all", source: str = "all", n: int = 14) -> DataFrame:
+    """The last events (F14, T3), by date descending, then entity, source and kind; a source's own and those across sources."""
+    x = events if since is None else events.where(F.col("date") >= since)
+    x = x if entity is None else x.where(F.col("entity") == entity)
+    x = x if source == "all" else x.where(F.col("source").isin(source, "cross"))
+    x = x if sector == "all" else x.join(universe.where(F.col("sector") == sector).select("entity"), "entity", "left_semi")
+    return x.orderBy(F.desc("date"), "entity", "source", "kind").limit(n)
+
+
+#: Ranges of the explorer: column and lower or upper bound. Sort orders of presets: column, ascending.
+RANGES = {"score_min": "alt_signal_score >= {}", "score_max": "alt_signal_score <= {}", "attention_min": "attention_score >= {}", "sentiment_min": "sentiment_score >= {}", "sentiment_max": "sentiment_score <= {}"}
+ORDERS = {"bearish": ("alt_signal_score", True), "unusual": ("attention_score", False), "divergent": ("divergence", False), "bullish": ("alt_signal_score", False)}
+HYPE_ORDER = ("low", "elevated", "high")
+
+
+def explorer(rows_: DataFrame, text: str = "", ranges: dict[str, float] | None = None, preset: str | None = None, hype: bool = False, sort: tuple[str, bool] | None = None, number: int = 0, size: int = 25) -> DataFrame:
+    """A page of the table of names (V12): a missing value fails a range (F10); the preset's order by default.
+
+    Missing values come last in either order; texts are compared regardless of case and accents, hype by
+    its degree, lists by their length (T5).
+    """
+    x = rows_
+    if text.strip():
+        t = text.strip().lower()
+        x = x.where(F.lower("entity").contains(t) | F.lower("sector").contains(t))
+    for key, value in (ranges or {}).items():
+        x = x.where(F.expr(RANGES[key].format(float(value))))
+    if preset is not None:
+        x = x.where(F.expr(PRESETS[preset]))
+    if hype:
+        x = x.where("hype_risk <> 'low'")
+    by, ascending = sort or ORDERS.get(preset, ("rank", True))
+    kind = dict(x.dtypes)[by]
+    key = F.col(by)
+    if by == "hype_risk":
+        key = F.array_position(F.array(*map(F.lit, HYPE_ORDER)), F.col(by))
+    elif kind == "string":
+        key = F.collate(F.col(by), "UNICODE_CI_AI")
+    elif kind.startswith("array"):
+        key = F.size(by)
+    return x.orderBy(key.asc_nulls_last() if ascending else key.desc_nulls_last(), "entity").offset(number * size).limit(size)
+
+
+def source_coverage(signals: DataFrame, sources: tuple[str, ...]) -> DataFrame:
+    """(source, names): names with the source available on the last day."""
+    last = signals.join(signals.agg(F.max("date").alias("date")), "date", "left_semi")
+    counted = last.agg(*[F.count_if(F.array_contains("sources_available", s)).alias(s) for s in sources])
+    return counted.unpivot([], list(sources), "source", "names")
+
+
+def overview(signals: DataFrame, universe: DataFrame, events: DataFrame, q: ViewQuery) -> dict[str, DataFrame]:
+    """The parts of the overview (V1): kpis, mood, sectors, histogram, lists of names, events and the ranked table."""
+    x = rows(signals, universe, q)
+    start = F.date_sub(F.lit(signals.agg(F.max("date").alias("d")).first().d), q.window - 1)
+    chosen = signals.where(F.col("date") >= start)
+    if q.sector != "all":
+        chosen = chosen.join(universe.where(F.col("sector") == q.sector).select("entity"), "entity", "left_semi")
+    best = "alt_signal_score" if q.source == "all" else "sentiment_score"
+    return {
+        "kpis": kpis(x),
+        "mood": mood_series(chosen),
+        "sectors": sector_summary(x),
+        "histogram": histogram(x),
+        "bullish": top(x, best),
+        "bearish": top(x, best, ascending=True),
+        "rising": top(x, "attention_acceleration"),
+        "unusual": top(x, "attention_score"),
+        "disagreements": top(x, "divergence"),
+        "events": latest_events(events, universe, start, None, q.sector, q.source),
+        "ranked": ranked_table(x),
+    }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -344,9 +344,7 @@ def forward_returns(spark, d):
 
 @query(O.sql("select date, entity, q as quintile from ranked where n >= 20", "ranked"))
 def quintiles(spark, d):
-    day = Window.partitionBy("date")
-    x = sections(spark, d).withColumn("n", F.count("*").over(day)).where(F.col("n") >= C.MIN_CROSS_SECTION)
-    return x.select("date", "entity", F.floor((F.row_number().over(day.orderBy("signal", "entity")) - 1) * 5 / F.col("n")).cast("int").alias("quintile"))
+    return lab.quintiles(sections(spark, d)).select("date", "entity", "quintile")
 
 
 @query(O.sql(shown_sql("date n", "stats", "ic rank_ic"), "stats"))
@@ -408,7 +406,7 @@ def sector_ic(spark, d):
 
 @query(O.sql(f"select strftime(date, '%Y-%m') as month, count(*) as dates, {O.r6('avg(rank_ic)')} as mean_rank_ic from stats group by 1", "stats"))
 def month_ic(spark, d):
-    return shown(stats(spark, d).groupBy(F.date_format("date", "yyyy-MM").alias("month")).agg(F.count("*").alias("dates"), F.avg("rank_ic").alias("mean_rank_ic")))
+    return shown(lab.by_month(stats(spark, d), 5), "month", "dates", "mean_rank_ic")
 
 
 _MOOD = "select date, floor(sum(sentiment_score * greatest(1, confidence)) / sum(case when sentiment_score is not null then greatest(1, confidence) end) * 1e6 + 0.5) / 1e6 as mood from signals group by 1"
@@ -468,7 +466,7 @@ def source_exclusion(spark, d):
 
 from tidemark.config import ViewQuery  # noqa: E402
 from tidemark.functions import text as X  # noqa: E402
-from tidemark.operators import dedupe, resolve  # noqa: E402
+from tidemark.operators import classify, dedupe, resolve  # noqa: E402
 from tidemark.plans import views  # noqa: E402
 from tidemark.sources import sinks  # noqa: E402
 from tidemark.streaming import streams  # noqa: E402
@@ -505,23 +503,34 @@ def _words_sql(words: list[str]) -> str:
 
 
 @query(
-    rf"""select doc_id, case when letters > 20 and latin < 0.6 * letters then 'other' when n < 4 then 'unknown' when other > en and other >= 2 then 'other' when en = 0 and n >= 8 then 'unknown' else 'en' end as lang from (
+    rf"""select doc_id, case when letters > 20 and latin / letters < 0.6 then 'other' when n < 4 then 'unknown' when other > en and other >= 2 then 'other' when en = 0 and n >= 8 then 'unknown' else 'en' end as lang,
+    {O.r6("case when letters > 20 and latin / letters < 0.6 then 0.9 when n < 4 then 0.3 when other > en and other >= 2 then least(0.95, 0.5 + other / n) when en = 0 and n >= 8 then 0.4 else least(0.99, 0.6 + en / n) end::double")} as confidence from (
     select doc_id, letters, latin, len(tok) as n, len(list_filter(tok, lambda t: t in {_words_sql(X.ENGLISH)})) as en, len(list_filter(tok, lambda t: t in {_words_sql(X.OTHER)})) as other from (
-    select doc_id, len(regexp_extract_all(text, '\p{{L}}')) as letters, len(regexp_extract_all(text, '[A-Za-zÀ-ɏ]')) as latin, regexp_extract_all(lower(text), '[\p{{L}}'']+') as tok from documents))"""
+    select doc_id, len(regexp_extract_all(text, '\p{{L}}')) as letters, len(regexp_extract_all(text, '[A-Za-z]')) as latin, regexp_extract_all(lower(text), '[a-z'']+') as tok from documents))"""
 )
 def lang_detect(spark, d):
-    return panel.table(spark, d, "documents").select("doc_id", X.language(F.col("text"))["lang"].alias("lang"))
+    return shown(panel.table(spark, d, "documents").select("doc_id", X.language(F.col("text")).alias("x")).select("doc_id", "x.lang", "x.confidence"))
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as text items in order of id; source as author and language as community."""
-    x = panel.table(spark, d, "documents")
-    return x.select("doc_id", F.lit(None).cast("string").alias("url"), F.col("lang").alias("community"), F.col("source").alias("author_hash"), "text", F.timestamp_seconds("doc_id").alias("published_at"))
+    """Documents as text items in order of id; source as author and language as community.
+
+    A fifth has no URL, a fifth one of 97 with tracking parameters, a fifth a discussion page of their own.
+    """
+    x, i = panel.table(spark, d, "documents"), F.col("doc_id")
+    url = F.when(i % 5 == 1, F.concat(F.lit("https://www.example.org/a/"), i % 97, F.lit("/?utm_source=x"))).when(i % 5 == 2, F.concat(F.lit("https://old.reddit.com/r/x/"), i % 7)).when(i % 5 > 2, F.concat(F.lit("http://m.example.com/item?b="), i))
+    return x.select("doc_id", url.alias("url"), F.col("lang").alias("community"), F.col("source").alias("author_hash"), "text", F.timestamp_seconds("doc_id").alias("published_at"))
+
 
+_STAGES = f"""with n as (select doc_id, lang, {_NORM} as norm, case when doc_id % 5 = 1 then doc_id % 97 when doc_id % 5 > 2 then doc_id + 1000 end as link from documents),
+    u as (select *, link is not null and row_number() over (partition by link order by doc_id) > 1 as later, first_value(lang) over (partition by link order by doc_id) as first_lang from n),
+    e as (select doc_id, row_number() over (partition by norm order by doc_id) > 1 as again from u where not later and length(norm) >= 12)
+    select doc_id, case when later and lang is not distinct from first_lang then 'duplicate_url' when later then 'crosspost' when again then 'duplicate_exact' else 'unique' end as status from u left join e using (doc_id)"""
 
-@query(f"select doc_id, row_number() over (partition by norm order by doc_id) > 1 and length(norm) >= 12 as duplicate from (select doc_id, {_NORM} as norm from documents)")
+
+@query(_STAGES)
 def exact_dedupe(spark, d):
-    return dedupe.exact_statuses(_items(spark, d)).select("doc_id", (F.coalesce("status", F.lit("")) == "duplicate_exact").alias("duplicate"))
+    return dedupe.exact_statuses(_items(spark, d)).select("doc_id", F.coalesce("status", F.lit("unique")).alias("status"))
 
 
 @query()
@@ -541,26 +550,70 @@ def engagement(spark, d):
     return shown(x.select("l_orderkey", "l_linenumber", metrics.engagement_weight(F.lit(0.8), F.col("l_quantity"), F.col("l_linenumber").cast("double")).alias("w")))
 
 
-@query(r"select doc_id, len(t)::int as n, md5(array_to_string(t, ' ')) as digest from (select doc_id, regexp_extract_all(text, '\$?[A-Za-z0-9]+(?:[&''’+.\-][A-Za-z0-9]+)*') as t from documents)")
+@query(r"select doc_id, len(t)::int as n, md5(array_to_string(t, ' ')) as digest from (select doc_id, regexp_extract_all(text, '\$?[A-Za-z0-9](?:[A-Za-z0-9&''’+.\-]*[A-Za-z0-9+])?') as t from documents)")
 def tokenize(spark, d):
     x = panel.table(spark, d, "documents").select("doc_id", X.tokens(F.col("text")).alias("t"))
     return x.select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", " ").cast("binary")).alias("digest"))
 
 
-@query()
-def entity_mentions(spark, d):
-    """Resolution of three demonstration entities in the documents, each text led by a planted phrase."""
-    planted = F.element_at(F.array(*map(F.lit, ("Orrin Works shares rise", "$QLO is up", "MET office", "MET earnings beat", "Orrin Hatch spoke"))), (F.col("doc_id") % 5 + 1).cast("int"))
-    x = panel.table(spark, d, "documents").select("doc_id", resolve.resolve(planted, F.col("text")).alias("matches"))
-    return resolve.mentions(x).select("doc_id", "entity", "relevance", "ambiguous")
+# The tables' prose is invented, so the two queries below give meaning to its function words. The values are binary
+# fractions, so that sums don't depend on their order.
+ENTITIES = [
+    resolve.Entity("THE", "Of The", names=("In the",), products=("To",), vetoes=("of the th",), ambiguous_names=("In the",)),
+    resolve.Entity("UND", "Der", misspellings=("die und",), subsidiaries=("und der",), previous_tickers=("In",)),
+    resolve.Entity("DE", "De La", names=("des", "en el"), ambiguous_ticker=True),
+]
+CONTEXT = resolve.ContextWords(strong=frozenset({"is", "est"}), finance=frozenset({"and", "et"}), ordinary_products=frozenset({"to"}))
+LEXICON = classify.Lexicon(
+    values={"the": 0.25, "der": 0.375, "el": 0.5, "le": -0.375, "la": -0.25, "it": -0.625, "on": 1.125, "und": 0.125},
+    phrases={("of", "the"): 0.75, ("de", "la"): -0.75},
+    intensifiers={"is": 1.5, "die": 0.5},
+    negators=frozenset({"or", "und", "et"}),
+    hedges=frozenset({"for", "für", "por", "pour"}),
+    sarcasm=(("with", "that"),),
+    cues={"investment": frozenset({"to"}), "product": frozenset({"and", "des"}), "reputation": frozenset({"was", "las", "in"})},
+)
 
 
 @query()
+def entity_mentions(spark, d):
+    """Resolution of whole documents, their first line as title; held against recorded results in the tests."""
+    x = panel.table(spark, d, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"), F.regexp_replace("text", r"(?s)\A[^\n]*\n?", "").alias("body"))
+    x = x.select("doc_id", resolve.resolve(F.col("title"), F.col("body"), ENTITIES, CONTEXT).alias("matches"))
+    return resolve.mentions(x).select("doc_id", "entity", "relevance", "ambiguous", F.array_join("reasons", ",").alias("reasons"))
+
+
+def _lexicon_sql(x: classify.Lexicon) -> str:
+    """The classification as list expressions, position by position; phrases are of two tokens and marks of sarcasm alike."""
+    of = lambda table: "(case t[i] " + " ".join(f"when '{w}' then {v}" for w, v in table.items()) + " end)"
+    at = lambda p, i="i": f"coalesce(t[{i}] = '{p[0]}' and t[{i} + 1] = '{p[1]}', false)"
+    some = lambda words: _words_sql(sorted(words))
+    phrase = " + ".join(f"(case when {at(p)} then {v} else 0 end)" for p, v in x.phrases.items())
+    here = "(" + " or ".join(at(p) for p in x.phrases) + ")"
+    taken = f"({here} or (i > 1 and ({' or '.join(at(p, '(i - 1)') for p in x.phrases)})))"
+    strong = "(case when i > 1 then coalesce(" + of(x.intensifiers).replace("t[i]", "t[i - 1]") + ", 1.0) else 1.0 end)"
+    negated = f"(case when i > 1 and len(list_filter(t[greatest(1, i - 3) : i - 1], lambda w: w in {some(x.negators)} or ends_with(w, 'n''t'))) > 0 then -0.8 else 1.0 end)"
+    weight = f"(({phrase}) + (case when not {taken} then coalesce({of(x.values)}, 0.0) else 0.0 end))::double * {strong} * {negated}"
+    hit = f"(case when {here} then 1 else 0 end) + (case when not {taken} and {of(x.values)} is not null then 1 else 0 end)"
+    marks = " or ".join(at(m) for m in x.sarcasm)
+    count = lambda words: f"len(list_filter(t, lambda w: w in {some(words)}))"
+    token = r"/s\b|[\x{A9}\x{AE}\x{203C}-\x{2049}\x{2122}\x{2194}-\x{21AA}\x{231A}-\x{27BF}\x{2934}-\x{2B55}\x{1F000}-\x{1FAFF}]|\?|[\p{L}\p{N}$][\p{L}\p{N}''’\-]*"
+    cases = {"raw": "coalesce(list_sum(ws), 0.0)::double", "hits": "coalesce(list_sum(hs), 0)"}
+    return f"""with a as (select doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '{token}'), lambda w: replace(lower(w), '’', chr(39))) as t from documents),
+      b as (select doc_id, t, list_transform(range(1, len(t) + 1), lambda i: {weight}) as ws, list_transform(range(1, len(t) + 1), lambda i: {hit}) as hs, len(list_filter(range(1, len(t) + 1), lambda i: {marks})) > 0 as sarcastic,
+        {count(x.hedges)} + (case when list_contains(t, '?') then 1 else 0 end) as hedged, {count(x.cues["investment"])} as ci, {count(x.cues["product"])} as cp, {count(x.cues["reputation"])} as cr from a),
+      c as (select *, {cases["raw"]} as raw, {cases["hits"]} as hits from b),
+      e as (select *, hedged >= 2 or (hedged >= 1 and abs(raw) < 1.5) as uncertain, case when sarcastic then case when raw = 0 then -0.1 else -0.5 * tanh(raw / 3) end else tanh(raw / 3) end as s from c)
+      select doc_id, {O.rnd("s", 3)} as score, case when sarcastic then 'sarcastic' when uncertain and abs(s) < 0.3 then 'uncertain' when s > 0.15 then 'positive' when s < -0.15 then 'negative' else 'neutral' end as label,
+        case when greatest(ci, cp, cr) = 0 then 'general' when ci >= cp and ci >= cr then 'investment' when cp >= cr then 'product' else 'reputation' end as aspect,
+        {O.rnd("case when hits = 0 then 0.5 else least(1.0, (0.35 + 0.45 * (1 - exp(-hits / 2)) + 0.2 * abs(s)) * (case when sarcastic then 0.5 else 1.0 end) * (case when uncertain then 0.75 else 1.0 end)) end::double", 3)} as confidence from e"""
+
+
+@query(_lexicon_sql(LEXICON))
 def lexicon_sentiment(spark, d):
-    """Classification of whole documents, each led by a planted phrase."""
-    text = F.concat(F.element_at(F.array(*map(F.lit, ("very good stock", "not good app", "maybe bad", "great /s"))), (F.col("doc_id") % 4 + 1).cast("int")), F.lit(" "), F.col("text"))
-    x = panel.table(spark, d, "documents").select("doc_id", resolve.classify(text, F.lit(None).cast("array<int>")).alias("s"))
-    return shown(x.select("doc_id", "s.*"), "doc_id", "label", "aspect", "score", "confidence")
+    """Classification of whole documents."""
+    x = panel.table(spark, d, "documents").select("doc_id", classify.classify(F.col("text"), F.lit(None).cast("array<int>"), classify.LexiconClassifier(LEXICON)).alias("s"))
+    return x.select("doc_id", "s.score", "s.label", "s.aspect", "s.confidence")
 
 
 # Views (V1-V12) and sinks
@@ -639,8 +692,7 @@ def entity_detail(spark, d):
 
 @query(O.sql("select source, max(date) as latest, count(*) as days, case when max(date) < (select as_of - 2 from last_day) then 'stale' else 'live' end as state from covered group by 1", "covered"))
 def source_status(spark, d):
-    covered = panel.covered_days(items(spark, d)).crossJoin(F.broadcast(panel.as_of(spark, d)))
-    return covered.groupBy("source").agg(F.max("date").alias("latest"), F.count("*").alias("days"), F.max("as_of").alias("as_of")).select("source", "latest", "days", F.when(F.col("latest") < F.date_sub("as_of", 2), "stale").otherwise("live").alias("state"))
+    return views.source_status(panel.covered_days(items(spark, d)), F.lit(panel.last_day(spark, d)))
 
 
 @query("""select case when regexp_matches(c, '[",]') then '"' || replace(c, '"', '""') || '"' else c end || ',' || p_partkey as line from (select p_partkey, case when regexp_matches(p_name, '^[=+@-]') then '''' || p_name else p_name end as c from part)""")
@@ -648,6 +700,157 @@ def csv_export(spark, d):
     return sinks.csv_lines(panel.table(spark, d, "part").select("p_name", "p_partkey"))
 
 
+# The research run and its parts (V9, B9, B10, A15, A21), pages of entities and the explorer
+
+from tidemark.config import LabParams  # noqa: E402
+from tidemark.plans import documents, lab_run  # noqa: E402
+
+
+def _scenario_sql(names: list[str], rows: str, needs: tuple[str, ...], floor: int = 1) -> str:
+    """Dates, mean rank IC and t of every fifth date, by name, of rows (name, date, entity, signal, ret)."""
+    rank = lambda c: f"rank() over (partition by name, date order by {c}) + (count(*) over (partition by name, date, {c}) - 1) / 2.0"
+    known = lambda e: O.r6(f"case when count(*) >= {floor} then {e} end")
+    t = "avg(rank_ic) filter (where apart) / (stddev_samp(rank_ic) filter (where apart) / sqrt(count(rank_ic) filter (where apart)))"
+    return O.sql(
+        f"""select v.name, coalesce(dates, 0) as dates, mean_rank_ic, t_stat from (values {", ".join(f"('{n}')" for n in names)}) v(name) left join (
+        select name, count(*) as dates, {known("avg(rank_ic)")} as mean_rank_ic, {known(t)} as t_stat from (
+        select *, (row_number() over (partition by name order by date) - 1) % 5 = 0 as apart from (
+        select name, date, covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0) as rank_ic from (
+        select name, date, {rank("signal")} as a, {rank("ret")} as b, count(*) over (partition by name, date) as n from ({rows})) where n >= 20 group by name, date)) group by name) using (name)""",
+        *needs,
+    )
+
+
+_LABELLED = "signals s join returns r on r.entity = s.entity and r.date = s.date and r.horizon = 5 join (select min(date) + 37 as first from signals) on s.date >= first and isodow(s.date) < 6"
+_UNIFORM = lambda k: f"((('0x' || substr(md5('42:' || s.date::varchar || ':' || s.entity || ':{k}'), 1, 13))::bigint + 0.5) / 4503599627370496.0)"
+_NAMED = lambda name, signal: f"select '{name}' as name, s.date, s.entity, {signal} as signal, floor(r.ret * 1e6 + 0.5) / 1e6 as ret from {_LABELLED} where {signal} is not null"
+
+
+def _run_sections(spark: SparkSession, d: str, p: LabParams) -> lab_run.Sections:
+    """The run's sections, with returns rounded so that ties don't hang on the order of summation."""
+    rounded = returns(spark, d).withColumn("ret", S.rounded(F.col("ret"), 6))
+    return lab_run.sections_of(rounded, panel.universe(spark, d), lab_run.trading_dates(signals(spark, d), p), p)
+
+
+@query(_scenario_sql(["random", "attention", "composite"], " union all ".join([_NAMED("random", f"(sqrt(-2 * ln({_UNIFORM(0)})) * cos(2 * pi() * {_UNIFORM(1)}))"), _NAMED("attention", "s.attention_score"), _NAMED("composite", "s.alt_signal_score")]), ("signals", "returns")))
+def lab_baselines(spark, d):
+    return shown(lab_run.baselines(_run_sections(spark, d, LabParams()), signals(spark, d), 5))
+
+
+_AT_FLOORS = f"select f::varchar as name, x.* exclude (confidence) from (select s.date, s.entity, s.alt_signal_score as signal, floor(r.ret * 1e6 + 0.5) / 1e6 as ret, s.confidence from {_LABELLED} where s.alt_signal_score is not null) x cross join (values (0), (25), (50), (70)) v(f) where coalesce(x.confidence, 0) >= f"
+
+
+@query(_scenario_sql(["0", "25", "50", "70"], _AT_FLOORS, ("signals", "returns"), 5))
+def lab_sensitivity(spark, d):
+    return shown(lab_run.floors(_run_sections(spark, d, LabParams()), signals(spark, d), {"alt_signal_score": 1.0}, 5))
+
+
+@query()
+def lab_removals(spark, d):
+    """Leave one source out, five composites; the composite without a source is tested against a frame that never had it."""
+    return shown(lab_run.without_sources(_run_sections(spark, d, LabParams()), lambda out: composed(spark, d, exclude=out), {"alt_signal_score": 1.0}, 5))
+
+
+@query(O.sql(f"select q + 1 as quintile, {O.r6('avg(ret)')} as mean, {O.r6('median(ret)')} as median, count(*) as n from ranked where n >= 20 group by 1", "ranked"))
+def pooled_quintiles(spark, d):
+    return shown(lab.pooled_quintiles(sections(spark, d)))
+
+
+@query(
+    O.sql(
+        f"""select {O.r6("avg(share)")} as coverage, {O.r6("avg(share) filter (where i <= 10)")} as first, {O.r6("avg(share) filter (where i > total - 10)")} as last from (
+        select *, row_number() over (order by date) as i, count(*) over () as total from (
+        select d.date, coalesce(c.n, 0)::double / (select count(*) from universe) as share from (select distinct date from signals where isodow(date) < 6) d left join (select date, count(*) as n from sections group by 1) c using (date)))""",
+        "signals", "sections", "universe",
+    )
+)
+def coverage(spark, d):
+    dates = signals(spark, d).select("date").distinct().where(F.weekday("date") < 5)
+    return shown(lab.coverage(sections(spark, d), dates, panel.universe(spark, d).count()))
+
+
+@query()
+def lab_report(spark, d):
+    """A whole run's summary and verdict; its parts have queries with SQL of their own."""
+    tables = lab_run.run(feats(spark, d), signals(spark, d), returns(spark, d), panel.universe(spark, d), LabParams(features=("attention_score",)), mood(spark, d))
+    return shown(tables["summary"].withColumn("verdict", F.lit(lab_run.verdict(tables))), "verdict", "dates", "observations", "mean_rank_ic", "t_stat", "mean_spread")
+
+
+def _three(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Mentions, documents and sentiments as the three tables they are, from the items of text sources."""
+    x = items(spark, d).where(F.col("source").isin(*C.TEXT_SOURCES))
+    return x.select("doc_id", "entity", "date", "relevance"), x.select("doc_id", "source", "community", "status", "score"), x.select("doc_id", "entity", "label", "aspect", "confidence")
+
+
+@query(O.sql(f"select doc_id, date, source, community, score, label, aspect, {O.r6('confidence')} as confidence from items where entity = 'NATION_7' and source in ({O.T}) and status = 'unique' and date between (select as_of - 13 from last_day) and (select as_of from last_day) order by score desc, doc_id limit 60", "items", "last_day"))
+def entity_items(spark, d):
+    last = F.lit(panel.last_day(spark, d))
+    return shown(views.items_of(*_three(spark, d), "NATION_7", F.date_sub(last, 13), last), "doc_id", "date", "source", "community", "score", "label", "aspect", "confidence")
+
+
+@query(O.sql(f"select aspect, count(*) as items, count(*) filter (where label = 'positive') as positive, count(*) filter (where label = 'negative') as negative, count(*) filter (where label in ('neutral', 'uncertain')) as neutral, count(*) filter (where label = 'sarcastic') as sarcastic from items where entity = 'NATION_7' and source in ({O.T}) and date >= (select as_of - 29 from last_day) group by 1", "items", "last_day"))
+def entity_narratives(spark, d):
+    found, _, said = _three(spark, d)
+    return views.narratives_of(said, found, "NATION_7", F.date_sub(F.lit(panel.last_day(spark, d)), 29))
+
+
+@query(O.sql(f"select s.date, s.alt_signal_score as score, {O.rnd('ret * 100', 2)} as ret from signals s join returns r on r.entity = s.entity and r.date = s.date and r.horizon = 5 where s.entity = 'NATION_7' and s.alt_signal_score is not null", "signals", "returns"))
+def score_and_return(spark, d):
+    return views.score_and_return(signals(spark, d), returns(spark, d), "NATION_7")
+
+
+_EVENT_COLUMNS = "entity, date, source, kind"
+
+
+@query(O.sql(f"select {_EVENT_COLUMNS} from ({_crossings_sql()}) join universe using (entity) where sector <> 'EUROPE' and sector = (select min(sector) from universe) and source in ('reddit', 'cross') order by date desc, entity, source, kind limit 14", "signals", "universe"))
+def recent_events(spark, d):
+    u = panel.universe(spark, d)
+    first = u.agg(F.min("sector").alias("s")).first().s
+    return views.latest_events(events.crossings(signals(spark, d)), u, None, None, first, "reddit").select(*_EVENT_COLUMNS.split(", "))
+
+
+@query(O.sql(f"select entity, alt_signal_score, attention_score, confidence from signals where {_LAST} and alt_signal_score >= 50 and attention_score >= 30 and attention_score is not null and hype_risk is not null order by attention_score desc, entity limit 5", "signals"))
+def explorer_page(spark, d):
+    """Range filters, an order of one's own, the first page."""
+    x = views.explorer(view_rows(spark, d), ranges={"score_min": 50, "attention_min": 30}, sort=("attention_score", False), size=5)
+    return x.select("entity", "alt_signal_score", "attention_score", "confidence")
+
+
+@query(O.sql(f"select entity, sector, hype_risk from universe left join (select * from signals where {_LAST}) using (entity) order by lower(sector) desc, entity limit 10 offset 10", "signals", "universe"))
+def explorer_sorted(spark, d):
+    """By text with a collation, descending, the second page."""
+    return views.explorer(view_rows(spark, d), sort=("sector", False), number=1, size=10).select("entity", "sector", "hype_risk")
+
+
+@query(O.sql("select source, count(*) filter (where list_contains(sources_available, source)) as names from signals cross join (values " + ", ".join(f"('{s}')" for s in C.SOURCES) + f") v(source) where {_LAST} group by 1", "signals"))
+def source_coverage(spark, d):
+    return views.source_coverage(signals(spark, d), C.SOURCES)
+
+
+@query("select p_partkey, '$' || case when p_retailprice * 1e6 >= 1e9 then floor(p_retailprice / 1e3 + 0.5)::bigint || 'B' else floor(p_retailprice + 0.5)::bigint || 'M' end as cap, case when p_size > 25 then '+' else '' end || printf('%.1f', (p_size - 25)::double) as size from part")
+def display(spark, d):
+    from tidemark.functions import shown as texts
+
+    return panel.table(spark, d, "part").select("p_partkey", texts.capital(F.col("p_retailprice") * 1e6).alias("cap"), texts.signed(F.col("p_size") - 25).alias("size"))
+
+
+@query(f"select c_custkey, {O.r6('''((('0x' || substr(md5('7:' || c_custkey::varchar || ':0'), 1, 13))::bigint + 0.5) / 4503599627370496.0)''')} as u, (3 + floor((('0x' || substr(md5('7:' || c_custkey::varchar || ':0'), 1, 13))::bigint + 0.5) / 4503599627370496.0 * 8))::bigint as k from customer")
+def seeded_draws(spark, d):
+    from tidemark.functions import draws
+
+    key = F.col("c_custkey")
+    return shown(panel.table(spark, d, "customer").select("c_custkey", draws.uniform(7, key).alias("u"), draws.integer(3, 10, 7, key).alias("k")))
+
+
+@query()
+def document_pipeline(spark, d):
+    """Documents cleaned, told apart by language, deduplicated, resolved, classified and counted by day; tested step by step."""
+    x = panel.table(spark, d, "documents")
+    own = _items(spark, d).drop("text").join(x.select("doc_id", F.lit("").alias("title"), F.col("text").alias("body"), F.lit("reddit").alias("source"), F.lit(1.0).alias("score"), F.lit(0.0).alias("comments")), "doc_id")
+    found = documents.mentions(documents.processed(own, ENTITIES, CONTEXT), classify.LexiconClassifier(LEXICON))
+    return shown(metrics.daily_text_metrics(found), "entity", "source", "date", "mention_count", "net_sentiment", "dup_ratio")
+
+
 # Streams (R1-R7)
 
 

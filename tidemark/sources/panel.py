@@ -64,6 +64,7 @@ def items(spark: SparkSession, sf_dir: str, days: int = C.HISTORY_DAYS + C.LOOKB
     aspect = F.element_at(F.array(*map(F.lit, ("investment", "product", "reputation", "general"))), (F.col("l_linenumber") % 4 + 1).cast("int"))
     label = F.when(polarity > 0.3, "positive").when(polarity < -0.3, "negative").otherwise("uncertain")
     return rows.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("doc_id"),
         F.col("n_name").alias("entity"),
         F.col("r_name").alias("sector"),
         _case(F.col("o_orderpriority"), PRIORITIES).alias("source"),

@@ -66,11 +66,12 @@ def drain(query: DataFrame, mode: str = "append") -> DataFrame:
     base = f"{shared_dir(spark)}/tidemark/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
-        (batch.write.mode("overwrite") if mode == "complete" else batch.write.mode("append")).parquet(f"{base}/out")
+        # a batch that is repeated after a failure replaces what it wrote
+        batch.write.mode("overwrite").parquet(f"{base}/out" if mode == "complete" else f"{base}/out/batch={number}")
 
     run = query.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(write).start()
     run.awaitTermination()
-    return spark.read.schema(query.schema).parquet(f"{base}/out")
+    return spark.read.schema(query.schema).parquet(f"{base}/out").select(*query.columns)
 
 
 def refresh(stream: DataFrame, path: str, checkpoint: str):
