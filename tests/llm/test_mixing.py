@@ -120,16 +120,17 @@ def test_draws_at_the_edges(spark, good, total, n):
         assert abs(d - n * good / total) < 2000
 
 
-def test_mixed_rows(spark):
+@pytest.mark.parametrize("block_words", [16, 500])
+def test_mixed_rows(spark, block_words):
     rows, docs = docs_of(spark, 120)
     report = {}
-    for r in mixing.mix_report(docs, block_words=16).collect():
+    for r in mixing.mix_report(docs, block_words=block_words).collect():
         report[r.doc_id] = report.get(r.doc_id, 0) + r.taken
-    got = mixing.mixed(docs, block_words=16)
+    got = mixing.mixed(docs, block_words=block_words)
     assert got.dtypes == docs.dtypes
     out, texts = {}, {(r[0], r[1]) for r in rows}
     for r in got.collect():
-        assert words(r.text) <= 16
+        assert words(r.text) <= block_words
         out[r.doc_id] = out.get(r.doc_id, 0) + words(r.text)
         assert r.n_chars == len(r.text)
         whole = next(t for d, t in texts if d == r.doc_id and t and r.text.split()[0] in t.split())

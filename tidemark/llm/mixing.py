@@ -239,10 +239,11 @@ def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: s
     whole = F.col(f"carried.`{text}`")
 
     def cut_out(words: Column | None) -> Column:
-        return F.transform("runs", lambda r: F.struct(r.shard.alias("shard"), r.place.alias("place"), r.from_word.alias("from_word"), (whole if words is None else F.array_join(F.slice(words, (r.from_word + 1).cast("int"), r.n_words.cast("int")), " ")).alias("text")))
+        some = lambda r: whole if words is None else F.when(r.n_words == F.col("size"), whole).otherwise(F.array_join(F.slice(words, (r.from_word + 1).cast("int"), r.n_words.cast("int")), " "))
+        return F.transform("runs", lambda r: F.struct(r.shard.alias("shard"), r.place.alias("place"), r.from_word.alias("from_word"), some(r).alias("text")))
 
     # the words of a text are bound to a name, so that they are found once and not for each run
-    pieces = F.when(F.col("runs")[0]["n_words"] == F.col("size"), cut_out(None)).otherwise(F.transform(F.array(F.regexp_extract_all(whole, F.lit(WORD_PATTERN), F.lit(0))), cut_out)[0])
+    pieces = F.when(F.forall("runs", lambda r: r.n_words == F.col("size")), cut_out(None)).otherwise(F.transform(F.array(F.regexp_extract_all(whole, F.lit(WORD_PATTERN), F.lit(0))), cut_out)[0])
     out = rows.select("row", "size", "carried").join(runs, "row").select("carried", F.explode(pieces).alias("piece"))
     out = out.select(F.col("piece.shard").alias(shard), F.col("piece.place").alias(place), F.col("piece.from_word").alias(start), F.col("piece.text").alias(own), "carried.*")
     out = out.repartition(shard).sortWithinPartitions(shard, place, start)
