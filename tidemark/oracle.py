@@ -197,11 +197,23 @@ CTE["stats"] = """select date, count(*) as n, covar_pop(signal, ret) / nullif(st
     list(entity order by entity) filter (where q = 4) as top, list(entity order by entity) filter (where q = 0) as bottom from ranked where n >= 20 group by date"""
 CTE["apart"] = "select *, (row_number() over (order by date) - 1) % 5 = 0 as apart, row_number() over (order by date) - 1 as i, count(*) over () as nd, q5 - q1 as spread from stats"
 
+_RANKS = lambda c: f"rank() over (partition by name, date order by {c}) + (count(*) over (partition by name, date, {c}) - 1) / 2.0"
+CTE["rivals"] = " union all ".join(
+    f"select '{f}' as name, s.date, s.entity, floor(s.{f} * 1e6 + 0.5) / 1e6 as signal, floor(r.ret * 1e6 + 0.5) / 1e6 as ret from signals s join returns r on r.entity = s.entity and r.date = s.date and r.horizon = 5 where s.{f} is not null and isodow(s.date) < 6"
+    for f in ("attention_z", "alt_signal_score")
+)
+CTE["candidates"] = f"""select name, date, covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0) as rank_ic from (
+    select name, date, {_RANKS("signal")} as a, {_RANKS("ret")} as b, count(*) over (partition by name, date) as n from rivals) where n >= 20 group by name, date"""
+CTE["cuts"] = """select *, ceil((n - first) / 4)::bigint as size from (select date, row_number() over (order by date) - 1 as i, count(*) over () as n, greatest(20, floor(count(*) over () * 0.4))::bigint as first from (select distinct date from candidates))"""
+CTE["folds"] = """select f.fold::int as fold, c.name, avg(rank_ic) filter (where i < first + size * fold) as train_ic, avg(rank_ic) filter (where i >= first + size * fold) as test_ic, count(rank_ic) filter (where i >= first + size * fold) as test_dates
+    from candidates c join cuts d using (date) cross join range(4) f(fold) where first + size * fold < n and i < first + size * (fold + 1) group by 1, 2"""
+
 NEEDS = {
     "items": ["last_day"], "weighted": ["items"], "communities": ["weighted"], "sums": ["weighted"], "covered": ["items"], "metrics": ["covered", "universe", "sums", "communities", "items"], "days": ["last_day"],
     "spine": ["universe", "metrics", "days"], "leveled": ["spine"], "short": ["leveled"], "based": ["short"], "centered": ["based"], "feats": ["centered"], "expected": ["feats"], "wide": ["feats"], "pre": ["wide", "expected"],
     "crossed": ["pre"], "factors": ["crossed"], "parts": ["factors"], "penalised": ["parts"], "signals": ["penalised"], "led": ["prices"], "entries": ["signals", "prices"], "returns": ["entries", "led"],
     "sections": ["signals", "universe", "returns"], "ranked": ["sections"], "stats": ["ranked"], "apart": ["stats"],
+    "rivals": ["signals", "returns"], "candidates": ["rivals"], "cuts": ["candidates"], "folds": ["cuts"],
 }
 
 

@@ -432,9 +432,9 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
-@query()
+@query(O.sql(f"select fold, name as candidate, sign(train_ic)::int as sign, {O.r6('train_ic')} as train_ic, {O.r6('test_ic * sign(train_ic)')} as test_ic, test_dates from (select *, row_number() over (partition by fold order by abs(train_ic) desc nulls last, name) as r from folds) where r = 1 and train_ic is not null", "folds"))
 def walk_forward(spark, d):
-    """Folds by date over two candidates; tested on small fixtures."""
+    """Folds by date over two candidates."""
     return shown(lab.walk_forward(candidates(spark, d), 5))
 
 

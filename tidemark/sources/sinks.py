@@ -10,8 +10,10 @@ from pyspark.sql import types as T
 
 
 def merged(target: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
-    """Upsert: rows replace those of the target with their key (K1)."""
-    return target.join(rows.select(*key), key, "left_anti").unionByName(rows)
+    """Upsert: rows replace those of the target with their key (K1); of rows with one key the largest in the order of their columns stays."""
+    others = [c for c in rows.columns if c not in key]
+    last = rows.groupBy(*key).agg(F.max(F.struct(*others)).alias("last")).select(*key, *[F.col("last")[c].alias(c) for c in others]) if others else rows.distinct()
+    return target.join(last.select(*key), key, "left_anti").unionByName(last.select(*rows.columns))
 
 
 def insert_ignore(target: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
