@@ -25,8 +25,8 @@ K, SCALE, EVERY = 10, 1024, 100
 #: Rows to a block of candidates and to a block of queries. Candidates are sent once for each block of queries and queries
 #: once for each block of candidates, so that large blocks keep both few.
 CANDIDATES, QUERIES = 8192, 8192
-#: Candidates (k at least) whose final scores are resolved, and the factor by which the bar is lowered.
-RESOLVE, STEP = 64, 0.6
+#: Candidates (k at least) whose final scores are resolved; the first bar as a share of the largest product; the factor by which it is lowered.
+RESOLVE, START, STEP = 64, 0.06, 0.5
 #: What a long holds.
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
@@ -47,9 +47,11 @@ class Lists:
         # exact in float64 below 2**53, else in Python's integers
         self.values = values[order].astype(np.float64 if 2 * most * most * max(1, values.shape[1]) < 2**53 else object)
         self.n, self.d = values.shape
-        size = np.abs(self.values)
-        self.order = np.argsort(-size, axis=0, kind="stable")
-        self.falling = -np.take_along_axis(size, self.order, axis=0)  # negated, so that it can be searched
+        # a list is a row, so that it is read in sequence: whose value, the value, and its size (negated, to be searched)
+        by_list = np.ascontiguousarray(self.values.T)
+        self.order = np.argsort(-np.abs(by_list), axis=1, kind="stable")
+        self.sorted = np.take_along_axis(by_list, self.order, axis=1)
+        self.falling = -np.abs(self.sorted)
         self.read = self.offered = 0
 
     def top(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,19 +60,19 @@ class Lists:
         used = np.nonzero(q)[0]
         alive = self.ids != query_id
         seen = np.zeros(self.n, self.values.dtype)  # sum of what has been read of each candidate
-        unread = np.ones((self.n, len(used)), bool)
+        unread = np.ones((len(used), self.n), self.values.dtype)
         depth, weight = [0] * len(used), [abs(q[d]) for d in used]
-        bar = max((w * -self.falling[0, d] for w, d in zip(weight, used, strict=True)), default=0) * STEP if self.n else 0
+        bar = max((w * -self.falling[d, 0] for w, d in zip(weight, used, strict=True)), default=0) * START if self.n else 0
         while alive.sum() > max(k, RESOLVE) and min(depth, default=self.n) < self.n:
             last = []  # what an unread value of each list is worth at most
             for j, d in enumerate(used):
-                to = self.n if bar < 1 else max(depth[j], int(np.searchsorted(self.falling[:, d], -(bar / weight[j]))))
-                rows = self.order[depth[j] : to, d]
-                seen[rows] += q[d] * self.values[rows, d]
-                unread[rows, j] = False
+                to = self.n if bar < 1 else max(depth[j], int(self.falling[d].searchsorted(-(bar / weight[j]))))
+                rows = self.order[d, depth[j] : to]
+                seen[rows] += q[d] * self.sorted[d, depth[j] : to]
+                unread[j, rows] = 0
                 depth[j] = to
-                last.append(weight[j] * -self.falling[to, d] if to < self.n else 0)
-            slack = unread @ np.array(last, self.values.dtype)
+                last.append(weight[j] * -self.falling[d, to] if to < self.n else 0)
+            slack = np.array(last, self.values.dtype) @ unread
             able = np.nonzero(alive)[0]
             kth = np.sort(seen[able] - slack[able])[-k]
             alive[able] = seen[able] + slack[able] >= kth
