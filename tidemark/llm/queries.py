@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, embeddings, html, mixing, quality, simhash, topk, toxicity, warc
+from tidemark.llm import bpe, chat, divergence, embeddings, html, lexical, mixing, packing, quality, simhash, topk, toxicity, warc
 from tidemark.llm.common import read
 
 #: The ranks file of op9 and of the pipeline.
 RANKS = "byte_bpe_50k.tiktoken"
+#: The vocabulary of op12.
+WORDS = "word_bpe_49k.json"
 
 
 def ranks_file(name: str = RANKS) -> bytes:
@@ -141,5 +143,55 @@ select p.page_id, p.payload_bytes, p.payload_digest,
 from p left join f using (payload_digest)
 """
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_chat": op2_chat, "op3_mixing": op3_mixing, "op4_toxicity": op4_toxicity, "op5_html": op5_html, "op6_embeddings": op6_embeddings, "op7_topk": op7_topk, "op8_quality": op8_quality, "op9_bpe": op9_bpe, "op10_warc": op10_warc}
-ORACLE_SQL: dict[str, str] = {"op2_chat": OP2_SQL, "op6_embeddings": OP6_SQL, "op7_topk": OP7_SQL, "op10_warc": OP10_SQL}
+
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+LOWERED = f"translate({{}}, '{lexical.UPPER}', '{lexical.LOWER}')"
+OP11_SQL = rf"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all({LOWERED.format("text")}, '{lexical.TERM}') as ts from documents where text is not null),
+c as (select count(*) as n_all, sum(len(ts))::bigint as l_all from d where len(ts) > 0),
+i as (select distinct i, item_id, term from (
+  select i, item_id, unnest(regexp_extract_all({LOWERED.format("text")}, '{lexical.TERM}')) as term from (select row_number() over () as i, * from benchmark))),
+t as (select r, doc_id, len(ts) as n, unnest(ts) as term from d),
+f as (select r, doc_id, n, term, count(*) as tf from t where term in (select term from i) group by all),
+w as (select term, floor(1000 * ln((2 * n_all + 2)::double / (2 * count(*) + 1)::double))::bigint as w from f, c group by term, n_all),
+s as (select i, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_all) // l_all))))::bigint as score
+  from i join f using (term) join w using (term), c group by i, item_id, r, doc_id),
+o as (select i, item_id, row_number() over (partition by i order by score desc, doc_id)::int as rank, doc_id, score from s where score > 0)
+select item_id, rank, doc_id, score from o where rank <= 50
+"""
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path(WORDS), encoding="utf-8") as f:
+        packed = packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"), f.read())
+    return packed.select("doc_id", F.col("piece").cast("int"), "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+OP13_SQL = rf"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, {LOWERED.format("coalesce(text, '')")} as t from documents),
+w as (select r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+k as (select lang, term, count(*) as total from w group by all having count(distinct r) >= 3),
+g as (select distinct lang, source from d),
+c as (select lang, source, term, count(*) as n from w join k using (lang, term) group by all),
+v as (select l.lang, count(k.term) as v, coalesce(sum(k.total), 0)::bigint as total from (select distinct lang from g) l left join k using (lang) group by l.lang),
+gn as (select g.lang, g.source, coalesce(sum(c.n), 0)::bigint as total from g left join c using (lang, source) group by all),
+p as (select gn.lang, gn.source, k.term, coalesce(c.n, 0) as n, 1 + (1000000000 * (coalesce(c.n, 0) + 1)) // (gn.total + v.v) as p
+  from gn join v using (lang) join k using (lang) left join c on c.lang = gn.lang and c.source = gn.source and c.term = k.term),
+q as (select k.lang, k.term, 1 + (1000000000 * (k.total + 1)) // (v.total + v.v) as q from k join v using (lang)),
+pr as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(sum(((x.p - y.p) * (x.p - y.p)) // y.p), 0)::bigint as value
+  from gn a join gn b on a.lang = b.lang and a.source <> b.source
+  left join p x on x.lang = a.lang and x.source = a.source left join p y on y.lang = b.lang and y.source = b.source and y.term = x.term group by all),
+te as (select p.lang, p.source, 'term' as part, p.term as item, ((p - q) * (p - q)) // q as value from p join q using (lang, term) where n > 0 and p > q),
+o as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from (select * from pr union all select * from te))
+select lang, source, part, item, value, rank from o where part = 'pair' or rank <= 200
+"""
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_chat": op2_chat, "op3_mixing": op3_mixing, "op4_toxicity": op4_toxicity, "op5_html": op5_html, "op6_embeddings": op6_embeddings, "op7_topk": op7_topk, "op8_quality": op8_quality, "op9_bpe": op9_bpe, "op10_warc": op10_warc, "op11_search": op11_search, "op12_packing": op12_packing, "op13_divergence": op13_divergence}
+ORACLE_SQL: dict[str, str] = {"op2_chat": OP2_SQL, "op6_embeddings": OP6_SQL, "op7_topk": OP7_SQL, "op10_warc": OP10_SQL, "op11_search": OP11_SQL, "op13_divergence": OP13_SQL}
