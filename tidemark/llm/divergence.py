@@ -30,6 +30,8 @@ TOP, MIN_DOCS, SEATS, SLICE = 200, 3, 8, 8192
 SCALE = 1_000_000_000
 #: Entries that a task tallies, and terms that its heaps hold, before it hands them on.
 HELD = 400_000
+#: Tables with a row a language or a group are broadcast up to so many rows, and joined by shuffle beyond.
+SMALL = 100_000
 
 TALLY = "lang string, source string, term string, n long, docs long"
 
@@ -225,7 +227,12 @@ def tournament(seats: int) -> list[list[tuple[int, int]]]:
     return out
 
 
-def audit(docs: DataFrame, top: int = TOP, min_docs: int = MIN_DOCS, seats: int = SEATS, slice_terms: int = SLICE) -> DataFrame:
+def _sent(df: DataFrame, small: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``small`` rows: a join by language alone would put a whole language in one task."""
+    return F.broadcast(df) if df.limit(small + 1).count() <= small else df
+
+
+def audit(docs: DataFrame, top: int = TOP, min_docs: int = MIN_DOCS, seats: int = SEATS, slice_terms: int = SLICE, small: int = SMALL) -> DataFrame:
     """How far each source of a language is from each other source, and which terms set it apart from the language.
 
     ``docs`` needs lang, source, text (null: empty); other columns are ignored. Terms are runs of letters and
@@ -242,16 +249,17 @@ def audit(docs: DataFrame, top: int = TOP, min_docs: int = MIN_DOCS, seats: int
     text_batches(spark)
     docs = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     terms = cut(kept_terms(docs, min_docs), "terms")
-    sizes = terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("total"))
+    sizes = _sent(cut(terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("total")), "sizes"), small)
     sums = terms.select("lang", F.explode("by").alias("x")).groupBy("lang", F.col("x.source").alias("source")).agg(F.sum("x.n").alias("total"))
     groups = docs.select("lang", "source").distinct()
     members = groups.join(sums, ["lang", "source"], "left").select("lang", (F.crc32(F.col("source").cast("binary")) % seats).cast("int").alias("seat"), F.struct("source", F.coalesce("total", F.lit(0)).alias("total")).alias("m"))
-    members = members.groupBy("lang", "seat").agg(F.sort_array(F.collect_list("m")).alias("members"))
+    held = cut(members.groupBy("lang", "seat").agg(F.sort_array(F.collect_list("m")).alias("members")), "members")
+    members = F.broadcast(held) if (held.agg(F.sum(F.size("members"))).first()[0] or 0) <= small else held
     # slices of about slice_terms terms each; one more, without terms, lets sources meet where a language keeps none
     dealt = terms.join(sizes.select("lang", F.ceil(F.col("v") / slice_terms).alias("slices")), "lang").withColumn("slice", F.pmod(F.xxhash64("term"), F.col("slices")))
     blocks = dealt.select("lang", "slice", "term", "total", "by").groupBy("lang", "slice").applyInArrow(_blocks(seats), BLOCKS)
-    none = members.select("lang", F.lit(-1).cast("long").alias("slice"), "seat", F.lit(0).cast("long").alias("size"), F.lit(None).cast("binary").alias("data"))
-    own = blocks.where("seat < 0").join(sizes, "lang").select("lang", "slice", "seat", "size", "data", F.lit(None).cast(members.schema["members"].dataType).alias("members"), "v", "total")
+    none = held.select("lang", F.lit(-1).cast("long").alias("slice"), "seat", F.lit(0).cast("long").alias("size"), F.lit(None).cast("binary").alias("data"))
+    own = blocks.where("seat < 0").join(sizes, "lang").select("lang", "slice", "seat", "size", "data", F.lit(None).cast(held.schema["members"].dataType).alias("members"), "v", "total")
     seated = blocks.where("seat >= 0").unionByName(none).join(members, ["lang", "seat"]).join(sizes, "lang", "left")
     seated = seated.select("lang", "slice", "seat", "size", "data", "members", F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("total", F.lit(0)).alias("total"))
     vectors = cut(seated.unionByName(own), "vectors")
