@@ -264,17 +264,27 @@ class Plan:
 
     def __init__(self, counts: dict[int, int], capacity: int = CAPACITY):
         self.capacity = capacity
-        self.left = np.zeros(capacity + 1, np.int64)
-        for length, n in counts.items():
-            self.left[length] = n
-        self.patterns: list[tuple[tuple[int, ...], int]] = []
-        self._index()
-        for first in range(capacity, 0, -1):  # what exact combinations can fill
-            while self.left[first] and (rest := self._complement(capacity - first, Counter([first]))) is not None:
-                self._take((first, *rest))
-        for first in range(capacity, 0, -1):  # the rest by best fit; gaps may still find their complement
-            while self.left[first]:
-                self._take(self._best_fit(first))
+        least = -(-sum(n * k for n, k in counts.items()) // capacity)
+        found: list[tuple[tuple[int, ...], int]] | None = None
+        # Exact combinations first; where they take what lengths over a half need, those lengths go first; last, without exact ones
+        for ranges in ([(capacity, 0, True)], [(capacity, capacity // 2, True), (capacity // 2, 0, True)], [(capacity, 0, False)]):
+            self.left = np.zeros(capacity + 1, np.int64)
+            for length, n in counts.items():
+                self.left[length] = n
+            self.patterns: list[tuple[tuple[int, ...], int]] = []
+            self._index()
+            for high, low, exact in ranges:
+                for first in range(high, low, -1) if exact else ():
+                    while self.left[first] and (rest := self._complement(capacity - first, Counter([first]))) is not None:
+                        self._take((first, *rest))
+                for first in range(high, low, -1):
+                    while self.left[first]:
+                        self._take(self._best_fit(first, exact))
+            if found is None or self.sequences < sum(k for _, k in found):
+                found = self.patterns
+            if sum(k for _, k in found) == least:
+                break
+        self.patterns = found
 
     def _index(self) -> None:
         """Sums of one, two and three lengths that are still there, as sets of bits."""
@@ -325,12 +335,12 @@ class Plan:
                     return (n, *two)
         return None
 
-    def _best_fit(self, first: int) -> tuple[int, ...]:
-        """``first`` and the largest lengths that still fit, one by one, until a complement fills the gap or nothing fits."""
+    def _best_fit(self, first: int, exact: bool) -> tuple[int, ...]:
+        """``first`` and the largest lengths that still fit, one by one, until nothing fits or, if ``exact``, a complement fills the gap."""
         parts, gap = [first], self.capacity - first
         while gap:
             used = Counter(parts)
-            if (rest := self._complement(gap, used)) is not None:
+            if exact and (rest := self._complement(gap, used)) is not None:
                 return (*parts, *rest)
             fits = [n for n in np.flatnonzero(self.left[: gap + 1]).tolist() if self.left[n] > used[n]]
             if not fits:
