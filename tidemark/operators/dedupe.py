@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
-from tidemark.sources.shared import shared_dir
+from tidemark.sources.shared import cut, shared_dir
 
 #: SimHash bits that may differ, and characters of normalised text below which nothing is compared.
 MAX_BITS, MIN_CHARS = 3, 12
@@ -34,6 +34,11 @@ def _narrow(items: DataFrame) -> DataFrame:
     return items.select("doc_id", "published_at", "community", F.when(~canon.rlike(OWN_PAGES), canon).alias("canon"), F.when(F.char_length(norm) >= MIN_CHARS, F.sha2(norm.cast("binary"), 256)).alias("text_key"))
 
 
+def _written(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a table of the shared folder, so that texts are read and hashed once, however often their keys are."""
+    return rows.sparkSession.read.schema(rows.schema).parquet(cut(rows, name))
+
+
 def _exact(rows: DataFrame) -> DataFrame:
     """(doc_id, status) of the items that stages one and two find, from narrow rows."""
     firsts = _first(rows, "canon", "community").select(F.col("canon").alias("of"), "first")
@@ -50,7 +55,7 @@ def exact_statuses(items: DataFrame) -> DataFrame:
     crosspost elsewhere; links to a community's own discussion pages don't count. Of the others, normalised texts of at least 12 characters seen before are
     duplicate_exact. Items without a URL or with a short text pass the stage.
     """
-    return items.join(_exact(_narrow(items)), "doc_id", "left")
+    return items.join(_exact(_written(_narrow(items), "narrow")), "doc_id", "left")
 
 
 def candidate_pairs(items: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+import uuid
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +14,8 @@ from tidemark import config as C
 from tidemark import oracle as O
 from tidemark.functions import stats as S
 from tidemark.operators import composite, events, features, labels, lab, metrics
+from tidemark.plans import steps
 from tidemark.sources import panel
-from tidemark.sources.shared import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,25 +42,10 @@ def shown_sql(columns: str, source: str, doubles: str = "") -> str:
     return "select " + ", ".join([*columns.split(), *[f"{O.r6(c)} as {c}" for c in doubles.split()]]) + f" from {source}"
 
 
-# The panel, built step by step. Steps that several queries use are written once for a session and folder, so
-# that a query reads the rows of the step it starts from instead of joining and sorting everything anew.
+# The panel, built step by step. Steps that several queries use are tables kept for the present state of their
+# input files, so that a query reads the rows of the step it starts from instead of joining and sorting anew.
 
-_written: dict[tuple[str, str, str], tuple[str, T.StructType]] = {}
-
-
-def stored(step: Query) -> Query:
-    """The step as a table in the shared folder, written when it is first asked for."""
-
-    @wraps(step)
-    def read(spark: SparkSession, d: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, d, step.__name__)
-        if key not in _written:
-            made = step(spark, d)
-            _written[key] = (cut(made, step.__name__), made.schema)
-        path, schema = _written[key]
-        return spark.read.schema(schema).parquet(path)
-
-    return read
+stored = steps.stored("lineitem", "orders", "supplier", "nation", "region", "part", "customer")
 
 
 @stored
@@ -469,7 +455,8 @@ from tidemark.functions import text as X  # noqa: E402
 from tidemark.operators import classify, dedupe, resolve  # noqa: E402
 from tidemark.plans import views  # noqa: E402
 from tidemark.sources import sinks  # noqa: E402
-from tidemark.streaming import streams  # noqa: E402
+from tidemark.sources.shared import shared_dir  # noqa: E402
+from tidemark.streaming import refresh, streams  # noqa: E402
 
 _CLEAN = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
 for _e, _v in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("apos", "''"), ("nbsp", " "), ("#x27", "''"), ("amp", "&")):
@@ -876,3 +863,15 @@ def stream_dedupe(spark, d):
 )
 def stream_refractory(spark, d):
     return streams.drain(streams.refractory(streams.events(spark, d))).select("user_id", "event_type", F.col("ts").cast("date").alias("date"))
+
+
+@query(O.sql(shown_sql(f"{KEY} last_observed_date freshness_days available", "feats", "abnormal_z activity7 accel_z sentiment7 sentiment_change"), "feats"))
+def stream_refreshed(spark, d):
+    """Features kept by a refresh that takes the items in three batches, each with items of any day (R1, V10). Lines of one number are items each."""
+    rows, last = items(spark, d).withColumn("doc_id", F.monotonically_increasing_id()), panel.last_day(spark, d)
+    base = f"{shared_dir(spark)}/tidemark/refresh-{uuid.uuid4().hex}"
+    rows.repartition(3, "doc_id").write.parquet(f"{base}/arriving")
+    store = refresh.Store(f"{base}/store", last - datetime.timedelta(C.HISTORY_DAYS + C.LOOKBACK_DAYS - 1), last)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/arriving")
+    refresh.follow(stream, panel.universe(spark, d), store, f"{base}/state").awaitTermination()
+    return shown(store.table(spark, "features", feats(spark, d).schema), *KEY.split(), "last_observed_date", "freshness_days", "available", "abnormal_z", "activity7", "accel_z", "sentiment7", "sentiment_change")

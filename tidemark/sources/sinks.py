@@ -22,8 +22,8 @@ def insert_ignore(target: DataFrame, rows: DataFrame, key: list[str]) -> DataFra
 
 
 def replace_partitions(rows: DataFrame, path: str, by: list[str]) -> None:
-    """Overwrite only the partitions that ``rows`` has, so a refresh of some days leaves the others."""
-    rows.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    """Overwrite only the partitions that ``rows`` has, so a refresh of some days leaves the others (K3, R1). Small partitions are written by one task each, large ones by as many as their size asks for."""
+    rows.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def replace_all(rows: DataFrame, path: str) -> None:

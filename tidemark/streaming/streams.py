@@ -1,4 +1,4 @@
-"""Structured Streaming forms: tumbling and sliding windows, deduplication, refractory events, incremental refresh."""
+"""Structured Streaming forms: tumbling and sliding windows, deduplication, refractory events."""
 
 from __future__ import annotations
 
@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
 from tidemark.sources.shared import shared_dir
-from tidemark.sources.sinks import replace_partitions
 
 EVENT = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -72,8 +71,3 @@ def drain(query: DataFrame, mode: str = "append") -> DataFrame:
     run = query.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(write).start()
     run.awaitTermination()
     return spark.read.schema(query.schema).parquet(f"{base}/out").select(*query.columns)
-
-
-def refresh(stream: DataFrame, path: str, checkpoint: str):
-    """Each batch replaces the day partitions it touches, so late data revises only those."""
-    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda batch, _: replace_partitions(batch, path, ["date"])).start()
