@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
@@ -27,11 +27,15 @@ def _later(rows: DataFrame, key: str) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).select("doc_id").join(_first(rows, key).select(F.col("first.doc_id").alias("doc_id")), "doc_id", "left_anti")
 
 
-def _narrow(items: DataFrame) -> DataFrame:
-    """(doc_id, published_at, community, canon, text_key) of the items; text_key is null for texts that aren't compared."""
+def narrow(items: DataFrame, *more) -> DataFrame:
+    """(doc_id, published_at, community, canon, text_key) and ``more`` of the items; text_key is null for texts that aren't compared."""
     norm = X.normalised(F.col("text"))
     canon = X.canonical_url(F.col("url"))
-    return items.select("doc_id", "published_at", "community", F.when(~canon.rlike(OWN_PAGES), canon).alias("canon"), F.when(F.char_length(norm) >= MIN_CHARS, F.sha2(norm.cast("binary"), 256)).alias("text_key"))
+    return items.select("doc_id", "published_at", "community", F.when(~canon.rlike(OWN_PAGES), canon).alias("canon"), F.when(F.char_length(norm) >= MIN_CHARS, F.sha2(norm.cast("binary"), 256)).alias("text_key"), *more)
+
+
+def fingerprint() -> Column:
+    return X.simhash(F.col("text")).alias("fp")
 
 
 def _written(rows: DataFrame, name: str) -> DataFrame:
@@ -55,7 +59,7 @@ def exact_statuses(items: DataFrame) -> DataFrame:
     crosspost elsewhere; links to a community's own discussion pages don't count. Of the others, normalised texts of at least 12 characters seen before are
     duplicate_exact. Items without a URL or with a short text pass the stage.
     """
-    return items.join(_exact(_written(_narrow(items), "narrow")), "doc_id", "left")
+    return items.join(_exact(_written(narrow(items), "narrow")), "doc_id", "left")
 
 
 def candidate_pairs(items: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -103,10 +107,9 @@ def statuses(items: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     it. An author's second and later exact or near duplicate is a bot_repeat.
     """
     shared_dir(items.sparkSession)  # sets a checkpoint folder where there is none
-    rows = _narrow(items).checkpoint()
+    rows = _written(narrow(items, "author_hash", fingerprint()), "narrow")
     exact = _exact(rows).checkpoint()
-    open_ = rows.where(F.col("text_key").isNotNull()).select("doc_id", "published_at").join(exact, "doc_id", "left_anti")
-    open_ = items.select("doc_id", "text").join(open_, "doc_id").select("doc_id", "published_at", X.simhash(F.col("text")).alias("fp")).checkpoint()
+    open_ = rows.where(F.col("text_key").isNotNull()).select("doc_id", "published_at", "fp").join(exact, "doc_id", "left_anti").checkpoint()
     nodes = _first(open_, "fp").select("fp", "first.*")
     edges = candidate_pairs(nodes.select("fp"), max_bits).join(nodes.select("fp", F.col("published_at").alias("t"), F.col("doc_id").alias("d")), "fp").join(nodes.select(F.col("fp").alias("fp2"), F.col("published_at").alias("t2"), F.col("doc_id").alias("d2")), "fp2")
     edges = edges.where((F.col("t2") < F.col("t")) | ((F.col("t2") == F.col("t")) & (F.col("d2") < F.col("d")))).select("fp", "fp2").checkpoint()
@@ -114,7 +117,7 @@ def statuses(items: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     kept = nodes.join(dropped(edges), "fp", "left_anti").select("doc_id")
     near = open_.select("doc_id").join(kept, "doc_id", "left_anti").select("doc_id", F.lit("near_duplicate").alias("status"))
     found = exact.union(near)
-    x = items.select("doc_id", "published_at", "author_hash").join(found, "doc_id", "left").checkpoint()
+    x = rows.select("doc_id", "published_at", "author_hash").join(found, "doc_id", "left").checkpoint()
     flagged = x.where(F.col("status").isin("duplicate_exact", "near_duplicate"))
     bots = _later(flagged, "author_hash").select("doc_id", F.lit("bot_repeat").alias("bot"))
     return x.join(bots, "doc_id", "left").select("doc_id", F.coalesce("bot", "status", F.lit("unique")).alias("status"), "author_hash")

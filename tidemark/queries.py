@@ -499,16 +499,20 @@ def lang_detect(spark, d):
     return shown(panel.table(spark, d, "documents").select("doc_id", X.language(F.col("text")).alias("x")).select("doc_id", "x.lang", "x.confidence"))
 
 
-def _items(spark: SparkSession, d: str) -> DataFrame:
+def _as_items(x: DataFrame) -> DataFrame:
     """Documents as text items in order of id; source as author and language as community.
 
     A fifth has no URL, a fifth one of 97 with tracking parameters, a fifth a discussion page of their own.
     """
-    x, i = panel.table(spark, d, "documents"), F.col("doc_id")
+    i = F.col("doc_id")
     url = F.when(i % 5 == 1, F.concat(F.lit("https://www.example.org/a/"), i % 97, F.lit("/?utm_source=x"))).when(i % 5 == 2, F.concat(F.lit("https://old.reddit.com/r/x/"), i % 7)).when(i % 5 > 2, F.concat(F.lit("http://m.example.com/item?b="), i))
     return x.select("doc_id", url.alias("url"), F.col("lang").alias("community"), F.col("source").alias("author_hash"), "text", F.timestamp_seconds("doc_id").alias("published_at"))
 
 
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return _as_items(panel.table(spark, d, "documents"))
+
+
 _STAGES = f"""with n as (select doc_id, lang, {_NORM} as norm, case when doc_id % 5 = 1 then doc_id % 97 when doc_id % 5 > 2 then doc_id + 1000 end as link from documents),
     u as (select *, link is not null and row_number() over (partition by link order by doc_id) > 1 as later, first_value(lang) over (partition by link order by doc_id) as first_lang from n),
     e as (select doc_id, row_number() over (partition by norm order by doc_id) > 1 as again from u where not later and length(norm) >= 12)
@@ -843,12 +847,12 @@ def document_pipeline(spark, d):
 
 @query(f"select ts::date as date, event_type, count(*) as n, {O.r6('sum(value)')} as value from events group by all")
 def stream_tumbling(spark, d):
-    return shown(streams.drain(streams.tumbling(streams.events(spark, d)), "complete"))
+    return shown(streams.drain(streams.tumbling(streams.closed(streams.events(spark, d), panel.table(spark, d, "events")))))
 
 
 @query("select (ts::date + k::int)::date as date, event_type, count(*) as n from events cross join range(7) r(k) group by all")
 def stream_sliding(spark, d):
-    return streams.drain(streams.sliding(streams.events(spark, d)), "complete").select("date", "event_type", "n")
+    return streams.drain(streams.sliding(streams.closed(streams.events(spark, d), panel.table(spark, d, "events")))).select("date", "event_type", "n")
 
 
 @query("select user_id, event_type from events group by all")
@@ -875,3 +879,10 @@ def stream_refreshed(spark, d):
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/arriving")
     refresh.follow(stream, panel.universe(spark, d), store, f"{base}/state").awaitTermination()
     return shown(store.table(spark, "features", feats(spark, d).schema), *KEY.split(), "last_observed_date", "freshness_days", "available", "abnormal_z", "activity7", "accel_z", "sentiment7", "sentiment_change")
+
+
+@query()
+def stream_flagged(spark, d):
+    """Documents as a stream, each with its status within its language, near copies included (R4); held against the batch form in the tests."""
+    documents_ = spark.readStream.schema(panel.table(spark, d, "documents").schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/documents.parquet*")
+    return streams.drain(streams.flagged(_as_items(documents_), scope="community")).select(F.col("scope").alias("lang"), "doc_id", "status")

@@ -8,8 +8,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tidemark.operators import dedupe
 from tidemark.sources.shared import shared_dir
 
 EVENT = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -20,13 +21,23 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(EVENT).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def closed(stream: DataFrame, rows: DataFrame, days: int = 60) -> DataFrame:
+    """``stream`` and one more event, ``days`` after the last of ``rows``: the watermark passes all windows before it, so that they are put out and their state goes."""
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/tidemark/closing-{uuid.uuid4().hex}"
+    last = rows.agg((F.max("ts").cast("timestamp") + F.make_dt_interval(F.lit(days))).alias("ts"))
+    nulls = {f.name: F.lit(None).cast(f.dataType) for f in stream.schema if f.name != "ts"}
+    last.select(*[F.col("ts") if c == "ts" else nulls[c].alias(c) for c in stream.columns]).write.parquet(path)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(path))
+
+
 def tumbling(stream: DataFrame, late: str = "2 days") -> DataFrame:
-    """R2."""
+    """R2: a day's row comes once the watermark has passed it."""
     return stream.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("w.start").cast("date").alias("date"), "event_type", "n", "value")
 
 
 def sliding(stream: DataFrame, late: str = "2 days") -> DataFrame:
-    """R3."""
+    """A window's row comes once the watermark has passed it."""
     return stream.withWatermark("ts", late).groupBy(F.window("ts", "7 days", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.to_date(F.col("w.end") - F.expr("interval 1 day")).alias("date"), "event_type", "n")
 
 
@@ -35,39 +46,133 @@ def first_seen(stream: DataFrame, key: list[str], late: str = "40 days") -> Data
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(key)
 
 
-def refractory(stream: DataFrame, days: int = 7, late: str = "40 days") -> DataFrame:
-    """An event of a key is emitted if none was within ``days`` days before; one value of state for each key, dropped after its time."""
+class _Refractory(StatefulProcessor):
+    """The day of a key's last event; a timer drops it once no event can be within its time any more."""
+
+    def __init__(self, days: int):
+        self.days = days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "day long")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802
+        last = self.last.get()[0] if self.last.exists() else None
         kept = []
-        for ts in sorted(t for b in batches for t in b["ts"]):
+        for ts in sorted(t for b in rows for t in b["ts"]):
             day = ts.date().toordinal()
-            if last is None or day - last > days:
+            if last is None or day - last > self.days:
                 kept.append(ts)
                 last = day
-        if last is not None:
-            state.update((last,))
-            mark = state.getCurrentWatermarkMs()
-            state.setTimeoutTimestamp(max(mark + 1, (last + days + 1 - 719163) * 86_400_000))
         if kept:
+            self.last.update((last,))
+            self.handle.registerTimer((last + self.days + 1 - 719163) * 86_400_000)
             yield pd.DataFrame({"user_id": key[0], "event_type": key[1], "ts": kept})
 
-    return stream.withWatermark("ts", late).groupBy("user_id", "event_type").applyInPandasWithState(step, "user_id long, event_type string, ts timestamp", "last long", "append", "EventTimeTimeout")
+    def handleExpiredTimer(self, key: tuple, timers, expired) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802
+        # an event taken since has a timer of its own
+        if self.last.exists() and (self.last.get()[0] + self.days + 1 - 719163) * 86_400_000 <= expired.getExpiryTimeInMs():
+            self.last.clear()
+        return iter([])
 
+    def close(self) -> None:
+        pass
 
-def drain(query: DataFrame, mode: str = "append") -> DataFrame:
+
+def _rocksdb(spark: SparkSession) -> None:
+    """Streams with state variables need a state store with column families."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def refractory(stream: DataFrame, days: int = 7, late: str = "40 days") -> DataFrame:
+    """An event of a key is emitted if none was within ``days`` days before; one value of state for each key, dropped after its time."""
+    _rocksdb(stream.sparkSession)
+    return stream.withWatermark("ts", late).groupBy("user_id", "event_type").transformWithStateInPandas(_Refractory(days), "user_id long, event_type string, ts timestamp", "Append", "EventTime")
+
+
+class _Flagging(StatefulProcessor):
+    """Duplicate status of a scope's items in their order; each state variable is keyed, so that an item reads what it may repeat and no more.
+
+    Of ``max_bits`` + 1 parts of a fingerprint, two that differ in at most ``max_bits`` bits have one equal at
+    least; retained fingerprints are listed under each of their parts.
+    """
+
+    def __init__(self, max_bits: int, ttl_ms: int | None):
+        self.max_bits, self.ttl_ms = max_bits, ttl_ms
+        edges = [64 * i // (max_bits + 1) for i in range(max_bits + 2)]
+        self.parts = [(a, (1 << (b - a)) - 1) for a, b in zip(edges, edges[1:])]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        keyed = lambda name, key, value: handle.getMapState(name, key, value, self.ttl_ms)
+        self.urls = keyed("urls", "canon string", "community string")
+        self.texts = keyed("texts", "text_key string", "seen boolean")
+        self.retained = keyed("retained", "part int, bits long", "fps array<long>")
+        self.flagged = keyed("flagged", "author string", "seen boolean")
+
+    def _near(self, fp: int) -> bool:
+        """Whether ``fp`` is near a retained fingerprint; if it isn't, it is retained."""
+        lists = []
+        for i, (shift, mask) in enumerate(self.parts):
+            key = (i, (fp >> shift) & mask)
+            fps = list(self.retained.getValue(key)[0]) if self.retained.containsKey(key) else []
+            if any(((fp ^ x) & (1 << 64) - 1).bit_count() <= self.max_bits for x in fps):
+                return True
+            lists.append((key, fps))
+        for key, fps in lists:
+            self.retained.updateValue(key, ([*fps, fp],))
+        return False
+
+    def _status(self, r) -> str:  # noqa: ANN001
+        if r.canon is not None:
+            if self.urls.containsKey((r.canon,)):
+                return "duplicate_url" if self.urls.getValue((r.canon,))[0] == r.community else "crosspost"
+            self.urls.updateValue((r.canon,), (r.community,))
+        if r.text_key is None:
+            return "unique"
+        if self.texts.containsKey((r.text_key,)):
+            return "duplicate_exact"
+        self.texts.updateValue((r.text_key,), (True,))
+        return "near_duplicate" if self._near(int(r.fp)) else "unique"
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802
+        batch = pd.concat([b.astype({"fp": object}) for b in rows], ignore_index=True).sort_values(["published_at", "doc_id"], kind="stable")
+        batch = batch.astype(object).where(batch.notna(), None)
+        out = []
+        for r in batch.itertuples(index=False):
+            status = self._status(r)
+            if status in ("duplicate_exact", "near_duplicate") and r.author_hash is not None:
+                if self.flagged.containsKey((r.author_hash,)):
+                    status = "bot_repeat"
+                else:
+                    self.flagged.updateValue((r.author_hash,), (True,))
+            out.append((*key, r.doc_id, r.published_at, status))
+        yield pd.DataFrame(out, columns=["scope", "doc_id", "published_at", "status"])
+
+    def close(self) -> None:
+        pass
+
+
+def flagged(stream: DataFrame, scope: str = "source", max_bits: int = dedupe.MAX_BITS, ttl_ms: int | None = None) -> DataFrame:
+    """Every item with its duplicate status, near copies included: (scope, doc_id, published_at, status).
+
+    ``stream`` has doc_id, published_at, url, community, text, author_hash and the column ``scope``, within
+    which items are compared. Items that arrive in order of publication, in whatever batches, get the statuses
+    of the batch form; in one batch they are put in order. Texts stay in the JVM: keys and fingerprints travel.
+    With ``ttl_ms`` what an item may repeat is forgotten after that time. A null text or URL repeats nothing.
+    """
+    _rocksdb(stream.sparkSession)
+    rows = dedupe.narrow(stream, F.col(scope).cast("string").alias("scope"), "author_hash", dedupe.fingerprint())
+    return rows.groupBy("scope").transformWithStateInPandas(_Flagging(max_bits, ttl_ms), "scope string, doc_id long, published_at timestamp, status string", "Append", "None")
+
+
+def drain(query: DataFrame) -> DataFrame:
     """Run a stream over what is there and return what it wrote: a table in the shared folder, its state beside it."""
     spark = query.sparkSession
     base = f"{shared_dir(spark)}/tidemark/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         # a batch that is repeated after a failure replaces what it wrote
-        batch.write.mode("overwrite").parquet(f"{base}/out" if mode == "complete" else f"{base}/out/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
-    run = query.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(write).start()
+    run = query.writeStream.outputMode("append").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(write).start()
     run.awaitTermination()
     return spark.read.schema(query.schema).parquet(f"{base}/out").select(*query.columns)
