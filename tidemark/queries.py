@@ -6,7 +6,7 @@ import datetime
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -454,7 +454,7 @@ from tidemark.config import ViewQuery  # noqa: E402
 from tidemark.functions import text as X  # noqa: E402
 from tidemark.operators import classify, dedupe, resolve  # noqa: E402
 from tidemark.plans import views  # noqa: E402
-from tidemark.sources import sinks  # noqa: E402
+from tidemark.sources import paged, providers, sinks  # noqa: E402
 from tidemark.sources.shared import shared_dir  # noqa: E402
 from tidemark.streaming import refresh, streams  # noqa: E402
 
@@ -886,3 +886,23 @@ def stream_flagged(spark, d):
     """Documents as a stream, each with its status within its language, near copies included (R4); held against the batch form in the tests."""
     documents_ = spark.readStream.schema(panel.table(spark, d, "documents").schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/documents.parquet*")
     return streams.drain(streams.flagged(_as_items(documents_), scope="community")).select(F.col("scope").alias("lang"), "doc_id", "status")
+
+
+# Paged sources
+
+
+@query("select event_id::varchar as external_id, event_type as title, ts::date as date, round(value, 6) as score from events where ts::date >= (select max(ts)::date - 9 from events) and event_type <> 'click'")
+def paged_search(spark, d):
+    """Events as recorded pages of search hits, 100 a page, read back window by window over their last ten days."""
+    x = panel.table(spark, d, "events").withColumn("day", F.col("ts").cast("date"))
+    types, (first, last) = [r[0] for r in x.select("event_type").distinct().collect()], x.agg(F.min("day"), F.max("day")).first()
+    hit = F.struct(F.col("event_id").cast("string").alias("objectID"), F.col("event_type").alias("title"), F.col("user_id").cast("string").alias("author"), F.col("value").alias("points"), F.lit(0.0).alias("num_comments"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("created_at_i"))
+    window = Window.partitionBy("event_type", "day")
+    numbered = x.select(F.col("event_type").alias("entity"), "day", hit.alias("hit"), F.floor((F.row_number().over(window.orderBy("event_id")) - 1) / 100).cast("int").alias("page"), F.ceil(F.count("*").over(window) / 100).alias("nbPages"))
+    pages = numbered.groupBy("entity", "day", "page").agg(F.to_json(F.struct(F.collect_list("hit").alias("hits"), F.first("page").alias("page"), F.first("nbPages").alias("nbPages"))).alias("json"))
+    base = f"{shared_dir(spark)}/tidemark/recorded-{uuid.uuid4().hex}"
+    pages.write.partitionBy("entity", "day").parquet(base)
+    source = paged.paged("recorded_search", paged.Recorded(base, last), paged.by_number)
+    raw = paged.read_pages(spark, source, types, first, last).where((F.col("since") >= F.lit(last - datetime.timedelta(9))) & (F.col("entity") != "click"))
+    found = providers.parse_search_hits(raw, "salt")
+    return found.select("external_id", "title", F.col("published_at").cast("date").alias("date"), F.round("engagement.score", 6).alias("score"))
