@@ -61,3 +61,21 @@ def test_clashing_columns(spark):
     rows = [(1, f"<p>{LONG}</p>", "a", "b", "c"), (1, f"<p>{LONG}</p>", "a", "b", "c")]
     got = html.extract(spark.createDataFrame(rows, "page_id long, html string, found string, TEXT string, N_Chars string"))
     assert got.columns == ["page_id", "found", "text", "n_chars", "n_blocks"] and [r.text for r in got.collect()] == [LONG, LONG]
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a \"", "<a 'x' \"y\" ", "<a \"'\" ", "<div>", "<div></b>", "</section><p>", "<canvas>", "<!-", "<a href='", "<li><ul>", "&amp", "<a x=\"1\" <"])
+def test_broken_pages_take_linear_time(piece):
+    begin = time.time()
+    html.main_text(f"<article><p>{LONG}</p>" + piece * (1_000_000 // len(piece)) + "</article>")
+    assert time.time() - begin < 20
+
+
+def test_a_list_of_links_does_not_decide_the_end_of_an_article():
+    page = f"<article><p>{LONG}</p><ul><li><a href=x>See the first source of this claim here</a></li></ul><p>End of it.</p></article>"
+    assert html.main_text(page)[0] == f"{LONG}\nEnd of it."
+
+
+def test_openings_without_an_end_are_text():
+    assert html.main_text("<p>if a <b and c</p>")[0] == "if a"
+    assert html.main_text("<p>one <a 'x</p><p>two")[0].startswith("one <a 'x")
+    assert html.main_text("a < b <c")[0] == "a < b <c"

@@ -12,6 +12,7 @@ blocks are main text.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 from typing import NamedTuple
 
@@ -48,7 +49,8 @@ STOP_WORDS = set(
 )
 
 SHORT, LONG, LINKED, FEW_LINKS, DENSE = 70, 140, 0.5, 0.1, 0.15
-TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+SPECIAL = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: Last parts of a class or id that say only that it is a box; first parts that say what an element has or lacks.
@@ -104,6 +106,51 @@ def hinted(name: str, attributes: str, region: int = 0) -> tuple[int, int]:
     return by_class, other
 
 
+class _Tokens:
+    """Comments, declarations and tags of a page, in order, in time that grows in proportion to it.
+
+    A tag ends at the first ``>`` outside quotes; an opening without one is text. Where such a search has failed
+    no later one goes again: it would fail too.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.bare, self.failed = html, len(html) + 1, set()
+        self.last = {q: html.rfind(q) for q in "\"'"}
+
+    def _end(self, at: int) -> int:
+        """The place after the tag whose attributes begin at ``at``; -1 if it has no end."""
+        seen = []
+        while at < self.bare:
+            found = SPECIAL.search(self.html, at)
+            if found is None:
+                self.bare = at
+                break
+            q = found.start()
+            if found[0] == ">":
+                return q + 1
+            seen.append(q)
+            if q in self.failed or self.last[found[0]] <= q:
+                break
+            at = self.html.index(found[0], q + 1) + 1
+        self.failed.update(seen)
+        return -1
+
+    def after(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, closing, name, attributes) of the next token from ``at``; name is empty for what is no tag."""
+        html = self.html
+        while (i := html.find("<", at)) >= 0:
+            if html.startswith("<!--", i):
+                close = html.find("-->", i + 4)
+                return i, close + 3 if close >= 0 else len(html), False, "", ""
+            if html.startswith(("<!", "<?"), i):
+                close = html.find(">", i + 2)
+                return i, close + 1 if close >= 0 else len(html), False, "", ""
+            if (tag := NAME.match(html, i)) and (end := self._end(tag.end())) >= 0:
+                return i, end, bool(tag[1]), tag[2].lower(), html[tag.end() : end - 1]
+            at = i + 1
+        return None
+
+
 def cut_blocks(html: str) -> list[tuple[str, int, bool, int, int, bool]]:
     """(text, characters in links, in boilerplate, region, lean, in a list) of the page's blocks, in order; region and lean 0 are outside all.
 
@@ -116,6 +163,13 @@ def cut_blocks(html: str) -> list[tuple[str, int, bool, int, int, bool]]:
     link, regions, leans, breaks, at = False, 0, 0, 0, 0
     unclosed: set[str] = set()  # elements with no end tag further on
 
+    opened: Counter = Counter()  # elements on the stack, by name
+
+    def drop() -> str:
+        name = stack.pop()[0]
+        opened[name] -= 1
+        return name
+
     def tidy(pieces: list[str]) -> str:
         text = "".join(pieces)
         return " ".join((unescape(text) if "&" in text else text).split())
@@ -123,7 +177,7 @@ def cut_blocks(html: str) -> list[tuple[str, int, bool, int, int, bool]]:
     def end() -> None:
         if parts:
             if text := tidy(parts):
-                out.append((text, len(tidy(links)) if links else 0, stack[-1][1] or stack[-1][2], *stack[-1][3:], any(e[0] in ("li", "dd", "dt") for e in stack)))
+                out.append((text, len(tidy(links)) if links else 0, stack[-1][1] or stack[-1][2], *stack[-1][3:], any(opened[e] for e in ("li", "dd", "dt"))))
             parts.clear()
         links.clear()
 
@@ -136,19 +190,19 @@ def cut_blocks(html: str) -> list[tuple[str, int, bool, int, int, bool]]:
             if not text.isspace():
                 breaks = 0
 
+    tokens, blocks_end = _Tokens(html), False
     while True:
-        found = TOKEN.search(html, at)
+        found = tokens.after(at)
         if found is None:
             say(html[at:])
             break
-        say(html[at : found.start()])
-        at = found.end()
-        name = (found[2] or "").lower()
+        start, stop, closing, name, attributes = found
+        say(html[at:start])
+        at = stop
         if not name:
             continue
-        closing = bool(found[1])
         if name in RAW and not closing:
-            if not found[3].endswith("/"):
+            if not attributes.endswith("/"):
                 close = None if name in unclosed else re.compile(rf"</{re.escape(name)}(?=[\s/>]|$)[^>]*>?", re.I).search(html, at)
                 if close:
                     at = close.end()
@@ -157,7 +211,8 @@ def cut_blocks(html: str) -> list[tuple[str, int, bool, int, int, bool]]:
                 else:  # of others only the tag is skipped; what else a head may hold has no text
                     unclosed.add(name)
                     if name in NOT_TEXT:
-                        block = BLOCK_TAG.search(html, at)
+                        block = None if blocks_end else BLOCK_TAG.search(html, at)
+                        blocks_end = block is None
                         at = block.start() if block else at
             continue
         if name == "a":
@@ -168,24 +223,24 @@ def cut_blocks(html: str) -> list[tuple[str, int, bool, int, int, bool]]:
                 end()
             else:
                 parts.append(" ")
-        elif name in BLOCK or (not closing and name not in VOID and found[3] and any(hinted(name, found[3], stack[-1][3]))) or (closing and any(e[0] == name for e in stack)):
+        elif name in BLOCK or (not closing and name not in VOID and attributes and any(hinted(name, attributes, stack[-1][3]))) or (closing and opened[name]):
             end()
             breaks = 0
             if closing:
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-                if depth:
-                    del stack[depth:]
+                if opened[name]:
+                    while drop() != name:
+                        pass
                     link = link and name not in ("p", "li", "td", "nav", "ul", "article")
             elif name not in VOID:
                 if stack[-1][0] in CLOSED_BY_BLOCK and name in BLOCK:
-                    stack.pop()
+                    drop()
                 if name == "li" and stack[-1][0] == "li":
-                    stack.pop()
+                    drop()
                 _, bad, by_class, region, lean = stack[-1]
                 if name in REGIONS and not region:
                     regions += 1
                     region = regions
-                own, other = hinted(name, found[3], region) if found[3] else (0, 0)
+                own, other = hinted(name, attributes, region) if attributes else (0, 0)
                 if name in REGIONS:
                     lean = 0
                     by_class = by_class and name != "main"
@@ -193,6 +248,7 @@ def cut_blocks(html: str) -> list[tuple[str, int, bool, int, int, bool]]:
                     leans += 1
                     lean = leans
                 bad = bad or name in BOILERPLATE or (name in LOOSE and not region) or other == FIRM
+                opened[name] += 1
                 stack.append((name, bad, by_class or own == FIRM, region, lean))
     end()
     return out
@@ -228,7 +284,7 @@ def classify(html: str | None) -> list[Block]:
             region = blocks[i][3:5]
             if labels[i][0] is None:
                 near[i] = last.get(region)
-            elif labels[i][1] != "place":
+            elif labels[i][1] != "place" and not (labels[i][1] == "links" and region[0]):  # a list of links in an article says nothing of what is beside it
                 last[region] = (i, labels[i][0])
         sides.append(near)
     out = []
