@@ -1,3 +1,4 @@
+import base64
 import gzip
 import hashlib
 import io
@@ -98,3 +99,41 @@ def test_each_byte_of_a_long_record_is_read_once():
     assert warc.parse(found[0][1])[:3] == (7, len(body), sha(body)) and stream.taken <= 1.05 * len(data)
     with pytest.raises(ValueError):
         list(warc.members(Counted(data[: 1 << 20]), 1 << 20, 0, 100))
+
+
+def foreign():
+    """An archive by another writer: other types, header orders, digests, long and folded headers."""
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n"
+    body = b"<p>foreign</p>"
+    sha1 = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    put = lambda head, block: ("\r\n".join(["WARC/1.0", *head, f"Content-Length: {len(block)}"])).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    return [
+        put(["WARC-Filename: a.warc.gz", "WARC-Type: warcinfo", "WARC-Record-ID: <urn:uuid:1>", "Content-Type: application/warc-fields"], b"software: x\r\n\r\nmore"),
+        put(["WARC-Target-URI: http://a/" + "x" * 5000, "WARC-Record-ID: <urn:uuid:2>", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{sha1}", "WARC-Type: response"], http + body),
+        put(["warc-type: request", "WARC-Record-ID: <urn:uuid:3>", "Content-Type: application/http;msgtype=request"], b"GET / HTTP/1.1\r\n\r\n"),
+        put(["WARC-Type: metadata", "WARC-Record-ID:", " <urn:uuid:4>", "WARC-Payload-Digest: blake3:zz"], b""),
+        put(["WARC-Type: revisit", "WARC-Refers-To: <urn:uuid:2>", f"WARC-Payload-Digest: sha256:{sha(body)}"], b""),
+    ]
+
+
+def test_records_of_other_writers(tmp_path):
+    records = foreign()
+    data = b"".join(warc._member(r) for r in records)
+    assert b"WARC-Type" not in records[1][:5000]
+    want = [("warcinfo", 19, sha(b"software: x\r\n\r\nmore")), ("response", 14, sha(b"<p>foreign</p>")), ("request", 0, sha(b"")), ("metadata", 0, sha(b"")), ("revisit", None, sha(b"<p>foreign</p>"))]
+    for step in (1, 33, 400, len(data)):
+        found = [warc.parse(c) for s in range(0, len(data), step) for _, c in warc.members(io.BytesIO(data), len(data), s, min(s + step, len(data)))]
+        assert [(r[3], r[1], r[2]) for r in found] == want and all(r[0] is None and r[4] is None for r in found), step
+    assert found[1][5] == "http://a/" + "x" * 5000
+
+
+def test_nothing_is_passed_over():
+    a, b = (warc._member(warc.record(i, "u", b"x" * 50, sha(b"x" * 50), None, False)) for i in (1, 2))
+    for data in (a + warc._member(b"no record") + b, a + b"junk" + b, b"junk" + a, a + b + b"\0\0"):
+        for step in (len(data), len(a)):
+            with pytest.raises(ValueError, match="no record at byte"):
+                for s in range(0, len(data), step):
+                    list(warc.members(io.BytesIO(data), len(data), s, min(s + step, len(data))))
+    for wrong in (warc.record(1, "u", b"x", sha(b"y"), None, False), warc.record(1, "u", b"x", sha(b"x"), None, False).replace(b"WARC-Type: response", b"X: y"), warc.record(1, "u", b"xyz", sha(b"xyz"), None, False)[:-6]):
+        with pytest.raises(ValueError, match="record <urn:page:1>"):
+            warc.parse(wrong)

@@ -7,7 +7,9 @@ reading past the range's end to complete the last one.
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -25,6 +27,8 @@ MIN_REVISIT_BYTES = 100
 SPLIT_BYTES, STEP, LEVEL = 8 << 20, 1 << 20, 3
 DATE = "2000-01-01T00:00:00Z"
 MAGIC = b"\x1f\x8b\x08"
+#: How a record begins: its version and the name of a first header, whichever that is.
+BEGIN = re.compile(rb"WARC/\d+\.\d+\r\n[!-9;-~]+[ \t]*:")
 #: Bytes that a member's head is looked for in, and bytes fed to the inflater at a time.
 HEAD, PIECE = 4096, 1 << 14
 SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, archive string, archive_offset long"
@@ -39,9 +43,10 @@ def _urn(page_id: int | None) -> str:
     return f"<urn:page:{'null' if page_id is None else page_id}>"
 
 
-def _page(urn: str) -> int | None:
-    found = urn.removeprefix("<urn:page:").removesuffix(">")
-    return None if found == "null" else int(found)
+def _page(urn: str | None) -> int | None:
+    """The page_id in a record's name; null in names that others gave."""
+    found = re.fullmatch(r"<urn:page:(-?\d+)>", urn or "")
+    return int(found[1]) if found else None
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
@@ -63,9 +68,10 @@ def _member(data: bytes) -> bytes:
 
 
 def _headers(data: bytes) -> tuple[dict[str, str], bytes]:
+    """Headers up to the first empty line, in whatever order and number, and what follows; folded lines are joined."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    pairs = (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])
-    return {k.strip().lower(): v.strip() for k, _, v in pairs}, rest
+    lines = re.sub(r"\r\n[ \t]+", " ", head.decode("utf-8", "replace")).split("\r\n")[1:]
+    return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}, rest
 
 
 def write(pages: DataFrame, directory: str, payload: str = "html", url: str = "url", page_id: str = "page_id", min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
@@ -108,19 +114,19 @@ def write(pages: DataFrame, directory: str, payload: str = "html", url: str = "u
 
 def _begins_record(data: bytes) -> bool:
     try:
-        head = zlib.decompressobj(31).decompress(data, 512)
+        return bool(BEGIN.match(zlib.decompressobj(31).decompress(data, 512)))
     except zlib.error:
         return False
-    return head.startswith(b"WARC/1.") and b"\r\nWARC-Type:" in head
 
 
 def members(stream, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
     """(offset, inflated content) of the members that start in [start, end) of an open archive.
 
     The buffer holds ``STEP`` bytes and is fed to the inflater piece by piece, so time grows in proportion
-    to the archive, however long a record is. A member that is cut short raises.
+    to the archive, however long a record is. A member that is cut short raises, and so does anything but a
+    record at the archive's begin or after a record, so that none is passed over.
     """
-    begin, buffer = start, b""
+    begin, buffer, known = start, b"", start == 0
 
     def have(at: int, n: int) -> memoryview:
         nonlocal begin, buffer
@@ -134,6 +140,8 @@ def members(stream, size: int, start: int, end: int) -> Iterator[tuple[int, byte
     while at < end:
         head = bytes(have(at, HEAD))
         if not head.startswith(MAGIC) or not _begins_record(head):
+            if known:
+                raise ValueError(f"no record at byte {at}")
             found = buffer.find(MAGIC, at - begin + 1)
             # no magic in what is here: go on with its last two bytes, which may begin one
             at = begin + found if found > 0 else max(at + 1, begin + len(buffer) - 2)
@@ -146,19 +154,50 @@ def members(stream, size: int, start: int, end: int) -> Iterator[tuple[int, byte
             out.append(unpacker.decompress(piece))
             fed += len(piece)
         yield at, b"".join(out)
-        at = fed - len(unpacker.unused_data)
+        at, known = fed - len(unpacker.unused_data), True
+    if known and at < size and not _begins_record(bytes(have(at, HEAD))):  # the next split looks for a record and would pass over this
+        raise ValueError(f"no record at byte {at}")
+
+
+def _hex(digest: str | None) -> tuple[str | None, str | None]:
+    """(algorithm, hexadecimal digits) of a digest header in hexadecimal or base 32; nulls if it is absent or of an unknown algorithm."""
+    name, _, value = (digest or "").partition(":")
+    name = name.lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha256", "sha384", "sha512"):
+        return None, None
+    if len(value) == 2 * hashlib.new(name).digest_size:
+        return name, value.lower()
+    try:
+        return name, base64.b32decode(value.upper() + "=" * (-len(value) % 8)).hex()
+    except ValueError:
+        return None, None
+
 
+def parse(content: bytes) -> tuple[int | None, int | None, str | None, str, int | None, str | None]:
+    """page_id, payload bytes, digest, type, refers_to and URI of a record of any type and writer.
 
-def parse(content: bytes) -> tuple[int | None, int, str, str, int | None, str | None]:
-    """page_id, payload bytes, digest, type, refers_to and URI of a record; a response's digest is checked."""
+    The payload is what follows the HTTP header in blocks of type application/http, else the block; its SHA-256
+    is computed, and a digest in the header, of whatever known algorithm, is checked. Revisits have no payload:
+    their bytes are those of the HTTP header's Content-Length and their digest the header's if it is a SHA-256,
+    else null. page_id and refers_to are null where a name is not one that ``write`` gives.
+    """
     head, block = _headers(content)
-    http, body = _headers(block[: int(head["content-length"])])
-    digest = head["warc-payload-digest"].removeprefix("sha256:")
-    if head["warc-type"] == "revisit":
-        return _page(head["warc-record-id"]), int(http["content-length"]), digest, "revisit", _page(head["warc-refers-to"]), head.get("warc-target-uri")
-    if (own := hashlib.sha256(body).hexdigest()) != digest:
-        raise ValueError(f"record {head['warc-record-id']}: payload digest {own}, header {digest}")
-    return _page(head["warc-record-id"]), len(body), own, "response", None, head.get("warc-target-uri")
+    name = head.get("warc-record-id")
+    if "warc-type" not in head or not head.get("content-length", "").isdigit():
+        raise ValueError(f"record {name}: no WARC-Type or Content-Length")
+    size = int(head["content-length"])
+    if len(block) < size:
+        raise ValueError(f"record {name}: {len(block)} bytes of {size}")
+    kind, body, http = head["warc-type"].lower(), block[:size], {}
+    if head.get("content-type", "").lower().replace(" ", "").startswith("application/http"):
+        http, body = _headers(body)
+    algorithm, given = _hex(head.get("warc-payload-digest"))
+    if kind == "revisit":
+        length = http.get("content-length", "")
+        return _page(name), int(length) if length.isdigit() else None, given if algorithm == "sha256" else None, kind, _page(head.get("warc-refers-to")), head.get("warc-target-uri")
+    if algorithm and (own := hashlib.new(algorithm, body).hexdigest()) != given:
+        raise ValueError(f"record {name}: payload digest {own}, header {given}")
+    return _page(name), len(body), hashlib.sha256(body).hexdigest(), kind, None, head.get("warc-target-uri")
 
 
 def read(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
