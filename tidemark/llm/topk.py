@@ -2,11 +2,13 @@
 
 Each block of candidates keeps, for every component, its values in order of magnitude. A query reads
 each list in turn from its top down to where a value times the query's component falls below a bar, so
-lists are read to different depths: the greater the query's component, the deeper. What has been read
-gives each candidate a lower and an upper bound: an unread value is worth at most what was last read
-from its list, either way. Candidates whose upper bound is below the k-th best lower bound are dropped,
-the bar is lowered, and reading stops when no more than ``RESOLVE`` can still qualify, or the lists end.
-Only then are rows looked at: the final scores of those left are resolved.
+lists are read to different depths: the greater the query's component, the deeper. Depths are those of
+``EDGES``, so that a batch of queries advances together: what lies above an edge of all lists is one
+masked matrix, and the queries that read a list so far are its columns. What has been read gives each
+candidate a lower and an upper bound: an unread value is worth at most the first unread one of its list,
+either way. Candidates whose upper bound is below the k-th best lower bound are out, the bar is lowered,
+and a query stops reading when no more than ``RESOLVE`` can still qualify, or the lists end. Only then
+are rows looked at: the final scores of those left are resolved.
 
 Blocks of candidates meet blocks of queries in tasks; each returns at most k rows a query, which are
 merged. No block grows with the data.
@@ -26,7 +28,10 @@ K, SCALE, EVERY = 10, 1024, 100
 #: once for each block of candidates, so that large blocks keep both few.
 CANDIDATES, QUERIES = 8192, 8192
 #: Candidates (k at least) whose final scores are resolved; the first bar as a share of the largest product; the factor by which it is lowered.
-RESOLVE, START, STEP = 64, 0.06, 0.5
+RESOLVE, START, STEP = 64, 0.03, 0.5
+#: Shares of a list down to which it may be read, and queries that advance together.
+EDGES = (2.0**-12, 2.0**-10, 2.0**-8, 2.0**-5, 0.25, 0.5, 0.7, 0.85, 1.0)
+BATCH = 256
 #: What a long holds.
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
@@ -47,42 +52,65 @@ class Lists:
         # exact in float64 below 2**53, else in Python's integers
         self.values = values[order].astype(np.float64 if 2 * most * most * max(1, values.shape[1]) < 2**53 else object)
         self.n, self.d = values.shape
-        # a list is a row, so that it is read in sequence: whose value, the value, and its size (negated, to be searched)
-        by_list = np.ascontiguousarray(self.values.T)
-        self.order = np.argsort(-np.abs(by_list), axis=1, kind="stable")
-        self.sorted = np.take_along_axis(by_list, self.order, axis=1)
-        self.falling = -np.abs(self.sorted)
+        self.by_list = np.ascontiguousarray(self.values.T)
+        size = np.abs(self.by_list)
+        by_size = np.argsort(-size, axis=1, kind="stable")
+        self.edges = np.unique([0, *(int(np.ceil(share * self.n)) for share in EDGES)])
+        # the first edge below an entry's place, and what the first entry below an edge is worth (0 below the last)
+        self.level = np.empty((self.d, self.n), np.int8)
+        np.put_along_axis(self.level, by_size, np.searchsorted(self.edges, np.arange(self.n), side="right").astype(np.int8)[None], axis=1)
+        self.below = np.zeros((len(self.edges), self.d), self.values.dtype)
+        self.below[:-1] = np.take_along_axis(size, by_size[:, self.edges[:-1]], axis=1).T
         self.read = self.offered = 0
 
+    def _bounds(self, q: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds (queries, n) of the scores after list j is read to edge ``depth[:, j]``."""
+        # sums of integers below 2**24 are exact in float32, in any order
+        exact = self.values.dtype == object or 2 * float((np.abs(q) @ self.below[0]).max()) >= 2**24
+        kind = self.values.dtype if exact else np.float32
+        seen, slack = np.zeros((len(q), self.n), kind), np.zeros((len(q), self.n), kind)
+        for e in np.unique(depth):
+            here = np.where(depth == e, q, 0)
+            if e > 0:
+                seen += here.astype(kind) @ np.where(self.level <= e, self.by_list, 0).astype(kind)
+            if e < len(self.edges) - 1:
+                slack += (np.abs(here) * self.below[e]).astype(kind) @ (self.level > e).astype(kind)
+        return seen - slack, seen + slack
+
+    def tops(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query, ids and scores of the k best other than its own row, ties to smaller ids."""
+        q = queries.astype(self.values.dtype)
+        left = [np.nonzero(self.ids != i)[0] for i in query_ids]
+        going = np.arange(len(q)) if self.n > max(k, RESOLVE) and self.d else np.arange(0)
+        bar = (np.abs(q) * self.below[0]).max(axis=1) * START if len(going) else None
+        while len(going):
+            asked, ends = q[going], len(self.edges) - 1
+            at = np.where(bar[going] < 1, 0, bar[going])[:, None, None]
+            depth = np.minimum((np.abs(asked)[:, None, :] * self.below >= at).sum(axis=1), ends)
+            low, high = self._bounds(asked, depth)
+            own = self.ids == query_ids[going][:, None]
+            low[own] = -np.inf
+            kth = np.partition(low, self.n - k, axis=1)[:, self.n - k]
+            able = (high >= kth[:, None]) & ~own
+            used = asked != 0
+            done = (able.sum(axis=1) <= max(k, RESOLVE)) | ((depth == ends) | ~used).all(axis=1)
+            for row in np.nonzero(done)[0]:
+                left[going[row]] = np.nonzero(able[row])[0]
+                self.read += int(self.edges[depth[row]][used[row]].sum())
+                self.offered += self.n * int(used[row].sum())
+            bar = bar * STEP
+            going = going[~done]
+        return [self._resolved(rows, v, k) for rows, v in zip(left, q, strict=True)]
+
+    def _resolved(self, rows: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        score = self.values[rows] @ q
+        if self.values.dtype == object:
+            score = np.clip(score, LEAST, MOST)
+        best = np.lexsort((self.ids[rows], -score))[:k]
+        return self.ids[rows][best], score[best]
+
     def top(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best other than the query's own row, ties to smaller ids."""
-        q = q.astype(self.values.dtype)
-        used = np.nonzero(q)[0]
-        alive = self.ids != query_id
-        seen = np.zeros(self.n, self.values.dtype)  # sum of what has been read of each candidate
-        unread = np.ones((len(used), self.n), self.values.dtype)
-        depth, weight = [0] * len(used), [abs(q[d]) for d in used]
-        bar = max((w * -self.falling[d, 0] for w, d in zip(weight, used, strict=True)), default=0) * START if self.n else 0
-        while alive.sum() > max(k, RESOLVE) and min(depth, default=self.n) < self.n:
-            last = []  # what an unread value of each list is worth at most
-            for j, d in enumerate(used):
-                to = self.n if bar < 1 else max(depth[j], int(self.falling[d].searchsorted(-(bar / weight[j]))))
-                rows = self.order[d, depth[j] : to]
-                seen[rows] += q[d] * self.sorted[d, depth[j] : to]
-                unread[j, rows] = 0
-                depth[j] = to
-                last.append(weight[j] * -self.falling[d, to] if to < self.n else 0)
-            slack = np.array(last, self.values.dtype) @ unread
-            able = np.nonzero(alive)[0]
-            kth = np.sort(seen[able] - slack[able])[-k]
-            alive[able] = seen[able] + slack[able] >= kth
-            bar *= STEP
-        self.read += sum(depth)
-        self.offered += self.n * len(used)
-        left = np.nonzero(alive)[0]
-        score = np.clip(self.values[left] @ q, LEAST, MOST) if self.values.dtype == object else self.values[left] @ q
-        best = np.lexsort((self.ids[left], -score))[:k]
-        return self.ids[left][best], score[best]
+        return self.tops(np.array([query_id]), q[None], k)[0]
 
 
 def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = K, scale: int = SCALE) -> DataFrame:
@@ -107,11 +135,12 @@ def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(found) and len(asked):
             lists = Lists(found["vec_id"].to_numpy(np.int64), np.stack(found["v"].to_numpy()))
-            for i, v in zip(asked["vec_id"], asked["v"], strict=True):
-                ids, scores = lists.top(i, v, k)
-                out["query_id"] += [i] * len(ids)
-                out["vec_id"] += ids.tolist()
-                out["score"] += [int(s) for s in scores]
+            for at in range(0, len(asked), BATCH):
+                who = asked["vec_id"].to_numpy(np.int64)[at : at + BATCH]
+                for i, (ids, scores) in zip(who.tolist(), lists.tops(who, np.stack(asked["v"].to_numpy()[at : at + BATCH]), k), strict=True):
+                    out["query_id"] += [i] * len(ids)
+                    out["vec_id"] += ids.tolist()
+                    out["score"] += [int(s) for s in scores]
         return pd.DataFrame(out)
 
     key = ["d", "c", "q"]
