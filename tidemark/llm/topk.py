@@ -30,7 +30,7 @@ CANDIDATES, QUERIES = 8192, 8192
 #: Candidates (k at least) whose final scores are resolved; the first bar as a share of the largest product; the factor by which it is lowered.
 RESOLVE, START, STEP = 64, 0.03, 0.5
 #: Shares of a list down to which it may be read, and queries that advance together.
-EDGES = (2.0**-12, 2.0**-10, 2.0**-8, 2.0**-5, 0.25, 0.5, 0.7, 0.85, 1.0)
+EDGES = (2.0**-12, 2.0**-10, 2.0**-8, 2.0**-5, 0.25, 0.45, 0.6, 0.72, 0.82, 0.91, 1.0)
 BATCH = 256
 #: What a long holds.
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
