@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from tidemark.sources.shared import cut, shared_dir
 
 #: SimHash bits that may differ, and characters of normalised text below which nothing is compared.
 MAX_BITS, MIN_CHARS = 3, 12
+#: Parts that a key's rows are dealt into where they look up what their key repeats.
+SALTS = 64
 #: Fixed value: canonical URLs of a community's own discussion pages, which are no shared links.
 OWN_PAGES = r"^[a-z][a-z0-9+.-]*://(reddit\.com/r/|news\.ycombinator\.com/item)"
 
@@ -100,24 +103,93 @@ def dropped(edges: DataFrame) -> DataFrame:
     return gone
 
 
-def statuses(items: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """All three stages and the bot flag: (doc_id, status, author_hash).
+class _Stages(NamedTuple):
+    """What the stages leave: narrow rows; (doc_id, status) of the first two; the rows that reach the third; the first row
+    of each fingerprint there; near fingerprints, the later as fp; fingerprints that repeat a retained one."""
 
-    An item is a near_duplicate only of a retained one, so whether it is retained depends on those before
-    it. An author's second and later exact or near duplicate is a bot_repeat.
-    """
+    rows: DataFrame
+    exact: DataFrame
+    open: DataFrame
+    nodes: DataFrame
+    edges: DataFrame
+    gone: DataFrame
+
+
+def _staged(items: DataFrame, max_bits: int) -> _Stages:
     shared_dir(items.sparkSession)  # sets a checkpoint folder where there is none
     rows = _written(narrow(items, "author_hash", fingerprint()), "narrow")
     exact = _exact(rows).checkpoint()
     open_ = rows.where(F.col("text_key").isNotNull()).select("doc_id", "published_at", "fp").join(exact, "doc_id", "left_anti").checkpoint()
     nodes = _first(open_, "fp").select("fp", "first.*")
-    edges = candidate_pairs(nodes.select("fp"), max_bits).join(nodes.select("fp", F.col("published_at").alias("t"), F.col("doc_id").alias("d")), "fp").join(nodes.select(F.col("fp").alias("fp2"), F.col("published_at").alias("t2"), F.col("doc_id").alias("d2")), "fp2")
+    when = lambda *names: nodes.select(F.col("fp").alias(names[0]), F.col("published_at").alias(names[1]), F.col("doc_id").alias(names[2]))
+    edges = candidate_pairs(nodes.select("fp"), max_bits).join(when("fp", "t", "d"), "fp").join(when("fp2", "t2", "d2"), "fp2")
     edges = edges.where((F.col("t2") < F.col("t")) | ((F.col("t2") == F.col("t")) & (F.col("d2") < F.col("d")))).select("fp", "fp2").checkpoint()
+    return _Stages(rows, exact, open_, nodes, edges, dropped(edges))
+
+
+def statuses(items: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """All three stages and the bot flag: (doc_id, status, author_hash).
+
+    An item is a near_duplicate only of a retained one, so whether it is retained depends on those before
+    it. An author's second and later exact or near duplicate is a bot_repeat.
+    """
+    return _statuses(_staged(items, max_bits))
+
+
+def _statuses(s: _Stages) -> DataFrame:
+    rows, exact, open_, nodes = s.rows, s.exact, s.open, s.nodes
     # a fingerprint seen before repeats a retained item, or what that repeats
-    kept = nodes.join(dropped(edges), "fp", "left_anti").select("doc_id")
+    kept = nodes.join(s.gone, "fp", "left_anti").select("doc_id")
     near = open_.select("doc_id").join(kept, "doc_id", "left_anti").select("doc_id", F.lit("near_duplicate").alias("status"))
     found = exact.union(near)
     x = rows.select("doc_id", "published_at", "author_hash").join(found, "doc_id", "left").checkpoint()
     flagged = x.where(F.col("status").isin("duplicate_exact", "near_duplicate"))
     bots = _later(flagged, "author_hash").select("doc_id", F.lit("bot_repeat").alias("bot"))
     return x.join(bots, "doc_id", "left").select("doc_id", F.coalesce("bot", "status", F.lit("unique")).alias("status"), "author_hash")
+
+
+def _looked_up(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """(doc_id, ...) of ``rows`` with what ``table`` has for their ``key``.
+
+    A key may be that of a third of all rows: each is met in ``SALTS`` parts, and the table only goes to the
+    parts that exist, so that a hot key sends it that many rows and no task all of its own.
+    """
+    salted = rows.select("doc_id", key, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
+    parts = salted.groupBy(key, "salt").agg(F.lit(1).alias("one")).drop("one").join(table, key)
+    return salted.join(parts, [key, "salt"]).drop(key, "salt")
+
+
+def originals(items: DataFrame, near: bool = True, max_bits: int = MAX_BITS) -> DataFrame:
+    """(doc_id, status, duplicate_of, retained): what each duplicate repeats; both null for the unique.
+
+    ``duplicate_of`` is the item that the stage met first: the first with the URL, the first with the text
+    among those that pass the first stage, the earliest retained one with a near fingerprint. That may be a
+    duplicate itself in the first two stages; ``retained`` is the unique item at the end of the chain, never
+    more than three steps away. Without ``near`` the third stage and the bot flag are left out.
+    """
+    if near:
+        s = _staged(items, max_bits)
+        rows, exact, status = s.rows, s.exact, _statuses(s).select("doc_id", "status")
+        kept = s.nodes.join(s.gone, "fp", "left_anti").select(F.col("fp").alias("fp2"), F.struct("published_at", "doc_id").alias("first"))
+        nearest = s.edges.join(s.gone, "fp", "left_semi").join(kept, "fp2").groupBy("fp").agg(F.min("first")["doc_id"].alias("of"))
+        by_print = nearest.union(kept.select("fp2", "first.doc_id"))  # of the same fingerprint the first, where it is retained
+        third = _looked_up(s.open, "fp", by_print).where(F.col("doc_id") != F.col("of")).checkpoint()
+    else:
+        rows = _written(narrow(items), "narrow")
+        exact = _exact(rows).checkpoint()
+        status = rows.select("doc_id").join(exact, "doc_id", "left").select("doc_id", F.coalesce("status", F.lit("unique")).alias("status"))
+        third = rows.select("doc_id", F.col("doc_id").alias("of")).limit(0)
+
+    def traced(firsts: DataFrame, key: str, later: DataFrame) -> DataFrame:
+        """The first row of each key and where its own chain ends; a first row stands for one key, so none is hot."""
+        ends = later.select(F.col("doc_id").alias("of"), F.col("of").alias("end"))
+        return firsts.select(key, F.col("first.doc_id").alias("of")).join(ends, "of", "left").select(key, "of", F.coalesce("end", "of").alias("retained"))
+
+    is_url = F.col("status").isin("duplicate_url", "crosspost")
+    alive = rows.join(exact.where(is_url), "doc_id", "left_anti")
+    second = _looked_up(alive.where(F.col("text_key").isNotNull()), "text_key", traced(_first(alive, "text_key"), "text_key", third)).where(F.col("doc_id") != F.col("of")).checkpoint()
+    third = third.withColumn("retained", F.col("of"))
+    ends = second.union(third).select("doc_id", F.col("retained").alias("of"))
+    first = _looked_up(rows.where(F.col("canon").isNotNull()), "canon", traced(_first(rows, "canon"), "canon", ends)).where(F.col("doc_id") != F.col("of"))
+    found = first.union(second).union(third).withColumnRenamed("of", "duplicate_of")
+    return status.join(found, "doc_id", "left").select("doc_id", "status", "duplicate_of", "retained")

@@ -530,6 +530,21 @@ def near_dedupe(spark, d):
     return dedupe.statuses(_items(spark, d)).select("doc_id", "status")
 
 
+@query(f"""{_STAGES.split("select doc_id, case when later", 1)[0].replace("first_value(lang)", "first_value(doc_id) over (partition by link order by doc_id) as first_doc, first_value(lang)").replace("row_number() over (partition by norm", "first_value(doc_id) over (partition by norm order by doc_id) as same, row_number() over (partition by norm")}
+    select u.doc_id, case when later and lang is not distinct from first_lang then 'duplicate_url' when later then 'crosspost' when e.again then 'duplicate_exact' else 'unique' end as status,
+        case when later then first_doc when e.again then e.same end as duplicate_of, case when later then case when f.again then f.same else first_doc end when e.again then e.same end as retained
+    from u left join e on e.doc_id = u.doc_id left join e as f on f.doc_id = u.first_doc""")
+def exact_originals(spark, d):
+    """What each duplicate of the first two stages repeats, and the item retained at the end of the chain."""
+    return dedupe.originals(_items(spark, d), near=False)
+
+
+@query()
+def near_originals(spark, d):
+    """What each duplicate of all stages repeats; held against a sequential model in the tests."""
+    return dedupe.originals(_items(spark, d))
+
+
 @query("select event_id, 'h' || left(sha256('salt:' || event_type || ':' || user_id), 16) as author from events")
 def author_hash(spark, d):
     return panel.table(spark, d, "events").select("event_id", X.author_hash(F.lit("salt"), F.col("event_type"), F.col("user_id").cast("string")).alias("author"))
@@ -574,6 +589,15 @@ def entity_mentions(spark, d):
     return resolve.mentions(x).select("doc_id", "entity", "relevance", "ambiguous", F.array_join("reasons", ",").alias("reasons"))
 
 
+@query()
+def entity_rejections(spark, d):
+    """Matches by outcome, rejected ones with why, from the table function in SQL; held against a plain scan in the tests."""
+    panel.table(spark, d, "documents").createOrReplaceTempView("resolvable_documents")
+    spark.udtf.register("resolve_entities", resolve.table_function(ENTITIES, CONTEXT))
+    return spark.sql(r"""select doc_id, entity, coalesce(why, 'accepted') as outcome, count(*) as n, min(at) as first_at from resolvable_documents,
+        lateral resolve_entities(substring_index(text, '\n', 1), regexp_replace(text, r'(?s)\A[^\n]*\n?', ''), rejected => true) group by all""")
+
+
 def _lexicon_sql(x: classify.Lexicon) -> str:
     """The classification as list expressions, position by position; phrases are of two tokens and marks of sarcasm alike."""
     of = lambda table: "(case t[i] " + " ".join(f"when '{w}' then {v}" for w, v in table.items()) + " end)"
