@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tidemark import config as C
 from tidemark import oracle as O
 from tidemark.functions import stats as S
-from tidemark.operators import composite, events, features, labels, lab, metrics
+from tidemark.operators import composite, events, features, intervals, lab, labels, metrics
 from tidemark.plans import steps
 from tidemark.sources import panel
 
@@ -153,6 +153,19 @@ def anti_gap_days(spark, d):
     return expected.join(rows.select("entity", "source", "date").distinct(), ["entity", "source", "date"], "left_anti")
 
 
+@query(O.sql("""select entity, source, min(date) as first_day, max(date) as last_day, count(*) as n from (
+        select *, date - row_number() over (partition by entity, source order by date)::int as run from (
+            select u.entity, s.source, d.date from universe u cross join (select distinct source from items) s cross join days d except select entity, source, date from items)) group by entity, source, run""", "universe", "days", "items"))
+def gap_intervals(spark, d):
+    """Spans of days without rows of every entity, by source (S19, U2): the requested span less the runs of collected days."""
+    rows = items(spark, d)
+    n = C.HISTORY_DAYS + C.LOOKBACK_DAYS
+    whole = panel.as_of(spark, d).select(F.date_sub("as_of", n - 1).alias("start"), F.col("as_of").alias("end"))
+    requested = panel.universe(spark, d).select("entity").crossJoin(rows.select("source").distinct()).crossJoin(whole)
+    gaps = intervals.subtracted(requested, intervals.of_days(rows, ["entity", "source"]), ["entity", "source"])
+    return gaps.select("entity", "source", F.col("start").alias("first_day"), F.col("end").alias("last_day"), intervals.n_days().cast("long").alias("n"))
+
+
 def spine_days(spark: SparkSession, d: str) -> DataFrame:
     n = C.HISTORY_DAYS + C.LOOKBACK_DAYS
     return panel.as_of(spark, d).select(F.explode(F.sequence(F.date_sub("as_of", n - 1), F.col("as_of"))).alias("date"))
