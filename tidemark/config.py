@@ -24,6 +24,8 @@ WARM_UP_DAYS, MIN_DATES, MIN_SCENARIO_DATES, CONFIDENCE_FLOORS = 37, 10, 5, (0,
 MIN_CROSS_SECTION, HORIZONS, MIN_GROUP, SPLIT, FOLDS = 20, (1, 5, 10, 20), 6, (0.6, 0.2, 0.2), 4
 BOOTSTRAP_ROUNDS, BOOTSTRAP_BLOCK = 1000, 3
 WINDOWS = (7, 30, 90)
+#: Name and version of the composite model that runs are entered with; another version for other weights or rules.
+COMPOSITE_VERSION = "weighted-composite@1"
 
 
 def component_weights(custom: dict[str, float] | None = None) -> dict[str, float]:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from dataclasses import asdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tidemark import config as C
 from tidemark.functions import draws
 from tidemark.operators import lab
 from tidemark.operators.composite import composite, expected_sources
+from tidemark.plans.ledger import Ledger
 
 #: Features that the sources enter through the composite; only these change when a source is left out.
 COMPOSED = ("alt_signal_score", "attention_score", "sentiment_score", "attention_acceleration", "sentiment_change", "agreement", "divergence")
@@ -115,3 +118,21 @@ def store(tables: dict[str, DataFrame], folder: str, run_id: str) -> None:
     """Each table of a run below ``folder/table/run=...``, so that all runs of a table are one partitioned table."""
     for name, table in tables.items():
         table.write.mode("overwrite").parquet(f"{folder}/{name}/run={run_id}")
+
+
+def keep(ledger: Ledger, tables: dict[str, DataFrame], p: C.LabParams, folder: str, run_id: str | None = None) -> str:
+    """Store a run's tables as ``store`` does and enter it, with its parameters and the rows of each table (K7); the run's id."""
+    with ledger.run("lab", asdict(p), {"composite": C.COMPOSITE_VERSION}, run_id) as kept:
+        for name, table in tables.items():
+            kept.write(table, f"{folder}/{name}/run={kept.id}", {f"{name}.rows": F.count("*")})
+    return kept.id
+
+
+def look_up(ledger: Ledger, folder: str, run_id: str) -> tuple[Row, C.LabParams, dict[str, DataFrame]] | None:
+    """A stored run by its id: its entry, its parameters and its tables (B14); None where there is none that succeeded."""
+    found = ledger.find(run_id)
+    if found is None or found.job != "lab" or found.status != "succeeded":
+        return None
+    p = C.LabParams(**{k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(found.params).items()})
+    names = [n.removesuffix(".rows") for n in found.totals if n.endswith(".rows")]
+    return found, p, {n: ledger.spark.read.parquet(f"{folder}/{n}/run={run_id}") for n in names}
