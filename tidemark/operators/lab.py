@@ -13,7 +13,14 @@ from pyspark.sql import types as T
 from tidemark import config as C
 from tidemark.functions.stats import average_rank, clip, pearson, t_stat, z_cross
 
-FEATURES = ("alt_signal_score", "raw_score", "attention_score", "sentiment_score", "attention_acceleration", "sentiment_change", "agreement", "divergence", "confidence", "anomaly_score", "retail_crowding", "wiki_shock", "search_acceleration")
+#: Features that a run can test (B2), all of alternative data.
+FEATURES = ("alt_signal_score", "attention_score", "sentiment_score", "attention_acceleration", "sentiment_change", "agreement", "divergence", "wiki_shock", "product_divergence", "dev_acceleration", "community_breadth", "retail_crowding", "search_acceleration")
+
+
+def catalogue(signals: DataFrame, features: tuple[str, ...] = FEATURES) -> DataFrame:
+    """(entity, date, feature, value): a row for each feature that is known of an entity on a day (B2)."""
+    wide = signals.select("entity", "date", *[F.col(f).cast("double").alias(f) for f in features])
+    return wide.unpivot(["entity", "date"], list(features), "feature", "value").where("value is not null")
 
 
 def sections(signals: DataFrame, labels: DataFrame, universe: DataFrame, features: dict[str, float], horizon: int, top_rank: int | None = None, sectors: tuple[str, ...] = (), min_confidence: float = 0.0) -> DataFrame:

@@ -115,6 +115,22 @@ def source_status(covered: DataFrame, end: Column, lag: int = 2) -> DataFrame:
     return covered.groupBy("source").agg(F.max("date").alias("latest"), F.count("*").alias("days")).withColumn("state", F.when(F.col("latest") < F.date_sub(end, lag), "stale").otherwise("live"))
 
 
+def source_days(metrics: DataFrame, entity: str, first: Column, last: Column, disabled: tuple[str, ...] = ()) -> DataFrame:
+    """An entity's daily metrics of some days by source, without sources turned off (V5)."""
+    own = metrics.where((F.col("entity") == entity.upper()) & F.col("date").between(first, last))
+    return own.where(~F.col("source").isin(*disabled)) if disabled else own
+
+
+def unused_sources(features: DataFrame, expected: DataFrame, states: DataFrame) -> DataFrame:
+    """(entity, source, state, expected, available) on the last day of the sources that say nothing of an entity: those
+    unavailable, and those expected of it but not available (V14). A source without a state has a null one."""
+    day = features.agg(F.max("date").alias("date"))
+    last = features.join(day, "date", "left_semi").select("entity", "date", "source", F.coalesce("available", F.lit(False)).alias("available"))
+    x = last.join(expected, ["entity", "date"], "left").join(states.select("source", "state"), "source", "left")
+    x = x.withColumn("expected", F.coalesce(F.array_contains("expected", F.col("source")), F.lit(False)))
+    return x.where(F.col("state").eqNullSafe("unavailable") | (F.col("expected") & ~F.col("available"))).select("entity", "source", "state", "expected", "available")
+
+
 TICKER = r"^[A-Za-z.\-]{1,10}$"
 
 

@@ -943,3 +943,138 @@ def paged_search(spark, d):
     raw = paged.read_pages(spark, source, types, first, last).where((F.col("since") >= F.lit(last - datetime.timedelta(9))) & (F.col("entity") != "click"))
     found = providers.parse_search_hits(raw, "salt")
     return found.select("external_id", "title", F.col("published_at").cast("date").alias("date"), F.round("engagement.score", 6).alias("score"))
+
+
+# Runs, quality events, entity build, per-source views
+
+from tidemark.operators import quality  # noqa: E402
+from tidemark.plans import ledger  # noqa: E402
+from tidemark.sources import entities  # noqa: E402
+
+_KEPT = f"source in ({O.T}) and date > (select as_of - {C.RETENTION_DAYS} from last_day) and relevance >= {C.MIN_RELEVANCE}"
+
+
+@query(
+    O.sql(
+        f"""select v.source, n.name, coalesce(case n.name when 'documents' then documents when 'kept' then kept else observations end, 0) as value from (values {", ".join(f"('{s}')" for s in C.SOURCES)}) v(source)
+        cross join (values ('documents'), ('kept'), ('observations')) n(name) left join (select source, count(*) filter (where source in ({O.T})) as documents,
+        count(*) filter (where {_KEPT}) as kept, count(*) filter (where source not in ({O.T})) as observations from items group by 1) using (source)""",
+        "items", "last_day",
+    )
+)
+def run_totals(spark, d):
+    """Items written by source as a run, and what the ledger says of it: totals gathered by the tasks that wrote."""
+    last = panel.last_day(spark, d)
+    text = F.col("source").isin(*C.TEXT_SOURCES)
+    kept = text & (F.col("date") > F.date_sub(F.lit(last), C.RETENTION_DAYS)) & (F.col("relevance") >= C.MIN_RELEVANCE)
+    book = ledger.Ledger(spark)
+    with book.run("ingest", {"end": str(last)}, {"composite": C.COMPOSITE_VERSION}) as run:
+        run.write(items(spark, d), f"{shared_dir(spark)}/tidemark/ingested-{run.id}", ledger.by_source(C.SOURCES, {"documents": text, "kept": kept, "observations": ~text}), by=["source"])
+        run.meta["as_of"] = str(last)
+    return book.totals().where(F.col("run_id") == run.id).select(F.substring_index("name", ".", 1).alias("source"), F.substring_index("name", ".", -1).alias("name"), "value")
+
+
+@query(
+    O.sql(
+        f"""select entity, source, severity, kind, date from (
+        select entity, source, case when count(*) > 3 then 'warning' else 'info' end as severity, 'coverage_gap' as kind, min(date) as date from (
+            select u.entity, s.source, d.date from universe u cross join (select distinct source from items) s cross join days d except select entity, source, date from items) group by 1, 2
+        union all select entity, source, 'warning', 'stale', max(date) from items group by 1, 2 having max(date) < (select as_of - {C.STALE_AFTER} from last_day))""",
+        "universe", "days", "items", "last_day",
+    )
+)
+def quality_events(spark, d):
+    """Gaps and stale data of every entity, by source (K5)."""
+    rows, last = items(spark, d), panel.last_day(spark, d)
+    states = panel.universe(spark, d).select("entity").crossJoin(rows.select("source").distinct()).select("entity", "source", F.lit("live").alias("state"), F.lit(None).cast("string").alias("reason"))
+    found = quality.quality_events(rows, states, ["entity", "source"], last - datetime.timedelta(C.HISTORY_DAYS + C.LOOKBACK_DAYS - 1), last)
+    return found.select("entity", "source", "severity", "kind", "date")
+
+
+@query(O.sql(f"select 'attention_z' as feature, 5 as horizon, q + 1 as quintile, {O.r6('avg(ret)')} as mean, {O.r6('median(ret)')} as median, count(*) as n from ranked where n >= 20 group by q", "ranked"))
+def stored_run(spark, d):
+    """A research run's quintiles, stored with its parameters and found again by its id."""
+    book, home = ledger.Ledger(spark), f"{shared_dir(spark)}/tidemark/lab"
+    run_id = lab_run.keep(book, {"quintiles": lab.pooled_quintiles(sections(spark, d))}, LabParams(features=("attention_z",)), home)
+    _, p, tables = lab_run.look_up(book, home, run_id)
+    return shown(tables["quintiles"].select(F.lit(p.features[0]).alias("feature"), F.lit(p.horizon).alias("horizon"), "*"))
+
+
+@query(
+    r"""with c as (select 'S' || s_suppkey as entity, case s_suppkey % 4 when 0 then 'The ' || s_name || ' Holdings, Inc.' when 1 then s_name || ' & Co.' when 2 then s_name || ' Group plc' else s_name end as name, n_name as sector from supplier join nation on s_nationkey = n_nationkey),
+    k as (select *, trim(regexp_replace(regexp_replace(name, '^The\s+', '', 'i'), '(,?\s+(Inc\.?|Holdings|Group|plc|& Co\.?)){1,3}$', '', 'i')) as derived from c),
+    f as (select 'S' || (c_custkey % 40) as entity, string_agg('C' || c_custkey, ';' order by 'C' || c_custkey) as previous from customer group by 1)
+    select k.entity, sector, case when p_name is null or p_name = derived then derived else p_name || ';' || derived end as short_names, coalesce(p_brand, '') as products, coalesce(lower(p_type), '') as exclusions,
+      length(k.entity) <= 2 as ambiguous_ticker, coalesce(f.previous, '') as previous, derived as search_term
+    from k left join part on k.entity = 'S' || p_partkey left join f on f.entity = k.entity"""
+)
+def entity_build(spark, d):
+    """Suppliers as companies with legal forms, parts as overrides, customers as former tickers."""
+    t = lambda n: panel.table(spark, d, n)
+    key, name = F.col("s_suppkey"), F.col("s_name")
+    full = F.when(key % 4 == 0, F.concat(F.lit("The "), name, F.lit(" Holdings, Inc."))).when(key % 4 == 1, F.concat(name, F.lit(" & Co."))).when(key % 4 == 2, F.concat(name, F.lit(" Group plc"))).otherwise(name)
+    ticker = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+    companies = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(ticker("S", key).alias("entity"), full.alias("name"), F.col("n_name").alias("sector"))
+    overrides = t("part").select(ticker("S", F.col("p_partkey")).alias("entity"), F.array("p_name").alias("short_names"), F.array("p_brand").alias("products"), F.array("p_type").alias("exclusions"))
+    former = t("customer").select(ticker("S", F.col("c_custkey") % 40).alias("entity"), ticker("C", F.col("c_custkey")).alias("ticker"))
+    lists = ("short_names", "products", "exclusions", "previous")
+    return entities.entities(companies, overrides, former).select("entity", "sector", "ambiguous_ticker", "search_term", *[F.array_join(c, ";").alias(c) for c in lists])
+
+
+@query(
+    r"""with w as (select doc_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ws from documents),
+    g as (select doc_id, unnest(list_distinct(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])))) as r from w),
+    a as (select distinct lower(unnest([ws[1], array_to_string(ws[1:2], ' ')])) as alias from w where len(ws) > 0),
+    n as (select alias, count(distinct doc_id) filter (where r = alias) as plain, count(distinct doc_id) filter (where r <> alias) as cased from a left join g on lower(r) = alias group by alias)
+    select alias, plain, cased, plain > 0 and plain * 2 >= plain + cased as ambiguous from n"""
+)
+def alias_ambiguity(spark, d):
+    """The first word and the first two words of each document as aliases, and how all documents write them."""
+    docs = panel.table(spark, d, "documents").select("text")
+    words = F.regexp_extract_all("text", F.lit(entities.WORD), F.lit(0))
+    names = docs.select(F.explode(F.array(F.get(words, F.lit(0)), F.array_join(F.slice(words, 1, 2), " "))).alias("alias"))
+    return entities.alias_use(names, docs)
+
+
+_BY_SOURCE = {"dev_acceleration": O._ok("github", "accel_z"), "community_breadth": O._ok("reddit", "breadth7")}
+
+
+@query(O.sql(f"select feature, entity, count(*) as n, {O.r6('avg(value)')} as mean from ({' union all '.join(f'''select '{f}' as feature, entity, {_BY_SOURCE.get(f, f)} as value from signals''' for f in lab.FEATURES)}) where value is not null group by 1, 2", "signals"))
+def feature_catalogue(spark, d):
+    """All features that a run can test, unpivoted, by entity (B2)."""
+    return shown(lab.catalogue(signals(spark, d)).groupBy("feature", "entity").agg(F.count("*").alias("n"), F.avg("value").alias("mean")))
+
+
+@query(O.sql(f"select source, date, mention_count, {O.r6('value')} as value, {O.r6('net_sentiment')} as net_sentiment from metrics where entity = 'NATION_7' and source <> 'github' and date between (select as_of - 29 from last_day) and (select as_of from last_day)", "metrics", "last_day"))
+def source_view(spark, d):
+    """An entity's last thirty days by source, one source being turned off (V5)."""
+    last = F.lit(panel.last_day(spark, d))
+    return shown(views.source_days(daily(spark, d), "nation_7", F.date_sub(last, 29), last, ("github",)), "source", "date", "mention_count", "value", "net_sentiment")
+
+
+_STATES_SQL = "(select source, case when max(date) < (select as_of - 2 from last_day) then 'stale' else 'live' end as state from covered group by 1)"
+
+
+@query(O.sql(f"select f.entity, f.source, state, true as expected, false as available from feats f join expected using (entity, date) left join {_STATES_SQL} using (source) where date = (select max(date) from feats) and list_contains(expected, f.source) and not coalesce(available, false)", "feats", "expected", "covered", "last_day"))
+def unused_sources(spark, d):
+    """Sources expected of an entity that give nothing on the last day."""
+    rows = feats(spark, d)
+    return views.unused_sources(rows, composite.expected_sources(rows), source_status(spark, d))
+
+
+@query(O.sql(f"select case when bool_and(state = 'live') then 'live' when bool_or(state in ('unavailable', 'stale')) then 'stale' else 'demo' end as state from {_STATES_SQL}", "covered", "last_day"))
+def overall_state(spark, d):
+    """One state of all sources."""
+    return views.overall_state(source_status(spark, d))
+
+
+@query(O.sql("select sector, " + ", ".join(f"{O.r6('avg(abnormal_z) filter (where source = ' + repr(s) + ')')} as {s}" for s in C.SOURCES) + " from feats join universe using (entity) group by 1", "feats", "universe"))
+def sector_by_source(spark, d):
+    """Mean attention by sector, a column for each source."""
+    return views.sector_by_source(feats(spark, d), panel.universe(spark, d), C.SOURCES)
+
+
+@query(O.sql(f"select entity, sector, alt_signal_score, confidence from universe left join (select * from signals where {_LAST}) using (entity) order by coalesce(alt_signal_score, -1) desc, entity limit 12", "signals", "universe"))
+def ranked_table(spark, d):
+    """The overview's table."""
+    return views.ranked_table(view_rows(spark, d)).select("entity", "sector", "alt_signal_score", "confidence")
