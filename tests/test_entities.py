@@ -65,9 +65,10 @@ def plain_count(aliases, texts):
     return out
 
 
-def test_alias_use_against_a_plain_count(spark):
+@pytest.mark.parametrize("sent", [E.SENT, 2])
+def test_alias_use_against_a_plain_count(spark, sent):
     names = ["Apple", "APPLE", "cold steel", "Cold Steel", "Straße", "nothing of it", "the apple fell", "!", "", None]
-    got = E.alias_use(spark.createDataFrame([(n,) for n in names], "alias string"), spark.createDataFrame([(t,) for t in TEXTS], "text string").repartition(3))
+    got = E.alias_use(spark.createDataFrame([(n,) for n in names], "alias string"), spark.createDataFrame([(t,) for t in TEXTS], "text string").repartition(3), sent=sent)
     wanted = plain_count(names, TEXTS)
     assert {r.alias: (r.plain, r.cased, r.ambiguous) for r in got.collect()} == wanted
     assert wanted["apple"] == (3, 3, True) and wanted["cold steel"] == (1, 2, False) and wanted["nothing of it"] == (0, 0, False)

@@ -1031,8 +1031,7 @@ def entity_build(spark, d):
 def alias_ambiguity(spark, d):
     """The first word and the first two words of each document as aliases, and how all documents write them."""
     docs = panel.table(spark, d, "documents").select("text")
-    words = F.regexp_extract_all("text", F.lit(entities.WORD), F.lit(0))
-    names = docs.select(F.explode(F.array(F.get(words, F.lit(0)), F.array_join(F.slice(words, 1, 2), " "))).alias("alias"))
+    names = docs.select(F.explode(F.array(*[F.regexp_extract("text", p, 0) for p in (entities.WORD, rf"{entities.WORD}(?:{entities.GAP}{entities.WORD})?")])).alias("alias"))
     return entities.alias_use(names, docs)
 
 

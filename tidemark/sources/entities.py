@@ -8,14 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.resolve import Entity
+from tidemark.sources.shared import cut
 
 # Legal forms that end a company's name; those that may carry a full stop; how many are taken off; the
 # shortest short name, and the longest ticker that is ambiguous by its length.
 FORMS = ("Incorporated", "Corporation", "Company", "plc", "Holdings", "Group")
 ABBREVIATED = ("Inc", "Corp", "Co", "Ltd", "& Co")
 FORMS_TAKEN, SHORTEST, AMBIGUOUS_LENGTH = 3, 3, 2
-#: Maximal runs of ASCII letters and digits and of all characters beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Maximal runs of ASCII letters and digits and of all characters beyond ASCII; what lies between them.
+WORD, GAP = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+#: Aliases that are sent to all tasks, and bytes that they may have on average.
+SENT, SENT_BYTES = 1 << 18, 64
 
 
 def short_name(name: Column, forms: tuple[str, ...] = FORMS, abbreviated: tuple[str, ...] = ABBREVIATED) -> Column:
@@ -67,30 +71,40 @@ def aliases(rows: DataFrame) -> DataFrame:
     return rows.select("entity", F.explode(listed).alias("x")).select("entity", "x.*").distinct()
 
 
-def _runs(words: Column, n: int) -> Column:
-    """Runs of ``n`` words, joined by a blank."""
-    if n == 1:
-        return words
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+def _runs(words: str, longest: int) -> Column:
+    """Runs of up to ``longest`` words of the array column ``words``, joined by blanks. Arrays are shifted and zipped whole,
+    as taking a slice at each place would copy the array each time."""
+    runs, out = F.col(words), [F.col(words)]
+    for n in range(2, longest + 1):
+        # null where the shifted array has ended
+        runs = F.array_compact(F.zip_with(runs, F.slice(words, n, F.greatest(F.size(words), F.lit(1))), lambda run, word: F.concat(run, F.lit(" "), word)))
+        out.append(runs)
+    return F.flatten(F.array(*out))
 
 
-def alias_use(names: DataFrame, docs: DataFrame, share: int = 50) -> DataFrame:
+def alias_use(names: DataFrame, docs: DataFrame, share: int = 50, sent: int = SENT) -> DataFrame:
     """(alias, plain, cased, ambiguous): how documents (text) write each different alias of ``names``, lower-cased.
 
     ``plain`` counts the documents that write it all in lower case somewhere, ``cased`` those that write it
     otherwise somewhere; an alias is ambiguous, being a word of the language, where plain uses are ``share`` per cent
     of both at least. An alias is the words in it; one without words is left out. A null text has none;
-    aliases that no document holds have zeros. Whole texts are read once, a document counts a run of words once,
-    and only runs that are aliases are counted, before anything is shuffled.
+    aliases that no document holds have zeros. Whole texts are read once, and a document counts a run of words once. Up
+    to ``sent`` aliases go to all tasks, so that only runs that are aliases are shuffled, pre-aggregated; of more
+    aliases all runs are counted, pre-aggregated too, before they meet them.
     """
     words = lambda c: F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
     wanted = names.select(F.array_join(F.transform(words(F.col("alias")), F.lower), " ").alias("alias")).where("alias <> ''").distinct()
-    longest = wanted.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1
+    wanted = docs.sparkSession.read.schema(wanted.schema).parquet(cut(wanted, "aliases"))  # read three times
+    n, size, longest = wanted.agg(F.count("*"), F.sum(F.octet_length("alias")), F.max(F.size(F.split("alias", " ")))).first()
     found = docs.select(words(F.col("text")).alias("words"))
-    runs = F.flatten(F.array(*[_runs(F.col("words"), n) for n in range(1, longest + 1)]))
-    used = found.select(F.explode(F.array_distinct(F.transform(runs, lambda r: F.struct(F.lower(r).alias("alias"), (r == F.lower(r)).alias("plain"))))).alias("use")).select("use.*")
-    counts = used.join(wanted, "alias", "left_semi").groupBy("alias").agg(F.count_if("plain").alias("plain"), F.count_if(~F.col("plain")).alias("cased"))
+    # one mark of one character and the run in lower case: strings are told apart by hashing, structs only one by one
+    marked = F.transform(F.array_distinct(_runs("words", longest or 1)), lambda r: F.when(r == F.lower(r), F.concat(F.lit("+"), r)).otherwise(F.concat(F.lit("-"), F.lower(r))))
+    used = found.select(F.explode(F.array_distinct(marked)).alias("use")).select(F.substring("use", 2, 1 << 30).alias("alias"), F.startswith("use", F.lit("+")).alias("plain"))
+    count = lambda x: x.groupBy("alias").agg(F.count_if("plain").alias("plain"), F.count_if(~F.col("plain")).alias("cased"))
+    if n <= sent and (size or 0) <= sent * SENT_BYTES:
+        counts = count(used.join(F.broadcast(wanted), "alias", "left_semi"))
+    else:
+        counts = count(used).join(wanted, "alias", "left_semi")
     out = wanted.join(counts, "alias", "left").select("alias", F.coalesce("plain", F.lit(0)).cast("long").alias("plain"), F.coalesce("cased", F.lit(0)).cast("long").alias("cased"))
     return out.withColumn("ambiguous", (F.col("plain") > 0) & (F.col("plain") * 100 >= (F.col("plain") + F.col("cased")) * share))
 
