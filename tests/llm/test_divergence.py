@@ -3,6 +3,8 @@
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import divergence
@@ -48,6 +50,37 @@ def test_audit_equals_the_model(spark, options):
     assert sorted(map(tuple, got.collect())) == model(ROWS, options.get("top", 200), options.get("min_docs", 3))
 
 
+def test_rows_of_a_group_in_any_order_give_the_same_audit(spark, monkeypatch):
+    # the mix differs at each call, as the order of fetched rows does on several executors
+    blocks = divergence._blocks
+
+    def mixed(seats):
+        inner = blocks(seats)
+
+        def run(key, rows):
+            return inner(key, rows.take(np.random.default_rng().permutation(rows.num_rows)))
+
+        return run
+
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    rows = [("en", "abc"[i % 3], " ".join(words[j] for j in range(300) for _ in range(1 + (i * j) % 7))) for i in range(12)]
+    monkeypatch.setattr(divergence, "_blocks", mixed)
+    docs = spark.createDataFrame(rows, "lang string, source string, text string")
+    assert sorted(map(tuple, divergence.audit(docs, slice_terms=100).collect())) == model(rows, 200, 3)
+
+
+def test_blocks_do_not_depend_on_the_order_of_rows():
+    by = pa.array([[{"source": "ab"[i % 2], "n": i + 1}] for i in range(50)], pa.list_(pa.struct([("source", pa.string()), ("n", pa.int64())])))
+    rows = pa.table({"term": [f"t{i:02}" for i in range(50)], "total": list(range(1, 51)), "by": by})
+    key = (pa.scalar("en"), pa.scalar(0))
+
+    def read(table):
+        own, *seats = [divergence._unpacked(d).to_pydict() for d in table.column("data").to_pylist()]
+        return own, [dict(zip(s["source"], zip(s["at"], s["n"]))) for s in seats]
+
+    assert read(divergence._blocks(2)(key, rows)) == read(divergence._blocks(2)(key, rows.take(list(range(49, -1, -1)))))
+
+
 def test_tasks_hand_on_before_they_hold_too_much(spark, monkeypatch):
     batches = [divergence.pa.RecordBatch.from_pydict({"lang": ["en"] * 2, "source": ["a", "b"], "text": ["one two", "two three"]})] * 3
     monkeypatch.setattr(divergence, "HELD", 3)

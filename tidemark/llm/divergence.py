@@ -84,8 +84,11 @@ BLOCKS = "lang string, slice long, seat int, size long, data binary"
 
 def _blocks(seats: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        """One row a seat: the counts of its sources in this slice; and one, of seat -1, of the language's own."""
-        rows = rows.combine_chunks()
+        """One row a seat: the counts of its sources in this slice; and one, of seat -1, of the language's own.
+
+        The rows of a group come in any order, another one in each run; sorted, places mean the same terms in all.
+        """
+        rows = rows.sort_by("term").combine_chunks()
         by = rows.column("by").combine_chunks()
         at = np.repeat(np.arange(rows.num_rows), np.diff(by.offsets.to_numpy()))
         inner = by.flatten()
@@ -259,10 +262,9 @@ def audit(docs: DataFrame, top: int = TOP, min_docs: int = MIN_DOCS, seats: int
     dealt = terms.join(sizes.select("lang", F.ceil(F.col("v") / slice_terms).alias("slices")), "lang").withColumn("slice", F.pmod(F.xxhash64("term"), F.col("slices")))
     blocks = dealt.select("lang", "slice", "term", "total", "by").groupBy("lang", "slice").applyInArrow(_blocks(seats), BLOCKS)
     none = held.select("lang", F.lit(-1).cast("long").alias("slice"), "seat", F.lit(0).cast("long").alias("size"), F.lit(None).cast("binary").alias("data"))
-    own = blocks.where("seat < 0").join(sizes, "lang").select("lang", "slice", "seat", "size", "data", F.lit(None).cast(held.schema["members"].dataType).alias("members"), "v", "total")
-    seated = blocks.where("seat >= 0").unionByName(none).join(members, ["lang", "seat"]).join(sizes, "lang", "left")
-    seated = seated.select("lang", "slice", "seat", "size", "data", "members", F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("total", F.lit(0)).alias("total"))
-    vectors = cut(seated.unionByName(own), "vectors")
+    # the language's own rows have no members; seats without any are dropped
+    seated = blocks.unionByName(none).join(members, ["lang", "seat"], "left").where("seat < 0 or members is not null").join(sizes, "lang", "left")
+    vectors = cut(seated.select("lang", "slice", "seat", "size", "data", "members", F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("total", F.lit(0)).alias("total")), "vectors")
     here = ["lang", "slice", "seat"]
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     residents = vectors.where("seat >= 0").repartition(partitions, *here).persist(StorageLevel.MEMORY_AND_DISK)
