@@ -145,16 +145,18 @@ def find_entity(universe: DataFrame, asked: str) -> DataFrame:
     return named.orderBy(own.desc(), "entity").limit(1)
 
 
-def items_of(mentions: DataFrame, documents: DataFrame, sentiments: DataFrame, entity: str, first: Column, last: Column, n: int = 60) -> DataFrame:
+def items_of(mentions: DataFrame, documents: DataFrame, sentiments: DataFrame, entity: str, first: Column, last: Column, n: int = 60, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """An entity's most engaged unique documents of some days, with what was said of it.
 
     mentions (doc_id, entity, date, relevance), documents (doc_id, status, score, ...), sentiments (doc_id,
-    entity, label, aspect, ...). Only sentiments of the documents chosen are joined.
+    entity, label, aspect, ...). ``key``, which may be more columns than doc_id, tells documents apart in all
+    three and orders those of one score. Only sentiments of the documents chosen are joined.
     """
+    key = list(key)
     own = mentions.where((F.col("entity") == entity) & F.col("date").between(first, last))
-    chosen = own.join(documents.where("status = 'unique'"), "doc_id").orderBy(F.desc("score"), "doc_id").limit(n)
-    said = sentiments.where(F.col("entity") == entity).drop("entity").join(chosen.select("doc_id"), "doc_id", "left_semi")
-    return chosen.join(said, "doc_id", "left")
+    chosen = own.join(documents.where("status = 'unique'"), key).orderBy(F.desc("score"), *key).limit(n)
+    said = sentiments.where(F.col("entity") == entity).drop("entity").join(chosen.select(*key), key, "left_semi")
+    return chosen.join(said, key, "left")
 
 
 def narratives_of(sentiments: DataFrame, mentions: DataFrame, entity: str, first: Column) -> DataFrame:

@@ -45,12 +45,14 @@ def shown_sql(columns: str, source: str, doubles: str = "") -> str:
 # The panel, built step by step. Steps that several queries use are tables kept for the present state of their
 # input files, so that a query reads the rows of the step it starts from instead of joining and sorting anew.
 
-stored = steps.stored("lineitem", "orders", "supplier", "nation", "region", "part", "customer")
+PANEL = ("lineitem", "orders", "supplier", "nation", "region", "part", "customer")
+stored = steps.stored(*PANEL)
 
 
-@stored
+@steps.stored(*PANEL, version="2")
 def items(spark: SparkSession, d: str) -> DataFrame:
-    return panel.items(spark, d)
+    """With ``line``, a number of each item's own: several lines may have one order and number, and so one doc_id."""
+    return panel.items(spark, d).withColumn("line", F.monotonically_increasing_id())
 
 
 @stored
@@ -804,16 +806,20 @@ def lab_report(spark, d):
     return shown(tables["summary"].withColumn("verdict", F.lit(lab_run.verdict(tables))), "verdict", "dates", "observations", "mean_rank_ic", "t_stat", "mean_spread")
 
 
+#: What tells items apart: lines of one order and number are items each.
+ITEM = ("doc_id", "line")
+
+
 def _three(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Mentions, documents and sentiments as the three tables they are, from the items of text sources."""
     x = items(spark, d).where(F.col("source").isin(*C.TEXT_SOURCES))
-    return x.select("doc_id", "entity", "date", "relevance"), x.select("doc_id", "source", "community", "status", "score"), x.select("doc_id", "entity", "label", "aspect", "confidence")
+    return x.select(*ITEM, "entity", "date", "relevance"), x.select(*ITEM, "source", "community", "status", "score"), x.select(*ITEM, "entity", "label", "aspect", "confidence")
 
 
 @query(O.sql(f"select doc_id, date, source, community, score, label, aspect, {O.r6('confidence')} as confidence from items where entity = 'NATION_7' and source in ({O.T}) and status = 'unique' and date between (select as_of - 13 from last_day) and (select as_of from last_day) order by score desc, doc_id limit 60", "items", "last_day"))
 def entity_items(spark, d):
     last = F.lit(panel.last_day(spark, d))
-    return shown(views.items_of(*_three(spark, d), "NATION_7", F.date_sub(last, 13), last), "doc_id", "date", "source", "community", "score", "label", "aspect", "confidence")
+    return shown(views.items_of(*_three(spark, d), "NATION_7", F.date_sub(last, 13), last, key=ITEM), "doc_id", "date", "source", "community", "score", "label", "aspect", "confidence")
 
 
 @query(O.sql(f"select aspect, count(*) as items, count(*) filter (where label = 'positive') as positive, count(*) filter (where label = 'negative') as negative, count(*) filter (where label in ('neutral', 'uncertain')) as neutral, count(*) filter (where label = 'sarcastic') as sarcastic from items where entity = 'NATION_7' and source in ({O.T}) and date >= (select as_of - 29 from last_day) group by 1", "items", "last_day"))
