@@ -35,3 +35,7 @@ def agrees(spark, d, name):
 
 def test_entity_items(spark, doubled):
     agrees(spark, doubled, "entity_items")
+
+
+def test_entity_narratives(spark, doubled):
+    agrees(spark, doubled, "entity_narratives")

@@ -159,9 +159,12 @@ def items_of(mentions: DataFrame, documents: DataFrame, sentiments: DataFrame, e
     return chosen.join(said, key, "left")
 
 
-def narratives_of(sentiments: DataFrame, mentions: DataFrame, entity: str, first: Column) -> DataFrame:
-    """(aspect, items, positive, negative, neutral, sarcastic) of an entity's mentions since a day (J3, A13); uncertain is neutral."""
-    rows = sentiments.where(F.col("entity") == entity).join(mentions.where(F.col("date") >= first).select("doc_id", "entity"), ["doc_id", "entity"])
+def narratives_of(sentiments: DataFrame, mentions: DataFrame, entity: str, first: Column, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(aspect, items, positive, negative, neutral, sarcastic) of an entity's mentions since a day (J3, A13); uncertain is neutral.
+
+    ``key`` tells documents apart in both tables.
+    """
+    rows = sentiments.where(F.col("entity") == entity).join(mentions.where(F.col("date") >= first).select(*key, "entity"), [*key, "entity"])
     of = lambda *labels: F.count_if(F.col("label").isin(*labels))
     return rows.groupBy("aspect").agg(F.count("*").alias("items"), of("positive").alias("positive"), of("negative").alias("negative"), of("neutral", "uncertain").alias("neutral"), of("sarcastic").alias("sarcastic"))
 

@@ -825,7 +825,7 @@ def entity_items(spark, d):
 @query(O.sql(f"select aspect, count(*) as items, count(*) filter (where label = 'positive') as positive, count(*) filter (where label = 'negative') as negative, count(*) filter (where label in ('neutral', 'uncertain')) as neutral, count(*) filter (where label = 'sarcastic') as sarcastic from items where entity = 'NATION_7' and source in ({O.T}) and date >= (select as_of - 29 from last_day) group by 1", "items", "last_day"))
 def entity_narratives(spark, d):
     found, _, said = _three(spark, d)
-    return views.narratives_of(said, found, "NATION_7", F.date_sub(F.lit(panel.last_day(spark, d)), 29))
+    return views.narratives_of(said, found, "NATION_7", F.date_sub(F.lit(panel.last_day(spark, d)), 29), ITEM)
 
 
 @query(O.sql(f"select s.date, s.alt_signal_score as score, {O.rnd('ret * 100', 2)} as ret from signals s join returns r on r.entity = s.entity and r.date = s.date and r.horizon = 5 where s.entity = 'NATION_7' and s.alt_signal_score is not null", "signals", "returns"))
