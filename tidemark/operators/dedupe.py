@@ -70,7 +70,8 @@ def candidate_pairs(items: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
     Of ``2 * max_bits`` parts of a fingerprint such a pair has ``max_bits`` equal at least, by the pigeonhole
     principle: 20 keys of about 32 bits for 3 bits, so that hardly any others meet. Equal fingerprints are
-    one node, so hot texts make no quadratic output.
+    one node, so hot texts make no quadratic output. A side's estimated size misses the 20 rows that each
+    becomes, so the join is a merge whatever that size: sent to all, a side would not fit the driver.
     """
     parts = 2 * max_bits
     edge = [64 * i // parts for i in range(parts + 1)]
@@ -80,7 +81,7 @@ def candidate_pairs(items: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     left = items.select("fp", keys)
     right = left.toDF("fp2", "choice2", "key2")
     on = (F.col("choice") == F.col("choice2")) & (F.col("key") == F.col("key2")) & (F.col("fp") != F.col("fp2"))
-    return left.join(right, on).where(X.hamming(F.col("fp"), F.col("fp2")) <= max_bits).select("fp", "fp2").distinct()
+    return left.join(right.hint("merge"), on).where(X.hamming(F.col("fp"), F.col("fp2")) <= max_bits).select("fp", "fp2").distinct()
 
 
 def dropped(edges: DataFrame) -> DataFrame:
