@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -89,8 +90,57 @@ def refractory(stream: DataFrame, days: int = 7, late: str = "40 days") -> DataF
     return stream.withWatermark("ts", late).groupBy("user_id", "event_type").transformWithStateInPandas(_Refractory(days), "user_id long, event_type string, ts timestamp", "Append", "EventTime")
 
 
+#: Buckets that a state variable's keys are dealt into, and entries of a scope held in memory before they go back to state.
+BUCKETS, HELD = 4096, 1 << 20
+
+
+class _Buckets:
+    """A state variable that maps a key to values, its keys dealt into buckets.
+
+    A bucket is read once and written once while a batch holds it, however many of its keys occur: a call to state costs
+    more than an item. An entry has the time that it was put at where entries are forgotten ``ttl_ms`` after it.
+    """
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, key: str, value: str, ttl_ms: int | None):
+        self.state = handle.getMapState(name, "bucket int", f"keys array<{key}>, vals array<{value}>, at array<long>", ttl_ms)
+        self.ttl_ms = ttl_ms
+
+    def begin(self, now: int) -> None:
+        self.now, self.held, self.changed, self.size, self.new = now, {}, set(), 0, not self.state.exists()
+
+    def _bucket(self, n: int) -> dict:
+        if n not in self.held:
+            # nothing is asked of an empty variable
+            found = None if self.new else self.state.getValue((n,))
+            self.held[n] = {}
+            for key, value, at in zip(*found) if found else ():
+                if self.ttl_ms is None or at + self.ttl_ms > self.now:
+                    self.held[n].setdefault(key, []).append((value, at))
+                    self.size += 1
+        return self.held[n]
+
+    def of(self, n: int, key) -> list[tuple]:  # noqa: ANN001
+        """(value, at) of a key, in the order they were put."""
+        return self._bucket(n).get(key, [])
+
+    def put(self, n: int, key, value) -> None:  # noqa: ANN001
+        self._bucket(n).setdefault(key, []).append((value, self.now))
+        self.changed.add(n)
+        self.size += 1
+
+    def flush(self) -> None:
+        for n in self.changed:
+            entries = [(key, value, at) for key, found in self.held[n].items() for value, at in found]
+            self.state.updateValue((n,), tuple(map(list, zip(*entries))))
+        self.begin(self.now)
+
+
+def _dealt(key: str) -> int:
+    return zlib.crc32(key.encode()) % BUCKETS
+
+
 class _Flagging(StatefulProcessor):
-    """Duplicate status of a scope's items in their order; each state variable is keyed, so that an item reads what it may repeat and no more.
+    """Duplicate status of a scope's items in their order; an item reads the buckets that what it may repeat lies in and no more.
 
     Of ``max_bits`` + 1 parts of a fingerprint, two that differ in at most ``max_bits`` bits have one equal at
     least; retained fingerprints are listed under each of their parts.
@@ -99,52 +149,64 @@ class _Flagging(StatefulProcessor):
     def __init__(self, max_bits: int, ttl_ms: int | None):
         self.max_bits, self.ttl_ms = max_bits, ttl_ms
         edges = [64 * i // (max_bits + 1) for i in range(max_bits + 2)]
-        self.parts = [(a, (1 << (b - a)) - 1) for a, b in zip(edges, edges[1:])]
+        self.parts = [(a, (1 << (b - a)) - 1, max(0, b - a - (BUCKETS.bit_length() - 1))) for a, b in zip(edges, edges[1:])]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        keyed = lambda name, key, value: handle.getMapState(name, key, value, self.ttl_ms)
-        self.urls = keyed("urls", "canon string", "community string")
-        self.texts = keyed("texts", "text_key string", "seen boolean")
-        self.retained = keyed("retained", "part int, bits long", "fps array<long>")
-        self.flagged = keyed("flagged", "author string", "seen boolean")
+        kept = lambda name, key, value: _Buckets(handle, name, key, value, self.ttl_ms)
+        self.urls = kept("urls", "string", "string")
+        self.texts = kept("texts", "string", "string")
+        self.retained = kept("retained", "long", "long")
+        self.flagged = kept("flagged", "string", "string")
+        self.kept = (self.urls, self.texts, self.retained, self.flagged)
 
     def _near(self, fp: int) -> bool:
         """Whether ``fp`` is near a retained fingerprint; if it isn't, it is retained."""
-        lists = []
-        for i, (shift, mask) in enumerate(self.parts):
-            key = (i, (fp >> shift) & mask)
-            fps = list(self.retained.getValue(key)[0]) if self.retained.containsKey(key) else []
-            if any(((fp ^ x) & (1 << 64) - 1).bit_count() <= self.max_bits for x in fps):
+        places = []
+        for i, (shift, mask, low) in enumerate(self.parts):
+            bits = (fp >> shift) & mask
+            # a bucket has the values of a part that begin alike; as a key a value is a signed long
+            n, key = i * BUCKETS + (bits >> low), bits - (1 << 64) if bits >> 63 else bits
+            if any(((fp ^ x) & (1 << 64) - 1).bit_count() <= self.max_bits for x, _ in self.retained.of(n, key)):
                 return True
-            lists.append((key, fps))
-        for key, fps in lists:
-            self.retained.updateValue(key, ([*fps, fp],))
+            places.append((n, key))
+        for n, key in places:
+            self.retained.put(n, key, fp)
         return False
 
     def _status(self, r) -> str:  # noqa: ANN001
         if r.canon is not None:
-            if self.urls.containsKey((r.canon,)):
-                return "duplicate_url" if self.urls.getValue((r.canon,))[0] == r.community else "crosspost"
-            self.urls.updateValue((r.canon,), (r.community,))
+            n = _dealt(r.canon)
+            if first := self.urls.of(n, r.canon):
+                return "duplicate_url" if first[0][0] == r.community else "crosspost"
+            self.urls.put(n, r.canon, r.community)
         if r.text_key is None:
             return "unique"
-        if self.texts.containsKey((r.text_key,)):
+        n = _dealt(r.text_key)
+        if self.texts.of(n, r.text_key):
             return "duplicate_exact"
-        self.texts.updateValue((r.text_key,), (True,))
+        self.texts.put(n, r.text_key, None)
         return "near_duplicate" if self._near(int(r.fp)) else "unique"
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802
         batch = pd.concat([b.astype({"fp": object}) for b in rows], ignore_index=True).sort_values(["published_at", "doc_id"], kind="stable")
         batch = batch.astype(object).where(batch.notna(), None)
+        for kept in self.kept:
+            kept.begin(timers.getCurrentProcessingTimeInMs() if self.ttl_ms is not None else 0)
         out = []
         for r in batch.itertuples(index=False):
             status = self._status(r)
             if status in ("duplicate_exact", "near_duplicate") and r.author_hash is not None:
-                if self.flagged.containsKey((r.author_hash,)):
+                n = _dealt(r.author_hash)
+                if self.flagged.of(n, r.author_hash):
                     status = "bot_repeat"
                 else:
-                    self.flagged.updateValue((r.author_hash,), (True,))
+                    self.flagged.put(n, r.author_hash, None)
             out.append((*key, r.doc_id, r.published_at, status))
+            if sum(kept.size for kept in self.kept) > HELD:
+                for kept in self.kept:
+                    kept.flush()
+        for kept in self.kept:
+            kept.flush()
         yield pd.DataFrame(out, columns=["scope", "doc_id", "published_at", "status"])
 
     def close(self) -> None:
