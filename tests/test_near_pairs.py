@@ -14,3 +14,13 @@ def test_no_side_of_the_pairs_is_sent_to_all(spark):
     assert got == {(a, b) for a in fps for b in fps if a != b and ((a ^ b) & (1 << 64) - 1).bit_count() <= dedupe.MAX_BITS} and len(got) >= 800
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_originals_send_no_side_of_the_pairs(spark, monkeypatch):
+    made, real = [], dedupe.candidate_pairs
+    monkeypatch.setattr(dedupe, "candidate_pairs", lambda *a: made.append(real(*a)) or made[-1])
+    text = F.concat(F.lit("one text of some length, number "), F.col("id"))
+    rows = spark.range(60).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("url"), F.lit("c").alias("community"), F.lit("a").alias("author_hash"), text.alias("text"), F.timestamp_seconds("id").alias("published_at"))
+    assert dedupe.originals(rows).count() == 60
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in made]
+    assert plans and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans)
