@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tidemark import queries as Q
 from tidemark.operators import dedupe
 
 
@@ -24,3 +25,11 @@ def test_originals_send_no_side_of_the_pairs(spark, monkeypatch):
     assert dedupe.originals(rows).count() == 60
     plans = [x._jdf.queryExecution().executedPlan().toString() for x in made]
     assert plans and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans)
+
+
+def test_the_document_pipeline_sends_no_side_of_the_pairs(spark, monkeypatch):
+    made, real = [], dedupe.candidate_pairs
+    monkeypatch.setattr(dedupe, "candidate_pairs", lambda *a: made.append(real(*a)) or made[-1])
+    assert Q.QUERIES["document_pipeline"](spark, "/root/testdata/sf0.001").count() > 0
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in made]
+    assert plans and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans)
